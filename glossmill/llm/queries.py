@@ -7,23 +7,50 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmill.llm import quality_rules, sharding
+from glossmill.llm import chat, neighbours, packing, quality_rules, sentencepieces, sharding
 from glossmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "<|im_end|><|im_start|>assistant ok"
+    more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat.read_back(chat.format_conversations(rows))
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encodes and decodes all texts; round_trip compares what comes back with the text."""
+    coded = sentencepieces.encode_documents(table(spark, sf_dir, "documents"))
+    back = sentencepieces.decode_documents(coded)
+    return back.select("doc_id", "n_ids", "ids_crc32", "text_crc32", (F.crc32(F.col("text").cast("binary")) == F.col("text_crc32")).alias("round_trip"))
+
+
+def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard_documents(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.nearest(rows, F.col("vec_id") % 20 == 0)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.clean_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.md5(F.col("cleaned_text").cast("binary")).alias("cleaned_md5"), F.char_length("cleaned_text").cast("long").alias("cleaned_chars"))
 
 
 QUERIES: dict[str, Query] = {
+    "op2_chat": op2_chat,
+    "op3_sentencepiece": op3_sentencepiece,
+    "op4_pack": op4_pack,
     "op6_shard": op6_shard,
+    "op8_neighbours": op8_neighbours,
     "op9_quality_rules": op9_quality_rules,
 }
