@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -115,7 +116,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts (null: empty) and where each begins; one more offset at the end."""
-    column = pa.compute.fill_null(column, "")
+    column = pc.fill_null(column, "")
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if isinstance(column, pa.ChunkedArray):
@@ -194,7 +195,8 @@ def shingles(words: np.ndarray, per_text: np.ndarray, k: int) -> tuple[np.ndarra
             if j - i >= k:
                 got = np.unique(acc[i : j - k + 1])
             elif j > i:
-                got = mix(np.array([sum(int(words[i + x]) * int(multipliers[x]) for x in range(j - i)) + (j - i) & (2**64 - 1)], np.uint64))
+                whole = int(j - i) + sum(int(words[i + x]) * int(multipliers[x]) for x in range(j - i))
+                got = mix(np.array([whole & (2**64 - 1)], np.uint64))
             else:
                 got = np.zeros(0, np.uint64)
             out.append(got)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmill.llm import chat, neighbours, packing, quality_rules, sentencepieces, sharding
+from glossmill.llm import chat, near_dedup, neighbours, packing, quality_rules, sentencepieces, sharding
 from glossmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,10 @@ def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=4)
+
+
 def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return neighbours.nearest(rows, F.col("vec_id") % 20 == 0)
@@ -51,6 +55,7 @@ QUERIES: dict[str, Query] = {
     "op3_sentencepiece": op3_sentencepiece,
     "op4_pack": op4_pack,
     "op6_shard": op6_shard,
+    "op7_near_dedup": op7_near_dedup,
     "op8_neighbours": op8_neighbours,
     "op9_quality_rules": op9_quality_rules,
 }
