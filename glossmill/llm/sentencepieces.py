@@ -33,7 +33,8 @@ from glossmill.llm.tokens import vocabulary_path
 
 UNKNOWN_PENALTY = 10.0
 SPACE = "▁"
-CACHE_RUNS = 400_000
+CACHE_RUNS = 1_500_000
+INFINITE = float("inf")
 ENCODED = "doc_id bigint, ids array<int>, text_crc32 bigint"
 DECODED = "doc_id bigint, text string, n_ids bigint, ids_crc32 bigint, text_crc32 bigint"
 
@@ -42,65 +43,67 @@ class Viterbi:
     """Best segmentation of a stream of characters into scored pieces."""
 
     def __init__(self, scores: dict[str, float], unknown: float):
-        self.scores, self.unknown = scores, unknown
+        self.unknown = unknown
         self.longest = max(map(len, scores), default=1)
-        prefixes: set[str] = set()
-        for p in scores:
-            prefixes.update(p[:i] for i in range(1, len(p) + 1))
-        self.prefixes = prefixes
+        #: Pieces with their scores, and beginnings of pieces that are none themselves with None.
+        self.known: dict[str, float | None] = {p[:i]: None for p in scores for i in range(1, len(p))}
+        self.known.update(scores)
 
-    def segment(self, text: str) -> Iterator[str]:
+    def segment(self, text: str) -> list[str]:
         """Pieces in order. Ties go to the longest last piece."""
-        scores, prefixes, unknown = self.scores, self.prefixes, self.unknown
-        n, base, reach = len(text), 0, 0
-        best: dict[int, float] = {0: 0.0}
-        back: dict[int, int] = {}
-        at = 0
+        known, unknown, longest = self.known, self.unknown, self.longest
+        n, base, reach, at = len(text), 0, 0, 0
+        best: list[float] = [0.0]  # of positions base, base + 1, .. reach
+        back: list[int] = [0]
+        out: list[str] = []
         while at < n:
-            here = best[at]
-            limit, j, alone = min(n, at + self.longest), at + 1, False
-            while j <= limit:
+            here = best[at - base]
+            alone = False
+            for j in range(at + 1, min(n, at + longest) + 1):
                 piece = text[at:j]
-                if piece not in prefixes:
+                if piece not in known:
                     break
-                s = scores.get(piece)
-                if s is not None:
-                    alone = alone or j == at + 1
-                    if j not in best or here + s > best[j]:
-                        best[j], back[j] = here + s, at
-                    reach = max(reach, j)
-                j += 1
+                s = known[piece]
+                if s is None:
+                    continue
+                if j == at + 1:
+                    alone = True
+                s += here
+                if j > reach:
+                    best += [-INFINITE] * (j - reach)
+                    back += [0] * (j - reach)
+                    reach = j
+                if s > best[j - base]:
+                    best[j - base], back[j - base] = s, at
             if not alone:
-                s = here + unknown
-                if at + 1 not in best or s > best[at + 1]:
-                    best[at + 1], back[at + 1] = s, at
-                reach = max(reach, at + 1)
+                j, s = at + 1, here + unknown
+                if j > reach:
+                    best.append(-INFINITE)
+                    back.append(0)
+                    reach = j
+                if s > best[j - base]:
+                    best[j - base], back[j - base] = s, at
             at += 1
-            cut = at if reach == at else self._shared(back, base, at, reach) if at - base > 4 * self.longest else base
+            cut = at if reach == at else self._shared(back, base, at, reach) if at - base > 4 * longest else base
             if cut > base:
-                yield from self._path(text, back, base, cut)
-                for k in range(base, cut):
-                    best.pop(k, None)
-                    back.pop(k + 1, None)
+                path, end = [], cut
+                while end > base:
+                    path.append(text[back[end - base] : end])
+                    end = back[end - base]
+                out += path[::-1]
+                del best[: cut - base], back[: cut - base]
                 base = cut
+        return out
 
     @staticmethod
-    def _shared(back: dict[int, int], base: int, at: int, reach: int) -> int:
-        """The last boundary on the paths of all live positions at .. reach."""
-        live = {k for k in range(at, reach + 1) if k in back}
+    def _shared(back: list[int], base: int, at: int, reach: int) -> int:
+        """The last boundary that the paths of all positions at .. reach share."""
+        live = set(range(at, reach + 1))
         while len(live) > 1:
             top = max(live)
             live.discard(top)
-            live.add(back.get(top, base))
-        return max(live.pop(), base)
-
-    @staticmethod
-    def _path(text: str, back: dict[int, int], base: int, cut: int) -> list[str]:
-        out = []
-        while cut > base:
-            out.append(text[back[cut] : cut])
-            cut = back[cut]
-        return out[::-1]
+            live.add(max(back[top - base], base))
+        return live.pop()
 
 
 class Model:
