@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -31,6 +31,18 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+@contextlib.contextmanager
+def batch_rows(spark: SparkSession, rows: int):
+    """Arrow batches of ``rows`` rows for what is run, not only planned, inside."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, "10000")
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir. Where it is unset, a temporary folder in local mode,
     and on a cluster the warehouse, which all executors share."""

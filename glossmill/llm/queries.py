@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmill.llm import chat, line_dedup, near_dedup, neighbours, packing, quality_rules, sentencepieces, sharding
+from glossmill.llm import chat, class_lm, line_dedup, near_dedup, neighbours, packing, quality_rules, sentencepieces, sharding
 from glossmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,10 @@ def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard_documents(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -60,6 +64,7 @@ QUERIES: dict[str, Query] = {
     "op2_chat": op2_chat,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_pack": op4_pack,
+    "op5_class_lm": op5_class_lm,
     "op6_shard": op6_shard,
     "op7_near_dedup": op7_near_dedup,
     "op8_neighbours": op8_neighbours,
