@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmill.llm import chat, class_lm, line_dedup, near_dedup, neighbours, packing, quality_rules, sentencepieces, sharding
+from glossmill.llm import chat, class_lm, line_dedup, near_dedup, neighbours, packing, quality_rules, sentencepieces, sharding, substring_dedup
 from glossmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.md5(F.col("cleaned_text").cast("binary")).alias("cleaned_md5"), F.char_length("cleaned_text").cast("long").alias("cleaned_chars"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The passages of 50 words or more that a document shares with one of a smaller id."""
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_chat": op2_chat,
@@ -69,4 +74,5 @@ QUERIES: dict[str, Query] = {
     "op7_near_dedup": op7_near_dedup,
     "op8_neighbours": op8_neighbours,
     "op9_quality_rules": op9_quality_rules,
+    "op10_substring_dedup": op10_substring_dedup,
 }
