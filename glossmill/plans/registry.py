@@ -1,11 +1,582 @@
-"""The queries of this library and their SQL."""
+"""The queries of this library, each beside the SQL that checks it on the same tables."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from glossmill.functions import scores, text
+from glossmill.operators import curate, dedup, memory, segment
+from glossmill.plans import relations as R
+from glossmill.sources import files, sinks
+from glossmill.sources.files import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+_WS = r"\s+"
+_STRIP = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+_TOK = lambda x: f"list_distinct(list_filter(string_split_regex({x}, '\\s+'), lambda w: w <> ''))"
+
+
+def _score_sql(q: str, t: str) -> str:
+    a, b = f"lower({_STRIP(q)})", f"lower({_STRIP(t)})"
+    union = f"len(list_distinct(list_concat({_TOK(a)}, {_TOK(b)})))"
+    inter = f"len(list_intersect({_TOK(a)}, {_TOK(b)}))"
+    return (
+        f"CASE WHEN {a} = '' OR {b} = '' OR {a} IS NULL OR {b} IS NULL THEN 0.0::DOUBLE WHEN {a} = {b} THEN 1.0::DOUBLE "
+        f"WHEN contains({b}, {a}) THEN least(0.95::DOUBLE, 0.6::DOUBLE + 0.35::DOUBLE * length({a}) / length({b})) "
+        f"ELSE CASE WHEN {union} = 0 THEN 0.0::DOUBLE ELSE 0.25::DOUBLE * {inter} / {union} END END"
+    )
+
+
+# ---------------------------------------------------------------- sources
+
+
+@query("SELECT doc_id, lang, source, n_chars FROM documents")
+def document_scan(spark, d):
+    return table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars")
+
+
+_CHUNKS = """
+s AS (SELECT doc_id, text, list_filter(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS ss FROM docs_),
+e AS (SELECT doc_id, unnest(ss) AS x, generate_subscripts(ss, 1) AS si FROM s WHERE length(text) > {max}),
+u0 AS (SELECT doc_id, si, 0 AS wi, x, 's' AS kind FROM e WHERE length(x) <= {max}
+  UNION ALL SELECT doc_id, si, generate_subscripts(ws, 1), unnest(ws), 'w' FROM (SELECT doc_id, si, list_filter(string_split_regex(x, '\\s+'), lambda w: w <> '') AS ws FROM e WHERE length(x) > {max})),
+u AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY si, wi) AS i FROM u0),
+g AS (SELECT doc_id, i, x AS cur, 1::BIGINT AS chunk, kind, si FROM u WHERE i = 1
+  UNION ALL SELECT u.doc_id, u.i,
+    CASE WHEN u.kind = g.kind AND (u.kind = 's' OR u.si = g.si) AND length(g.cur) + 1 + length(u.x) <= {max} THEN g.cur || ' ' || u.x ELSE u.x END,
+    CASE WHEN u.kind = g.kind AND (u.kind = 's' OR u.si = g.si) AND length(g.cur) + 1 + length(u.x) <= {max} THEN g.chunk ELSE g.chunk + 1 END, u.kind, u.si
+  FROM g JOIN u ON u.doc_id = g.doc_id AND u.i = g.i + 1),
+c AS (SELECT doc_id, chunk, arg_max(cur, i) AS source FROM g GROUP BY doc_id, chunk UNION ALL SELECT doc_id, 1, text FROM s WHERE length(text) <= {max})
+"""
+
+
+@query(f"WITH RECURSIVE docs_ AS (SELECT doc_id, text FROM documents), {_CHUNKS.format(max=1200)} SELECT doc_id, chunk::INTEGER AS \"index\", source FROM c WHERE doc_id % 10 = 3")
+def segments_by_doc(spark, d):
+    """Segments of some documents: the predicate on the key reaches the scan."""
+    docs = table(spark, d, "documents").where("doc_id % 10 = 3")
+    return segment.segment_documents(docs).select("doc_id", "index", "source")
+
+
+_JSONL = """
+raw AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN '' WHEN event_id % 11 = 0 THEN '{"event": ' ELSE '{"event": ' || event_id || ', "kind": "' || event_type || '"}' END AS value FROM events)
+"""
+
+
+def _raw_lines(spark, d):
+    e = table(spark, d, "events")
+    line = F.when(F.col("event_id") % 7 == 0, "").when(F.col("event_id") % 11 == 0, '{"event": ').otherwise(F.concat(F.lit('{"event": '), F.col("event_id").cast("string"), F.lit(', "kind": "'), "event_type", F.lit('"}')))
+    return e.select("event_id", line.alias("value"))
+
+
+@query(f"WITH {_JSONL} SELECT CAST(json_extract(value, '$.event') AS BIGINT) AS event, json_extract_string(value, '$.kind') AS kind FROM raw WHERE json_valid(value) AND trim(value) <> ''")
+def jsonl_scan_valid(spark, d):
+    return files.parse_json_lines(_raw_lines(spark, d), "event bigint, kind string").select("r.event", "r.kind")
+
+
+@query(f"WITH {_JSONL} SELECT count(*) AS n_lines, count(*) FILTER (WHERE json_valid(value) AND trim(value) <> '') AS n_valid FROM raw")
+def accepted_count(spark, d):
+    """Lines as they are, and lines that hold a row."""
+    raw = _raw_lines(spark, d)
+    valid = files.parse_json_lines(raw, "event bigint, kind string").agg(F.count("*").alias("n_valid"))
+    return raw.agg(F.count("*").alias("n_lines")).join(valid)
+
+
+@query("""SELECT doc_id, lower(regexp_extract(path, '(\\.[^./\\\\]+)$', 1)) AS ext, lower(regexp_extract(path, '(\\.[^./\\\\]+)$', 1)) IN ('.pdf', '.docx') AS ok
+FROM (SELECT doc_id, 'dir.x/' || source || CASE doc_id % 4 WHEN 0 THEN '.PDF' WHEN 1 THEN '.docx' WHEN 2 THEN '' ELSE '.txt' END AS path FROM documents)""")
+def ext_dispatch(spark, d):
+    k = F.col("doc_id") % 4
+    path = F.concat(F.lit("dir.x/"), F.col("source"), F.when(k == 0, ".PDF").when(k == 1, ".docx").when(k == 2, "").otherwise(".txt"))
+    return table(spark, d, "documents").select("doc_id", files.extension(path).alias("ext"), files.supported(path).alias("ok"))
+
+
+# ---------------------------------------------------------------- normalisation and splitting
+
+_MESSY = "replace(replace(replace(text, 'a', 'أ'), 'e', 'ى'), 'o', 'ّ٣') || ' «x» ؟؟ _–– 😀 ..'"
+_PUNCT = "?.!,;:"
+
+
+def _dedup_punct_sql(x: str) -> str:
+    for c in _PUNCT:
+        x = f"regexp_replace({x}, '[{c}]+', '{c}', 'g')"
+    return x
+
+
+def _collapse_sql(x: str) -> str:
+    return _dedup_punct_sql(f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))")
+
+
+def _messy():
+    return F.concat(F.replace(F.replace(F.replace("text", F.lit("a"), F.lit("أ")), F.lit("e"), F.lit("ى")), F.lit("o"), F.lit("ّ٣")), F.lit(" «x» ؟؟ _–– 😀 .."))
+
+
+@query(f"""SELECT doc_id, {_collapse_sql("regexp_replace(replace(translate(translate(" + _MESSY + ", 'أإآٱىئ،؛؟«»٫．٠١٢٣٤٥٦٧٨٩–—−_‑“”„', 'اااايي,;?' || chr(34) || chr(34) || '..0123456789-----' || chr(34) || chr(34) || chr(34)), 'ًٌٍَُِّْـ', ''), '😀', ''), '-+', '-', 'g')")} AS normalized FROM documents""")
+def normalize_arabic(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.normalize_arabic(_messy()).alias("normalized"))
+
+
+@query(f"""SELECT page_id, {_collapse_sql("regexp_replace(regexp_replace(regexp_replace(translate(replace(translate(translate(nfc_normalize(replace(replace(html, chr(92) || chr(34), chr(34)), chr(92) || chr(92), chr(92))), '`´ʼ', ''''''''), '«»', chr(34) || chr(34)), ''': ' || chr(34) || ', ', chr(34)), '„–—−‒_‑', chr(34) || '------'), '-+', '-', 'g'), '<[^>]+>', '', 'g'), '\\p{C}', '', 'g')")} AS normalized FROM pages""")
+def normalize_latin(spark, d):
+    return table(spark, d, "pages").select("page_id", text.normalize_latin(F.col("html")).alias("normalized"))
+
+
+@query(f"SELECT doc_id, {_dedup_punct_sql('text')} AS cleaned FROM documents")
+def dup_punct(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.regexp_replace("text", text.REPEATED, "$1").alias("cleaned"))
+
+
+@query(f"SELECT doc_id, regexp_replace(regexp_replace({_STRIP('text')}, '[ \\t]+', ' ', 'g'), '\\s+([,.;:!?])', '\\1', 'g') AS cleaned FROM documents")
+def segment_ws(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.segment_whitespace(F.col("text")).alias("cleaned"))
+
+
+@query("SELECT doc_id, nfc_normalize(replace(text, 'e', 'e' || chr(769))) AS composed FROM documents")
+def nfc(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.nfc(F.replace("text", F.lit("e"), F.lit("é"))).alias("composed"))
+
+
+@query("SELECT page_id, regexp_replace(html, '<[^>]+>', '', 'g') AS stripped FROM pages")
+def strip_tags(spark, d):
+    return table(spark, d, "pages").select("page_id", text.strip_tags(F.col("html")).alias("stripped"))
+
+
+@query("SELECT doc_id, regexp_replace(text, '\\p{C}', '', 'g') AS stripped FROM documents")
+def strip_control(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.strip_control(F.col("text")).alias("stripped"))
+
+
+@query(f"""WITH RECURSIVE docs_ AS (SELECT doc_id, text FROM documents), {_CHUNKS.format(max=1200)} SELECT doc_id, chunk::INTEGER AS chunk, source AS piece FROM c""")
+def char_limit_split(spark, d):
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", F.posexplode(segment.split_by_limit(F.col("text"))).alias("i", "piece")).select("doc_id", (F.col("i") + 1).alias("chunk"), "piece")
+
+
+@query(f"""WITH RECURSIVE docs_ AS (SELECT doc_id, {_STRIP('text')} AS text FROM documents WHERE {_STRIP('text')} <> ''), {_CHUNKS.format(max=1200)}
+SELECT doc_id, chunk::INTEGER AS "index", 'paragraph' AS segment_type, {_STRIP('source')} AS source, 'pending' AS status FROM c""")
+def segment_document(spark, d):
+    return segment.segment_documents(table(spark, d, "documents")).select("doc_id", "index", "segment_type", "source", "status")
+
+
+@query(r"""WITH t AS (SELECT doc_id, regexp_replace(replace(text, chr(10), chr(13) || chr(10) || ' ' || chr(10)), '[ \t]+', ' ', 'g') AS t FROM documents),
+u AS (SELECT doc_id, replace(replace(t, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM t),
+p AS (SELECT doc_id, list_filter(list_transform(string_split_regex(t, '\n\s*\n+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ps FROM u WHERE regexp_matches(t, '\n\s*\n'))
+SELECT doc_id, (generate_subscripts(ps, 1) - 1)::INTEGER AS i, unnest(ps) AS paragraph FROM p""")
+def paragraph_split(spark, d):
+    """The branch of blank lines: each line end is made one."""
+    docs = table(spark, d, "documents").withColumn("t", F.replace("text", F.lit("\n"), F.lit("\r\n \n"))).where(F.contains("text", F.lit("\n")))
+    return docs.select("doc_id", F.posexplode(segment.split_paragraphs(F.col("t"))).alias("i", "paragraph"))
+
+
+@query(r"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '[.!?؟]+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ss FROM documents)
+SELECT doc_id, (generate_subscripts(ss, 1) - 1)::INTEGER AS pos, unnest(ss) AS sentence FROM s""")
+def sentence_explode(spark, d):
+    return R.sentence_rows(spark, d)
+
+
+_PREDICATES = r"""
+ends AS (SELECT doc_id, line, text, size_med, regexp_matches(regexp_replace(text, '[\s"'')\]}»”’]+$', ''), '(\.\.\.|…|[.!?؟])$') AS ends_sentence,
+  regexp_matches(text, '^\s*([-•*]|\d+[.)]|[a-zA-Z][.)])\s+\S+') AS list_item, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t, top, bottom, x0 FROM pages_),
+flags AS (SELECT *, t <> '' AND length(t) <= 80 AND NOT regexp_full_match(t, '\d+(\.\d+)*') AND size_med >= median(size_med) OVER (PARTITION BY doc_id) + 1.2 AND regexp_matches(t, '[A-Za-z]') AS heading FROM ends)
+"""
+
+
+@query(f"WITH {R.LINES}, {_PREDICATES} SELECT doc_id, line::INTEGER AS line, ends_sentence, list_item, heading FROM flags")
+def line_predicates(spark, d):
+    from pyspark.sql import Window
+
+    rows = R.page_lines(spark, d).withColumn("m", F.median("size_med").over(Window.partitionBy("doc_id")))
+    t = F.col("text")
+    return rows.select("doc_id", "line", text.ends_sentence(t).alias("ends_sentence"), text.looks_like_list_item(t).alias("list_item"), text.is_heading(t, F.col("size_med"), F.col("m")).alias("heading"))
+
+
+@query(rf"""WITH {R.LINES}, b AS (SELECT *, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t, count(*) OVER w AS n, min(top) OVER w AS p0, max(bottom) OVER w AS p1 FROM pages_ WINDOW w AS (PARTITION BY doc_id)),
+f AS (SELECT *, n >= 6 AND (t = '' OR (length(t) < 45 AND (top <= p0 + 0.07::DOUBLE * (p1 - p0) OR bottom >= p1 - 0.07::DOUBLE * (p1 - p0)) AND (regexp_full_match(t, '\d{{1,4}}') OR regexp_matches(t, 'arXiv:\s*\d') OR regexp_matches(t, '^\(?[Cc]opyright\)?')
+  OR length(regexp_replace(t, '[^\p{{L}}\p{{N}}]', '', 'g')) <= greatest(3, floor(length(t) * 0.25))))) AS gone FROM b)
+SELECT doc_id, line::INTEGER AS line, text FROM f WHERE NOT gone""")
+def drop_headers_footers(spark, d):
+    return segment.drop_headers_footers(R.page_lines(spark, d), ["doc_id"]).select("doc_id", "line", "text")
+
+
+@query(rf"""WITH {R.LINES}, {_PREDICATES},
+g AS (SELECT *, top - lag(bottom) OVER w AS gap, lag(x0) OVER w AS px, lag(heading) OVER w AS ph, lag(ends_sentence) OVER w AS pe, line = min(line) OVER (PARTITION BY doc_id) AS start FROM flags WINDOW w AS (PARTITION BY doc_id ORDER BY line)),
+h AS (SELECT *, greatest(6.0::DOUBLE, 2.2::DOUBLE * coalesce(median(gap) FILTER (WHERE gap BETWEEN 0 AND 40) OVER (PARTITION BY doc_id), 3.0::DOUBLE)) AS wide FROM g),
+k AS (SELECT *, sum(CASE WHEN start OR heading OR coalesce(ph, false) OR list_item OR coalesce((gap > wide OR x0 - px > 12) AND pe, false) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line) AS paragraph FROM h),
+j AS (SELECT doc_id, paragraph, coalesce(string_agg(t, chr(10) ORDER BY line) FILTER (WHERE t <> ''), '') AS x FROM k GROUP BY doc_id, paragraph),
+o AS (SELECT doc_id, paragraph, replace(regexp_replace(x, '-\n(\p{{Ll}})', '\1', 'g'), chr(10), ' ') AS x FROM j)
+SELECT doc_id, paragraph::BIGINT AS paragraph, regexp_replace(regexp_replace({_STRIP('x')}, '[ \t]+', ' ', 'g'), '\s+([,.;:!?])', '\1', 'g') AS text FROM o WHERE x <> ''""")
+def lines_to_paragraphs(spark, d):
+    return segment.lines_to_paragraphs(R.page_lines(spark, d), ["doc_id"])
+
+
+@query()
+def words_to_lines(spark, d):
+    lines = R.page_lines(spark, d)
+    words = lines.select("doc_id", F.posexplode(text.tokens(F.col("text"))).alias("k", "text"), "top", "bottom", F.col("size_med").alias("size"))
+    return segment.words_to_lines(words.select("doc_id", "text", (F.col("k") * 10.0).alias("x0"), (F.col("k") * 10.0 + 8).alias("x1"), "top", "bottom", "size"), ["doc_id"])
+
+
+@query()
+def merge_fragments(spark, d):
+    rows = segment.lines_to_paragraphs(R.page_lines(spark, d), ["doc_id"])
+    held = F.transform(F.array_sort(F.collect_list(F.struct("paragraph", "text"))), lambda x: x["text"])
+    return rows.groupBy("doc_id").agg(held.alias("p")).select("doc_id", F.posexplode(segment.merge_fragments(F.col("p"))).alias("i", "text"))
+
+
+# ---------------------------------------------------------------- memory
+
+_QUERY = "the"
+
+
+@query(f"WITH {R.MEMORY}, s AS (SELECT ord, source, target, {_score_sql(repr(_QUERY), 'source')} AS score FROM m WHERE language_pair = 'en-ar') SELECT source, target, score, ord FROM s WHERE score > 0 ORDER BY score DESC, ord LIMIT 10")
+def tm_search(spark, d):
+    return memory.search(R.memory(spark, d), _QUERY)
+
+
+@query(f"""WITH {R.MEMORY}, q AS (SELECT conv_id * 1000 + turn AS query_id, split_part(text, '.', 1) AS query FROM conversations WHERE role = 'user' AND turn <= 1),
+s AS (SELECT query_id, ord, {_score_sql('query', 'source')} AS score FROM q, m WHERE language_pair = 'en-ar'),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ord) AS rank FROM s WHERE score > 0) SELECT query_id, rank::INTEGER AS rank, ord, score FROM r WHERE rank <= 10""")
+def tm_search_all(spark, d):
+    asked = table(spark, d, "conversations").where("role = 'user' AND turn <= 1").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.split_part("text", F.lit("."), F.lit(1)).alias("query"), F.lit("en-ar").alias("language_pair"))
+    return memory.search_all(R.memory(spark, d), asked)
+
+
+@query(f"WITH {R.MEMORY} SELECT ord, source, {_score_sql(repr('Of the. ')[:-3] + chr(39), 'source')} AS score FROM m")
+def tm_score(spark, d):
+    return R.memory(spark, d).select("ord", "source", scores.memory_score(F.lit("Of the"), F.col("source")).alias("score"))
+
+
+@query(f"WITH {R.MEMORY} SELECT ord, language_pair, source, target FROM m UNION ALL SELECT -conv_id - 1, 'en-ar', text, text FROM conversations WHERE turn = 0")
+def tm_after_add(spark, d):
+    new = table(spark, d, "conversations").where("turn = 0").select((-F.col("conv_id") - 1).alias("ord"), F.lit("en-ar").alias("language_pair"), F.col("text").alias("source"), F.col("text").alias("target"))
+    return memory.add_entries(R.memory(spark, d), new)
+
+
+_SEGMENTS = "g AS (SELECT 'seg_' || doc_id || '_' || line AS id, doc_id, line AS \"index\", text AS source, '' AS human_edit, 'pending' AS status FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents))"
+
+
+def _segments(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "source"))
+    return rows.select(F.concat(F.lit("seg_"), F.col("doc_id").cast("string"), F.lit("_"), (F.col("i") + 1).cast("string")).alias("id"), "doc_id", (F.col("i") + 1).alias("index"), "source", F.lit("").alias("human_edit"), F.lit("pending").alias("status"))
+
+
+@query(f"WITH {_SEGMENTS} SELECT id, doc_id, source FROM g WHERE id = 'seg_3_1' ORDER BY doc_id, \"index\" LIMIT 1")
+def find_segment(spark, d):
+    return memory.find_first(_segments(spark, d), F.lit("seg_3_1"), ["doc_id", "index"]).select("id", "doc_id", "source")
+
+
+@query(f"WITH {_SEGMENTS} SELECT g.id, g.doc_id, g.source, CASE WHEN e.doc_id IS NOT NULL AND g.\"index\" = 1 THEN 'edit ' || e.quality ELSE g.human_edit END AS human_edit, CASE WHEN e.doc_id IS NOT NULL AND g.\"index\" = 1 THEN 'accept' ELSE g.status END AS status FROM g LEFT JOIN labels e ON e.doc_id = g.doc_id")
+def segment_update(spark, d):
+    new = table(spark, d, "labels").select(F.concat(F.lit("seg_"), F.col("doc_id").cast("string"), F.lit("_1")).alias("id"), F.concat(F.lit("edit "), F.col("quality").cast("string")).alias("human_edit"), F.lit("accept").alias("status"))
+    return memory.update(_segments(spark, d), new, "id", ["human_edit", "status"], ["doc_id", "index"]).select("id", "doc_id", "source", "human_edit", "status")
+
+
+@query(f"WITH {_SEGMENTS} SELECT g.id, CASE WHEN e.doc_id IS NOT NULL AND g.\"index\" = 2 THEN 'draft' ELSE g.human_edit END AS human_edit, g.status FROM g LEFT JOIN labels e ON e.doc_id = g.doc_id")
+def draft_update(spark, d):
+    new = table(spark, d, "labels").select(F.concat(F.lit("seg_"), F.col("doc_id").cast("string"), F.lit("_2")).alias("id"), F.lit("draft").alias("human_edit"))
+    return memory.update(_segments(spark, d), new, "id", ["human_edit"], ["doc_id", "index"]).select("id", "human_edit", "status")
+
+
+@query(f"WITH {R.PAYLOAD} SELECT conv_id, turn AS \"index\", CASE WHEN turn % 4 = 0 THEN {_STRIP('human_edit')} ELSE {_STRIP('model1')} END AS text FROM payload WHERE CASE WHEN turn % 4 = 0 THEN {_STRIP('human_edit')} ELSE {_STRIP('model1')} END <> ''")
+def export_lines(spark, d):
+    rows = R.payload(spark, d).withColumn("human_edit", F.when(F.col("turn") % 4 == 0, F.col("human_edit")).otherwise("  ")).withColumnRenamed("turn", "index")
+    return sinks.export_lines(rows, ["conv_id"])
+
+
+# ---------------------------------------------------------------- scores and decisions
+
+_MODELS = "o AS (SELECT item_id, human_edit, unnest(['model1', 'model2', 'model3']) AS model, unnest([model1, model2, model3]) AS ref FROM payload)"
+
+
+def _grams_sql(n: str, x: str) -> str:
+    return f"list_transform(range(1, greatest(length({x}) - {n} + 2, 1)), lambda i: substr({x}, i, {n}))"
+
+
+_CHRF = f"""
+z AS (SELECT item_id, model, regexp_replace(human_edit, '\\s+', '', 'g') AS h, regexp_replace(ref, '\\s+', '', 'g') AS r FROM o),
+k AS (SELECT * FROM z, (SELECT unnest(range(1, 7)) AS n)),
+gg AS (SELECT item_id, model, n, unnest({_grams_sql('n', 'h')}) AS gram, 1 AS a, 0 AS b FROM k UNION ALL SELECT item_id, model, n, unnest({_grams_sql('n', 'r')}), 0, 1 FROM k),
+gc AS (SELECT item_id, model, n, gram, sum(a) AS a, sum(b) AS b FROM gg GROUP BY ALL),
+gn AS (SELECT item_id, model, n, sum(least(a, b))::DOUBLE AS m, sum(a) AS h, sum(b) AS r FROM gc GROUP BY ALL HAVING sum(a) > 0 AND sum(b) > 0),
+gl AS (SELECT item_id, model, list(m / h ORDER BY n) AS ps, list(m / r ORDER BY n) AS qs FROM gn GROUP BY ALL),
+gp AS (SELECT item_id, model, list_reduce(list_concat([0.0::DOUBLE], ps), lambda x, y: x + y) / len(ps) AS p, list_reduce(list_concat([0.0::DOUBLE], qs), lambda x, y: x + y) / len(qs) AS q FROM gl),
+chrf_ AS (SELECT z.item_id, z.model, coalesce(CASE WHEN p + q = 0 THEN 0 ELSE 5.0::DOUBLE * p * q / (4.0::DOUBLE * p + q) END, 0.0::DOUBLE) AS chrf FROM z LEFT JOIN gp USING (item_id, model))
+"""
+_TRI = f"""
+tg AS (SELECT item_id, model, unnest({_grams_sql('3', 'human_edit')}) AS gram, 1 AS a, 0 AS b FROM o UNION ALL SELECT item_id, model, unnest({_grams_sql('3', 'ref')}), 0, 1 FROM o),
+tc AS (SELECT item_id, model, gram, sum(a) AS a, sum(b) AS b FROM tg GROUP BY ALL),
+ts AS (SELECT item_id, model, sum(a * b)::DOUBLE AS d, sum(a * a)::DOUBLE AS x, sum(b * b)::DOUBLE AS y FROM tc GROUP BY ALL),
+sim_ AS (SELECT o.item_id, o.model, CASE WHEN human_edit = ref THEN 1.0::DOUBLE ELSE coalesce(CASE WHEN x = 0 OR y = 0 THEN 0 ELSE d / sqrt(x * y) END, 0.0::DOUBLE) END AS similarity FROM o LEFT JOIN ts USING (item_id, model))
+"""
+
+
+def _pairs(spark, d):
+    return curate.model_pairs(R.payload(spark, d), "item_id")
+
+
+@query(f"WITH {R.PAYLOAD}, {_MODELS}, {_CHRF} SELECT item_id, model, chrf FROM chrf_")
+def chrf_pairs(spark, d):
+    return scores.chrf(_pairs(spark, d), ["item_id", "model"])
+
+
+@query(f"WITH {R.PAYLOAD}, {_MODELS}, {_TRI} SELECT item_id, model, similarity FROM sim_")
+def text_similarity(spark, d):
+    return scores.trigram_cosine(_pairs(spark, d), ["item_id", "model"])
+
+
+_RATIO = "least(length(ref), length(human_edit))::DOUBLE / greatest(length(ref), length(human_edit), 1)"
+
+
+@query(f"WITH {R.PAYLOAD}, {_MODELS} SELECT item_id, model, {_RATIO} AS ratio FROM o")
+def length_ratio(spark, d):
+    return _pairs(spark, d).select("item_id", "model", scores.length_ratio(F.col("ref"), F.col("hyp")).alias("ratio"))
+
+
+_SCORES = f"""
+sc AS (SELECT o.item_id, o.human_edit, max(similarity) AS max_similarity, max(chrf) AS max_chrf, list(chrf ORDER BY o.model) AS cs, max({_RATIO}) AS max_ratio, max(length(ref)) AS longest
+  FROM o JOIN chrf_ USING (item_id, model) JOIN sim_ USING (item_id, model) GROUP BY o.item_id, o.human_edit),
+sm AS (SELECT *, list_reduce(list_concat([0.0::DOUBLE], cs), lambda x, y: x + y) / len(cs) AS mean_chrf FROM sc),
+si AS (SELECT *, CASE WHEN length(human_edit) > 1.3 * longest THEN 0.7::DOUBLE WHEN length(human_edit) > longest THEN 0.5::DOUBLE ELSE 0.2::DOUBLE END * 0.3::DOUBLE + least(2 * mean_chrf, 1.0::DOUBLE) * 0.7::DOUBLE AS imp FROM sm)
+"""
+
+
+@query(f"WITH {R.PAYLOAD}, {_MODELS}, {_CHRF}, {_TRI}, {_SCORES} SELECT item_id, max_similarity, max_chrf, mean_chrf, max_ratio, longest::INTEGER AS longest, imp AS improvement FROM si")
+def improvement_score(spark, d):
+    items = R.payload(spark, d)
+    s = curate.model_scores(items, "item_id").join(items.select("item_id", "human_edit"), "item_id")
+    return s.select("item_id", "max_similarity", "max_chrf", "mean_chrf", "max_ratio", "longest", scores.improvement(F.length("human_edit"), F.col("longest"), F.col("mean_chrf")).alias("improvement"))
+
+
+@query(f"WITH {R.PAYLOAD}, {_MODELS}, {_CHRF}, {_TRI}, {_SCORES} SELECT item_id, 0.4::DOUBLE * max_chrf + 0.1::DOUBLE * max_ratio + 0.5::DOUBLE * 1.0::DOUBLE AS final FROM si")
+def final_score(spark, d):
+    s = curate.model_scores(R.payload(spark, d), "item_id")
+    return s.select("item_id", scores.final_score(F.col("max_chrf"), F.col("max_ratio"), F.lit(1.0)).alias("final"))
+
+
+@query("SELECT doc_id, CASE WHEN contains(text, '1') AND NOT contains(right(text, 10), '0') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS judged FROM documents")
+def judge_parse(spark, d):
+    return table(spark, d, "documents").select("doc_id", scores.judge_reply(F.col("text")).alias("judged"))
+
+
+_DECIDE = f"""{_SCORES},
+jj AS (SELECT si.*, coalesce(1.0::DOUBLE - l.toxic, 1.0::DOUBLE) AS meaning, coalesce(l.quality::DOUBLE, 1.0::DOUBLE) AS quality FROM si JOIN payload p USING (item_id) LEFT JOIN labels l ON l.doc_id = p.conv_id),
+j2 AS (SELECT *, CASE WHEN quality >= 0.5 THEN quality ELSE 1.0::DOUBLE END AS j0 FROM jj),
+j3 AS (SELECT *, CASE WHEN max_similarity > 0.85 AND j0 > 0.5 THEN imp ELSE j0 END AS j FROM j2),
+jf AS (SELECT *, 0.4::DOUBLE * max_chrf + 0.1::DOUBLE * max_ratio + 0.5::DOUBLE * j AS fin FROM j3),
+dd AS (SELECT *, CASE WHEN max_similarity >= 0.995 THEN 1 WHEN meaning < 0.5 THEN 2 WHEN max_similarity >= 0.92 AND quality < 0.5 AND imp < 0.6 THEN 3 WHEN max_similarity < 0.92 AND quality < 0.5 AND imp < 0.5 THEN 4
+  WHEN (max_similarity > 0.9 AND fin > 0.8) OR fin >= 0.70 THEN 5 ELSE 6 END AS rule FROM jf),
+decided AS (SELECT item_id, CASE WHEN rule = 5 THEN 'accept' ELSE 'reject' END AS decision, CASE WHEN rule IN (1, 2) THEN 0.0::DOUBLE WHEN rule IN (3, 4) THEN imp ELSE fin END AS score,
+  CASE rule WHEN 1 THEN printf('human edit too similar to model output (similarity=%.3f)', max_similarity) WHEN 2 THEN 'translation may not preserve source meaning'
+  WHEN 3 THEN printf('high similarity (%.3f) with insufficient improvement', max_similarity) WHEN 4 THEN 'not better than model outputs' WHEN 6 THEN printf('confidence score below threshold (%.3f < 0.7)', fin) END AS reason FROM dd)
+"""
+_ALL = f"{R.PAYLOAD}, {_MODELS}, {_CHRF}, {_TRI}, {_DECIDE}"
+
+
+@query(f"WITH {_ALL} SELECT item_id, decision, score, reason FROM decided")
+def validate_decisions(spark, d):
+    return curate.validate(R.judged(spark, d), "item_id").select("item_id", "decision", "score", "reason")
+
+
+@query(f"WITH {_ALL} SELECT item_id, decision, decision = CASE WHEN item_id % 2 = 0 THEN 'accept' ELSE 'reject' END AS test_passed FROM decided")
+def expected_match(spark, d):
+    got = curate.validate(R.judged(spark, d), "item_id")
+    return got.select("item_id", "decision", F.col("decision").eqNullSafe(F.when(F.col("item_id") % 2 == 0, "accept").otherwise("reject")).alias("test_passed"))
+
+
+@query(f"WITH {_ALL} SELECT p.item_id, p.source AS source_text, 'en-ar' AS language_pair, p.human_edit AS human_translation, d.score FROM decided d JOIN payload p USING (item_id) WHERE decision = 'accept'")
+def accepted_rows(spark, d):
+    got = curate.validate(R.judged(spark, d), "item_id").select("item_id", F.col("source").alias("source_text"), F.lit("en-ar").alias("language_pair"), "llm_outputs", F.col("human_edit").alias("human_translation"), "score", F.lit("2024-01-01T00:00:00+00:00").alias("timestamp"), "decision", "reason")
+    return curate.accepted_rows(got).select("item_id", "source_text", "language_pair", "human_translation", "score")
+
+
+@query(f"WITH {_ALL}, e AS (SELECT item_id, row_number() OVER (PARTITION BY p.human_edit ORDER BY item_id) AS n FROM decided JOIN payload p USING (item_id) WHERE decision = 'accept') SELECT d.item_id, CASE WHEN e.n > 1 THEN 'reject' ELSE d.decision END AS decision, CASE WHEN e.n > 1 THEN 'duplicate human correction' ELSE d.reason END AS reason, coalesce(CASE WHEN e.n > 1 THEN 'reject' ELSE d.decision END = 'accept', false) AS stored FROM decided d LEFT JOIN e USING (item_id)")
+def process_batch(spark, d):
+    """A batch through all steps: decided, accepted ones freed of copies, each with its outcome."""
+    got = curate.validate(R.judged(spark, d), "item_id")
+    first = dedup.keep_first(got.where("decision = 'accept'"), ["human_edit"], ["item_id"]).select("item_id", "kept")
+    out = got.join(first, "item_id", "left")
+    copy = F.coalesce(~F.col("kept"), F.lit(False))
+    decision = F.when(copy, "reject").otherwise(F.col("decision"))
+    return out.select("item_id", decision.alias("decision"), F.when(copy, "duplicate human correction").otherwise(F.col("reason")).alias("reason"), (decision == "accept").alias("stored"))
+
+
+_FALL = f"""fb AS (SELECT item_id, conv_id, CASE WHEN e = '' THEN 'empty human_edit' WHEN length(e) < 8 THEN 'too short' ELSE '' END AS reason FROM (SELECT item_id, conv_id, {_STRIP("substr(human_edit, 1, (item_id % 12)::INTEGER)")} AS e FROM payload))"""
+
+
+def _fallback(spark, d):
+    items = R.payload(spark, d).withColumn("human_edit", F.substr("human_edit", F.lit(1), (F.col("item_id") % 12).cast("int")))
+    return curate.fallback_rules(items)
+
+
+@query(f"WITH {R.PAYLOAD}, {_FALL} SELECT item_id, CASE WHEN reason = '' THEN 'accept' ELSE 'reject' END AS decision, reason FROM fb")
+def fallback_rules(spark, d):
+    return _fallback(spark, d).select("item_id", "decision", "reason")
+
+
+@query(f"WITH {R.PAYLOAD}, {_FALL}, c AS (SELECT conv_id, count(*) FILTER (WHERE reason = '') AS n_accepted FROM fb GROUP BY conv_id) SELECT conv_id, n_accepted, CASE WHEN n_accepted >= 4 THEN 'finetune_dataset.jsonl' WHEN n_accepted = 0 THEN 'no correction was accepted' END AS dataset_path FROM c")
+def fallback_summary(spark, d):
+    return curate.fallback_summary(_fallback(spark, d), ["conv_id"])
+
+
+@query(f"WITH {R.PAYLOAD}, e AS (SELECT item_id, {_STRIP('substr(human_edit, 1, (item_id % 3)::INTEGER)')} <> '' AS some FROM payload) SELECT item_id, CASE WHEN some THEN 'accept' ELSE 'reject' END AS decision, CASE WHEN some THEN 'stub_accept_nonempty' ELSE 'stub_reject_empty' END AS reason FROM e")
+def stub_rules(spark, d):
+    items = R.payload(spark, d).withColumn("human_edit", F.substr("human_edit", F.lit(1), (F.col("item_id") % 3).cast("int")))
+    return curate.strategy("stub")(items).select("item_id", "decision", "reason")
+
+
+@query(f"WITH {R.PAYLOAD} SELECT conv_id, count(*) AS n_items, count(*) FILTER (WHERE length(human_edit) > 500) AS n_long, coalesce(bool_or(length(human_edit) > 500), false) AS any_long FROM payload GROUP BY conv_id")
+def batch_summary(spark, d):
+    long = F.length("human_edit") > 500
+    return R.payload(spark, d).groupBy("conv_id").agg(F.count("*").alias("n_items"), F.count_if(long).alias("n_long"), F.bool_or(long).alias("any_long"))
+
+
+def _norm_sql(x: str) -> str:
+    return _collapse_sql(f"regexp_replace(translate({x}, '_', '-'), '-+', '-', 'g')")
+
+
+@query(f"WITH {R.PAYLOAD} SELECT item_id, source, {_norm_sql('human_edit')} AS human_edit, {_norm_sql('model1')} AS model1, {_norm_sql('model3')} AS model3, CASE WHEN {_norm_sql('human_edit')} = '' THEN 'preprocess_failed' ELSE 'ok' END AS status FROM payload")
+def preprocess_items(spark, d):
+    return curate.preprocess(R.payload(spark, d)).select("item_id", "source", "human_edit", F.col("llm_outputs")["model1"].alias("model1"), F.col("llm_outputs")["model3"].alias("model3"), "status")
+
+
+@query("SELECT conv_id, turn, nullif(concat_ws(',', CASE WHEN turn % 3 = 0 THEN 'MISSING_SOURCE' END, CASE WHEN role <> 'user' THEN 'MISSING_HUMAN_EDIT' END), '') AS error FROM conversations")
+def payload_validate(spark, d):
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 3 != 0, F.col("text")).alias("source"), F.create_map(F.lit("model1"), "text").alias("llm_outputs"), F.when(F.col("role") == "user", F.col("text")).alias("human_edit"))
+    return curate.validate_payload(rows).select("conv_id", "turn", "error")
+
+
+@query("SELECT conv_id, turn FROM conversations WHERE role = 'user' AND turn % 3 <> 0")
+def schema_valid(spark, d):
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 3 != 0, F.col("text")).alias("source_text"), F.lit("en-ar").alias("language_pair"), F.create_map(F.lit("a"), "text").alias("llm_outputs"), F.when(F.col("role") == "user", F.col("text")).alias("human_translation"), F.lit(1.0).alias("score"), F.lit("t").alias("timestamp"))
+    return curate.schema_valid(rows).select("conv_id", "turn")
+
+
+@query(f"WITH {R.PAYLOAD} SELECT item_id, model1 AS output FROM payload")
+def first_model_output(spark, d):
+    return R.payload(spark, d).select("item_id", curate.first_output(F.col("llm_outputs")).alias("output"))
+
+
+@query("SELECT conv_id, turn, 'first answer' AS model1, 'no answer' AS model9 FROM conversations WHERE role = 'user'")
+def generate_outputs(spark, d):
+    rows = table(spark, d, "conversations").where("role = 'user'")
+    got = curate.generate_outputs(rows, ["model1", "model9"], {"model1": "first answer"}, "no answer")
+    return got.select("conv_id", "turn", F.col("llm_outputs")["model1"].alias("model1"), F.col("llm_outputs")["model9"].alias("model9"))
+
+
+@query(f"""WITH {R.PAYLOAD}, r AS (SELECT item_id, unnest([1, 2]) AS ordinal, unnest([CASE WHEN item_id % 3 = 0 THEN 'accept' ELSE 'error' END, CASE WHEN item_id % 5 = 0 THEN 'error' ELSE 'reject' END]) AS decision, unnest(['first', CASE WHEN item_id % 2 = 0 THEN '' ELSE 'second' END]) AS reason FROM payload),
+l AS (SELECT item_id, arg_max(decision, ordinal) AS decision, arg_max(reason, ordinal) AS reason FROM r GROUP BY item_id)
+SELECT 'seg_' || p.item_id AS segment_id, decision AS status, coalesce(nullif(reason, ''), 'message') AS reason FROM payload p JOIN l USING (item_id) WHERE p.turn % 4 = 0 AND decision IN ('accept', 'reject')""")
+def batch_status_update(spark, d):
+    p = R.payload(spark, d).withColumnRenamed("item_id", "position")
+    k = F.col("position")
+    one = p.select(F.lit(1).alias("ordinal"), "position", F.when(k % 3 == 0, "accept").otherwise("error").alias("decision"), F.lit("first").alias("reason"), F.lit("message").alias("message"))
+    two = p.select(F.lit(2).alias("ordinal"), "position", F.when(k % 5 == 0, "error").otherwise("reject").alias("decision"), F.when(k % 2 == 0, "").otherwise("second").alias("reason"), F.lit("message").alias("message"))
+    seg = F.when(F.col("turn") % 4 == 0, F.concat(F.lit("seg_"), k.cast("string")))
+    return curate.status_update(one.union(two), p.select("position", seg.alias("segment_id")))
+
+
+_LOG = "lg AS (SELECT item_id AS pos, CASE WHEN item_id % 5 = 0 THEN ' ' ELSE source END AS source_text, human_edit AS human_translation, model1 FROM payload)"
+
+
+def _log(spark, d):
+    return R.payload(spark, d).select(F.col("item_id").alias("pos"), F.when(F.col("item_id") % 5 == 0, " ").otherwise(F.col("source")).alias("source_text"), F.col("human_edit").alias("human_translation"), "llm_outputs")
+
+
+@query(f"WITH {R.PAYLOAD}, {_LOG}, z AS (SELECT * FROM lg ORDER BY pos DESC LIMIT 50) SELECT pos, source_text FROM z WHERE trim(source_text) <> ''")
+def few_shot_tail(spark, d):
+    return curate.last_rows(_log(spark, d)).select("pos", "source_text")
+
+
+@query(f"WITH {R.PAYLOAD}, {_LOG}, z AS (SELECT * FROM lg ORDER BY pos DESC LIMIT 5) SELECT string_agg('Source: ' || source_text || chr(10) || 'Model: ' || model1 || chr(10) || 'Human: ' || human_translation || chr(10), chr(10) ORDER BY pos) || chr(10) || 'Source: s' || chr(10) || 'Model: m' || chr(10) || 'Human:' AS prompt FROM z WHERE trim(source_text) <> ''")
+def few_shot_prompt(spark, d):
+    return curate.few_shot_prompt(curate.last_rows(_log(spark, d), 5), "s", "m")
+
+
+@query("SELECT user_id, count(*) AS n, count(*) >= 10000 OR date_diff('microsecond', min(ts), TIMESTAMP '2024-01-20') >= 7 * 86400000000 AS triggered FROM events GROUP BY user_id")
+def cycle_trigger(spark, d):
+    got = table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.min("ts").alias("t"))
+    return got.select("user_id", "n", curate.cycle_trigger(F.col("n"), F.col("t"), F.to_timestamp(F.lit("2024-01-20 00:00:00"))).alias("triggered"))
+
+
+# ---------------------------------------------------------------- vectors and dedup
+
+_VEC = "v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)"
+_THRESHOLD = 0.35
+
+
+def _vectors(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+
+
+@query(f"WITH {_VEC} SELECT a.vec_id AS a, b.vec_id AS b, list_inner_product(a.v, b.v) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_inner_product(a.v, b.v) >= {_THRESHOLD}")
+def cosine_pairs(spark, d):
+    v = _vectors(spark, d)
+    return dedup.similar_pairs(v, v, _THRESHOLD).where("a <> b")
+
+
+@query(f"WITH {_VEC}, p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_inner_product(a.v, b.v) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS n FROM p) SELECT a, b, score FROM r WHERE n = 1")
+def nearest_neighbor(spark, d):
+    v = _vectors(spark, d)
+    return dedup.nearest(v, v)
+
+
+@query(f"WITH {_VEC} SELECT vec_id, list_transform(v, lambda x: x / (sqrt(list_inner_product(v, v)) + 1e-12::DOUBLE)) AS unit FROM v")
+def l2_normalize(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", scores.l2_normalize(F.col("embedding")).alias("unit"))
+
+
+@query(f"WITH {_VEC}, q AS (SELECT vec_id // 4 AS item_id, vec_id, v FROM v WHERE vec_id % 2 = 0), m AS (SELECT vec_id, v FROM v WHERE vec_id % 2 = 1) SELECT item_id, bool_or(EXISTS (SELECT 1 FROM m WHERE list_inner_product(q.v, m.v) >= {_THRESHOLD})) AS duplicate FROM q GROUP BY item_id")
+def is_duplicate(spark, d):
+    v = _vectors(spark, d)
+    items = v.where("id % 2 = 0").withColumn("item_id", F.floor(F.col("id") / 4))
+    return dedup.is_duplicate(items, v.where("id % 2 = 1"), _THRESHOLD)
+
+
+@query(f"""WITH RECURSIVE {_VEC}, e AS (SELECT b.vec_id AS b, list(a.vec_id) AS earlier FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE list_inner_product(a.v, b.v) >= {_THRESHOLD} GROUP BY b.vec_id),
+o AS (SELECT vec_id, coalesce(earlier, []) AS earlier, row_number() OVER (ORDER BY vec_id) AS n FROM v LEFT JOIN e ON e.b = v.vec_id),
+g AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS kept UNION ALL SELECT o.n, CASE WHEN len(list_intersect(o.earlier, g.kept)) = 0 THEN list_append(g.kept, o.vec_id) ELSE g.kept END FROM g JOIN o ON o.n = g.n + 1)
+SELECT vec_id AS id, list_contains((SELECT kept FROM g ORDER BY n DESC LIMIT 1), vec_id) AS kept FROM v""")
+def greedy_dedup(spark, d):
+    v = _vectors(spark, d)
+    return dedup.greedy_keep(v.select("id"), dedup.similar_pairs(v, v, _THRESHOLD).where("a < b"), sinks.Staging(spark))
+
+
+@query(r"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '[.!?؟]+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')[1] AS s FROM documents) SELECT doc_id, row_number() OVER (PARTITION BY s ORDER BY doc_id) = 1 AS kept FROM s WHERE s IS NOT NULL""")
+def greedy_dedup_exact(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", F.get(text.sentences(F.col("text")), F.lit(0)).alias("s")).where("s IS NOT NULL")
+    return dedup.keep_first(rows, ["s"], ["doc_id"]).select("doc_id", "kept")
+
+
+@query(rf"WITH {R.PAYLOAD}, s AS (SELECT item_id, list_filter(list_transform(string_split_regex(human_edit, '[.!?؟]+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ss FROM payload WHERE trim(human_edit) <> '') SELECT item_id, (generate_subscripts(ss, 1) - 1)::INTEGER AS pos, unnest(ss) AS sentence FROM s")
+def memory_preload(spark, d):
+    """The text part of loading the memory: sentences of accepted translations that aren't blank."""
+    rows = R.payload(spark, d).where(text.strip(F.col("human_edit")) != "")
+    return rows.select("item_id", F.posexplode(text.sentences(F.col("human_edit"))).alias("pos", "sentence"))
+
+
+@query()
+def detect_language(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.language_by_script(F.col("text")).alias("detected"))
