@@ -38,10 +38,19 @@ def l2_normalize(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / norm)
 
 
-def grams(c: Column, n: int, drop_space: bool = True) -> Column:
-    s = F.regexp_replace(c, r"(?U)\s+", "") if drop_space else c
-    some = F.transform(F.sequence(F.lit(1), F.length(s) - (n - 1)), lambda i: F.substr(s, i, F.lit(n)))
-    return F.when(F.length(s) >= n, some).otherwise(F.array().cast("array<string>"))
+def with_grams(df: DataFrame, text: Column, orders: list[int]) -> DataFrame:
+    """df with an array column __g1, __g2, .. for each order up to the largest: the character
+    n-grams of the text, each made from the one a character shorter."""
+    df = df.withColumn("__c", F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))).withColumn("__g1", F.col("__c"))
+
+    def longer(n: int) -> Column:
+        shorter = F.col(f"__g{n - 1}")
+        some = F.slice(shorter, F.lit(1), F.greatest(F.size(shorter) - 1, F.lit(0)))
+        return F.transform(some, lambda x, i: F.concat(x, F.get(F.col("__c"), i + (n - 1))))
+
+    for n in range(2, max(orders) + 1):
+        df = df.withColumn(f"__g{n}", longer(n))
+    return df
 
 
 def gram_counts(pairs: DataFrame, keys: list[str], orders: list[int], drop_space: bool = True, hyp: str = "hyp", ref: str = "ref") -> DataFrame:
@@ -49,8 +58,10 @@ def gram_counts(pairs: DataFrame, keys: list[str], orders: list[int], drop_space
     shuffle, with counts combined before it."""
 
     def side(c: str, flag: int) -> DataFrame:
-        each = F.array(*[F.struct(F.lit(n).alias("n"), grams(F.col(c), n, drop_space).alias("g")) for n in orders])
-        return pairs.select(*keys, F.explode(each).alias("o")).select(*keys, "o.n", F.explode("o.g").alias("gram"), F.lit(flag).alias("side"))
+        text = F.regexp_replace(c, r"(?U)\s+", "") if drop_space else F.col(c)
+        made = with_grams(pairs.select(*keys, text.alias("__t")), F.col("__t"), orders)
+        each = F.array(*[F.struct(F.lit(n).alias("n"), F.col(f"__g{n}").alias("g")) for n in orders])
+        return made.select(*keys, F.explode(each).alias("o")).select(*keys, "o.n", F.explode("o.g").alias("gram"), F.lit(flag).alias("side"))
 
     both = side(hyp, 0).union(side(ref, 1))
     return both.groupBy(*keys, "n", "gram").agg(F.count_if(F.col("side") == 0).alias("h"), F.count_if(F.col("side") == 1).alias("r"))
@@ -80,7 +91,7 @@ def trigram_cosine(pairs: DataFrame, keys: list[str]) -> DataFrame:
 
 def improvement(length: Column, longest: Column, mean_chrf: Column) -> Column:
     """How much a text adds to what models gave: by length and by character F-score."""
-    by_length = F.when(length > 1.3 * longest, 0.7).when(length > 0.5 * longest, 0.5).otherwise(0.2)
+    by_length = F.when(length > 1.3 * longest, 0.7).when(length > longest, 0.5).otherwise(0.2)
     return by_length * 0.3 + F.least(2 * mean_chrf, F.lit(1.0)) * 0.7
 
 

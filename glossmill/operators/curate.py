@@ -159,4 +159,4 @@ def few_shot_prompt(rows: DataFrame, source: str, output: str, position: str = "
 
 
 def cycle_trigger(n_rows: Column, last_reset: Column, now: Column, rows: int = 10_000, days: int = 7) -> Column:
-    return (n_rows >= rows) | (F.unix_micros(now) - F.unix_micros(last_reset) >= days * 86_400_000_000)
+    return (n_rows >= rows) | (F.unix_micros(now.cast("timestamp")) - F.unix_micros(last_reset.cast("timestamp")) >= days * 86_400_000_000)

@@ -24,18 +24,28 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, block_row
     def meet(x: pa.Table, y: pa.Table) -> pa.Table:
         if not x.num_rows or not y.num_rows:
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        p, q = _matrix(x, "v"), _matrix(y, "v")
+        p, q = _matrix(x, "v"), _matrix(y, "w")
         i, j = np.nonzero(p @ q.T >= threshold - 1e-9)
         score = np.zeros(len(i))
         for d in range(p.shape[1]):
             score += p[i, d] * q[j, d]
         keep = score >= threshold
-        return pa.table({"a": x.column("id").to_numpy()[i[keep]], "b": y.column("id").to_numpy()[j[keep]], "score": score[keep]})
+        return pa.table({"a": x.column("id").to_numpy()[i[keep]], "b": y.column("other").to_numpy()[j[keep]], "score": score[keep]})
 
     blocks = lambda df: max(1, -(-df.count() // block_rows))
     m, n = blocks(left), blocks(right)
-    deal = lambda df, own, k, other, size: df.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(k)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias(other)).select("bl", "br", "id", "v")
-    return deal(left, "bl", m, "br", n).groupBy("bl", "br").cogroup(deal(right, "br", n, "bl", m).groupBy("bl", "br")).applyInArrow(meet, "a bigint, b bigint, score double")
+
+    def dealt(key: str, k: int):
+        return F.pmod(F.xxhash64(key), F.lit(k)).cast("int")
+
+    def all_of(k: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+
+    # own names for the right side: both may stem from one table
+    other = right.select(F.col("id").alias("other"), F.col("v").alias("w"))
+    one = left.select(dealt("id", m).alias("bl"), all_of(n).alias("br"), "id", "v")
+    two = other.select(all_of(m).alias("rl"), dealt("other", n).alias("rr"), "other", "w")
+    return one.groupBy("bl", "br").cogroup(two.groupBy("rl", "rr")).applyInArrow(meet, "a bigint, b bigint, score double")
 
 
 def nearest(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -441,7 +441,7 @@ def fallback_summary(spark, d):
     return curate.fallback_summary(_fallback(spark, d), ["conv_id"])
 
 
-@query(f"WITH {R.PAYLOAD}, e AS (SELECT item_id, {_STRIP('substr(human_edit, 1, (item_id % 3)::INTEGER)')} <> '' AS some FROM payload) SELECT item_id, CASE WHEN some THEN 'accept' ELSE 'reject' END AS decision, CASE WHEN some THEN 'stub_accept_nonempty' ELSE 'stub_reject_empty' END AS reason FROM e")
+@query(f"WITH {R.PAYLOAD}, e AS (SELECT item_id, {_STRIP('substr(human_edit, 1, (item_id % 3)::INTEGER)')} <> '' AS filled FROM payload) SELECT item_id, CASE WHEN filled THEN 'accept' ELSE 'reject' END AS decision, CASE WHEN filled THEN 'stub_accept_nonempty' ELSE 'stub_reject_empty' END AS reason FROM e")
 def stub_rules(spark, d):
     items = R.payload(spark, d).withColumn("human_edit", F.substr("human_edit", F.lit(1), (F.col("item_id") % 3).cast("int")))
     return curate.strategy("stub")(items).select("item_id", "decision", "reason")

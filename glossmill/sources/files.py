@@ -27,8 +27,8 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame
     fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs_path):
         return spark.createDataFrame([], schema)
-    wide = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    return spark.read.schema(wide).option("multiLine", True).json(path).where("_corrupt_record IS NULL").drop("_corrupt_record")
+    rows = F.from_json("value", T.ArrayType(schema), {"mode": "PERMISSIVE"})
+    return spark.read.text(path, wholetext=True).select(F.explode(rows).alias("r")).where("r IS NOT NULL").select("r.*")
 
 
 def parse_json_lines(lines: DataFrame, schema: str, column: str = "value") -> DataFrame:
