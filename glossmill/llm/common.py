@@ -223,37 +223,47 @@ def signed(x: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- connected components
 
 
+#: Edges up to which the minima of nodes are sent to all executors, and edges a task should have.
+FEW_EDGES, EDGES_A_TASK = 1_000_000, 50_000
+
+
 def components(scratch: Scratch, edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for each node of edges(a, b): root is the smallest node that it reaches.
 
     Distributed union-find by alternating large-star and small-star steps (Kiveris et al. 2014):
     each step is a grouping over the edges, whose number doesn't grow, and the rounds grow with
     the logarithm of the longest path. The minimum of a hot node is pre-aggregated; its edges
-    aren't gathered. No step sends nodes to the driver, only a count and a checksum.
+    aren't gathered. No step sends nodes to the driver, only a count and a checksum. Up to
+    FEW_EDGES edges the minima are broadcast and tasks are few; beyond that they are joined by a
+    shuffle over all partitions.
     """
-    spark = scratch.spark
-    both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    state = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    n, seen = state.count(), None
+    few = n <= FEW_EDGES
+    tasks = -(-n // EDGES_A_TASK) or 1
+
+    def narrow(df: DataFrame) -> DataFrame:
+        return df.coalesce(tasks) if few else df
 
-    def least(e: DataFrame) -> DataFrame:
-        return e.groupBy("a").agg(F.min("b").alias("m"))
+    def with_least(e: DataFrame) -> DataFrame:
+        m = narrow(e.groupBy("a").agg(F.min("b").alias("m")))
+        return e.join(F.broadcast(m) if few else m, "a")
 
     def large(e: DataFrame) -> DataFrame:
-        e = both(e)
-        m = least(e).select("a", F.least("a", "m").alias("m"))
-        return e.join(m, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        return with_least(both).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).where("a <> b")
 
     def small(e: DataFrame) -> DataFrame:
-        e = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        m = least(e)
-        return e.join(m, "a").select(F.col("b").alias("x"), "a", "m").select(F.explode(F.array(F.struct(F.col("x").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("s")).select("s.*").where("a <> b").distinct()
+        e = with_least(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+        pairs = F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))
+        return narrow(e.select(F.explode(pairs).alias("s")).select("s.*").where("a <> b").distinct())
 
-    state, seen = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()), None
     for _ in range(rounds):
         new = scratch.save(small(large(state)))
         scratch.drop(state)
         state = new
         now = state.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == seen:
+        if now == seen or not now[0]:
             break
         seen = now
     else:
