@@ -1,5 +1,59 @@
-"""Placeholder until the stages stand."""
-STAGES = []
+"""From raw documents to packed training sequences, in five stages.
+
+Each stage takes all that its predecessor kept, and what it decides takes effect: lines and
+passages are cut from the texts, n_chars follows, and documents that are rejected, are copies,
+or have no word left go. The last stage returns a place in a sequence for each piece of tokens.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from glossmill.llm import line_dedup, near_dedup, packing, quality_rules, substring_dedup
+from glossmill.llm.common import Scratch, table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Ids that may be sent to all executors; more are joined by a shuffle.
+FEW_IDS = 1_000_000
+
+
+def _documents(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("n_chars", F.char_length("text").cast("long")).select(COLUMNS)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rows = quality_rules.clean_lines(docs.select(COLUMNS)).where("kept")
+    return _documents(rows.withColumn("text", F.col("cleaned_text")))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _documents(line_dedup.dedup_lines(docs.select(COLUMNS)).where(substring_dedup.has_words(F.col("text"))))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, the one of the smallest id. Sets are of
+    five-word shingles."""
+    found = near_dedup.near_duplicates(docs, k=5)
+    copies = Scratch(spark, "copies").save(found.where("NOT kept").select("doc_id").distinct())
+    return docs.join(F.broadcast(copies) if copies.count() <= FEW_IDS else copies, "doc_id", "left_anti").select(COLUMNS)
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _documents(substring_dedup.cut_passages(docs.select(COLUMNS)).where(substring_dedup.has_words(F.col("text"))))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs)
+
+
+STAGES = [("quality rules", quality), ("line dedup", lines), ("near dedup", near), ("substring dedup", passages), ("packing", pack)]
+#: Several stages link by similarity, which SQL can't do over whole tables; see tests/llm.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
+    for _, stage in STAGES[:-1]:
+        docs = scratch.save(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
