@@ -6,8 +6,9 @@ multiset of lengths that fit one sequence; use as few sequences as cover every l
 is solved by multiplicative weights: each round prices lengths by how far they lag, finds the
 best configuration for these prices by knapsack dynamic programming, and raises its use. The
 fractional solution is rounded down; what it leaves over, at most one sequence's worth for each
-configuration and so bounded as well, is packed by best fit, again with dynamic programming:
-the longest piece left, with the fullest filling of the rest of the sequence.
+configuration and so bounded as well, is packed by best fit: by falling length into the fullest
+sequence that takes a piece, or by the fullest filling beside the longest piece (again dynamic
+programming), whichever needs fewer.
 
 Pieces are then given their place without moving texts or ids: each is numbered within its
 length (numbered within a salt, plus the counts of the salts before, so that a length that a
@@ -138,37 +139,83 @@ def fullest(left: int, lengths: np.ndarray, counts: np.ndarray) -> dict[int, int
     return out
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[tuple[tuple[int, int], ...], int]]:
-    """[(configuration as (length, copies) pairs, sequences)] that hold exactly the histogram."""
-    lengths = np.array(sorted(histogram), np.int64)
-    left = np.array([histogram[int(x)] for x in lengths], np.int64)
-    out: list[tuple[tuple[tuple[int, int], ...], int]] = []
-    if len(lengths) and lengths[-1] == capacity:  # such pieces fill a sequence each
-        out.append((((capacity, 1),), int(left[-1])))
-        lengths, left = lengths[:-1], left[:-1].copy()
-    if not len(lengths):
-        return out
+Plan = list[tuple[tuple[tuple[int, int], ...], int]]
 
-    def take(config: dict[int, int], times: int) -> None:
-        if times > 0:
-            out.append((tuple((int(lengths[j]), a) for j, a in sorted(config.items(), reverse=True)), times))
-            for j, a in config.items():
-                left[j] -= a * times
 
-    for key, x in sorted(solve(lengths, left, capacity, rounds).items(), key=lambda kv: -kv[1]):
-        # only full configurations; a poorly filled one is left to best fit
-        if sum(int(lengths[j]) * a for j, a in key) >= capacity - 1:
-            take(dict(key), min(int(x), *(int(left[j] // a) for j, a in key)))
+def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> Plan:
+    """Best fit by falling length on a histogram: each piece goes to the open sequence with the
+    least room that takes it. Sequences alike are held as one entry with a count, so the work
+    grows with the number of lengths, not of pieces."""
+    room: dict[int, list[tuple[tuple[tuple[int, int], ...], int]]] = {}
+
+    def put(left: int, config: tuple, times: int) -> None:
+        if times:
+            room.setdefault(left, []).append((config, times))
+
+    for j in range(len(lengths) - 1, -1, -1):
+        size, n = int(lengths[j]), int(counts[j])
+        while n:
+            left = min((r for r in room if r >= size), default=capacity)
+            fit = left // size
+            if left in room:
+                config, have = room[left].pop()
+                if not room[left]:
+                    del room[left]
+            else:
+                config, have = (), -(-n // fit)
+            full = min(have, n // fit)
+            part = n - full * fit if full < have and n - full * fit < fit else 0
+            put(left - fit * size, (*config, (size, fit)), full)
+            if part:
+                put(left - part * size, (*config, (size, part)), 1)
+            put(left, config, have - full - (part > 0))
+            n -= full * fit + part
+    return [entry for entries in room.values() for entry in entries]
+
+
+def fullest_first(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> Plan:
+    """The longest piece left with the fullest filling of the rest of its sequence, as often as
+    the counts allow."""
+    out, left = [], counts.copy()
     while left.any():
         j = int(np.flatnonzero(left)[-1])
         rest = left.copy()
         rest[j] -= 1
         config = fullest(capacity - int(lengths[j]), lengths, rest)
         config[j] = config.get(j, 0) + 1
-        take(config, min(int(left[k] // a) for k, a in config.items()))
+        times = min(int(left[k] // a) for k, a in config.items())
+        out.append((tuple((int(lengths[k]), a) for k, a in sorted(config.items(), reverse=True)), times))
+        for k, a in config.items():
+            left[k] -= a * times
     return out
 
 
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> Plan:
+    """[(configuration as (length, copies) pairs, sequences)] that hold exactly the histogram: the
+    rounded solution with the better of two best fits for what rounding leaves, or, where
+    counts are so small that rounding leaves nearly all, the best fit of everything."""
+    lengths = np.array(sorted(histogram), np.int64)
+    counts = np.array([histogram[int(x)] for x in lengths], np.int64)
+    whole: Plan = []
+    if len(lengths) and lengths[-1] == capacity:  # such pieces fill a sequence each
+        whole = [(((capacity, 1),), int(counts[-1]))]
+        lengths, counts = lengths[:-1], counts[:-1]
+    if not len(lengths):
+        return whole
+    rounded: Plan = []
+    left = counts.copy()
+    for key, x in sorted(solve(lengths, counts, capacity, rounds).items(), key=lambda kv: -kv[1]):
+        # only full configurations; a poorly filled one is left to best fit
+        if sum(int(lengths[j]) * a for j, a in key) >= capacity - 1:
+            times = min(int(x), *(int(left[j] // a) for j, a in key))
+            if times > 0:
+                rounded.append((tuple((int(lengths[j]), a) for j, a in reversed(key)), times))
+                for j, a in key:
+                    left[j] -= a * times
+    plans = [rounded + best_fit(lengths, left, capacity), rounded + fullest_first(lengths, left, capacity), best_fit(lengths, counts, capacity)]
+    return whole + min(plans, key=lambda p: sum(times for _, times in p))
+
+
 def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS, rows_a_salt: int = ROWS_A_SALT) -> DataFrame:
     """Adds sequence_id and offset to pieces(doc_id, piece, start, length, ids_crc32), which should
     be a written table: it is read twice."""
