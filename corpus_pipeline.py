@@ -23,7 +23,7 @@ def _documents(rows: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = quality_rules.clean_lines(docs.select(COLUMNS)).where("kept")
+    rows = quality_rules.kept_documents(docs.select(COLUMNS))
     return _documents(rows.withColumn("text", F.col("cleaned_text")))
 
 

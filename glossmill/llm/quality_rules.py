@@ -89,3 +89,10 @@ def clean_lines(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS,
     })
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
     return out.withColumns({"base_failed": failed, "kept": ~failed & (F.col("__gm_left") >= min_left * F.col("word_chars"))}).drop(*own, "__gm_left")
+
+
+def kept_documents(docs: DataFrame, text: str = "text", **limits) -> DataFrame:
+    """The rows of clean_lines that are kept. The row number in the predicate holds it where it is:
+    pushed below the projections that make ``kept`` it would have to repeat them over and over."""
+    rows = clean_lines(docs, text, **limits).withColumn("__gm_row", F.monotonically_increasing_id())
+    return rows.where("kept AND __gm_row >= 0").drop("__gm_row")
