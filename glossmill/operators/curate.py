@@ -11,6 +11,18 @@ from glossmill.functions.scores import chrf, final_score, improvement, length_ra
 from glossmill.functions.text import normalize_arabic, strip
 
 
+# Reasons, notes, formats and sample outputs that users of the rules rely on.
+SAME, MEANING = "human edit too similar to model output (similarity=%.3f)", "translation may not preserve source meaning"
+CLOSE, NO_BETTER = "high similarity (%.3f) with insufficient improvement", "not better than model outputs"
+LOW, COPY = "confidence score below threshold (%.3f < {})", "duplicate human correction"
+EMPTY, SHORT, STUB_YES, STUB_NO = "empty human_edit", "too short", "stub_accept_nonempty", "stub_reject_empty"
+DATASET, NONE_ACCEPTED = "finetune_dataset.jsonl", "no correction was accepted"
+MISSING = "Missing %s in item %d"
+SOURCE_LINE, MODEL_LINE, HUMAN_LINE = "Source: ", "LLM Translation: ", "Corrected:"
+SAMPLE_OUTPUTS = {"model1": "صباح الخير جميعا.", "model2": "أهلا صباح الخير للجميع.", "model3": "صباح الخير يا الجميع."}
+SAMPLE_DEFAULT = "نص تجريبي ثابت."
+
+
 @dataclass(frozen=True)
 class Thresholds:
     accept: float = 0.70
@@ -26,11 +38,10 @@ def preprocess(items: DataFrame) -> DataFrame:
     return out.withColumn("status", F.when(F.coalesce(F.col("human_edit"), F.lit("")) == "", "preprocess_failed").otherwise("ok"))
 
 
-def validate_payload(items: DataFrame) -> DataFrame:
-    """An error code for each item that lacks a field, null where it is sound."""
-    codes = [(c, f"MISSING_{c.upper()}") for c in ("source", "llm_outputs", "human_edit")]
-    found = F.filter(F.array(*[F.when(F.col(c).isNull(), F.lit(code)) for c, code in codes]), lambda x: x.isNotNull())
-    return items.withColumn("error", F.when(F.size(found) > 0, F.array_join(found, ",")))
+def validate_payload(items: DataFrame, ordinal: str = "ordinal") -> DataFrame:
+    """A message for each item that lacks a field, the first one missing; null where it is sound."""
+    said = F.coalesce(*[F.when(F.col(c).isNull(), F.format_string(MISSING, F.lit(c), F.col(ordinal))) for c in ("source", "llm_outputs", "human_edit")])
+    return items.withColumn("error", said)
 
 
 def model_pairs(items: DataFrame, key: str) -> DataFrame:
@@ -60,14 +71,14 @@ def decide(scored: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     three = lambda s, x: F.format_string(s, x)
     weak = quality < 0.5
     rules: list[tuple[Column, str, Column, Column]] = [
-        (ms >= t.exact, "reject", F.lit(0.0), three("human edit too similar to model output (similarity=%.3f)", ms)),
-        (meaning < 0.5, "reject", F.lit(0.0), F.lit("translation may not preserve source meaning")),
+        (ms >= t.exact, "reject", F.lit(0.0), three(SAME, ms)),
+        (meaning < 0.5, "reject", F.lit(0.0), F.lit(MEANING)),
         (F.col("longest").isNull(), "error", F.lit(None).cast("double"), F.lit("no model outputs")),
-        ((ms >= t.near) & weak & (imp < 0.6), "reject", imp, three("high similarity (%.3f) with insufficient improvement", ms)),
-        ((ms < t.near) & weak & (imp < 0.5), "reject", imp, F.lit("not better than model outputs")),
+        ((ms >= t.near) & weak & (imp < 0.6), "reject", imp, three(CLOSE, ms)),
+        ((ms < t.near) & weak & (imp < 0.5), "reject", imp, F.lit(NO_BETTER)),
         (((ms > 0.9) & (fin > 0.8)) | (fin >= t.accept), "accept", fin, F.lit(None).cast("string")),
     ]
-    last = (F.lit("reject"), fin, three(f"confidence score below threshold (%.3f < {t.accept})", fin))
+    last = (F.lit("reject"), fin, three(LOW.format(t.accept), fin))
 
     def first(i: int) -> Column:
         out = last[i]
@@ -87,18 +98,18 @@ def validate(items: DataFrame, key: str, t: Thresholds = Thresholds()) -> DataFr
 
 def fallback_rules(items: DataFrame) -> DataFrame:
     edit = F.coalesce(strip(F.col("human_edit")), F.lit(""))
-    reason = F.when(edit == "", "empty human_edit").when(F.length(edit) < 8, "too short").otherwise("")
+    reason = F.when(edit == "", EMPTY).when(F.length(edit) < 8, SHORT).otherwise("")
     return items.withColumns({"decision": F.when(reason == "", "accept").otherwise("reject"), "reason": reason})
 
 
 def stub_rules(items: DataFrame) -> DataFrame:
     some = F.coalesce(strip(F.col("human_edit")), F.lit("")) != ""
-    return items.withColumns({"decision": F.when(some, "accept").otherwise("reject"), "reason": F.when(some, "stub_accept_nonempty").otherwise("stub_reject_empty")})
+    return items.withColumns({"decision": F.when(some, "accept").otherwise("reject"), "reason": F.when(some, STUB_YES).otherwise(STUB_NO)})
 
 
 def fallback_summary(decided: DataFrame, by: list[str], check_monitor: bool = True) -> DataFrame:
     """(by, n_accepted, dataset_path): a path from four accepts on, a note for none, else null."""
-    path = F.when(F.col("n_accepted") >= 4, "finetune_dataset.jsonl").when(F.col("n_accepted") == 0, "no correction was accepted")
+    path = F.when(F.col("n_accepted") >= 4, DATASET).when(F.col("n_accepted") == 0, NONE_ACCEPTED)
     return decided.groupBy(*by).agg(F.count_if(F.col("decision") == "accept").alias("n_accepted")).withColumn("dataset_path", path if check_monitor else F.lit(None).cast("string"))
 
 
@@ -139,10 +150,11 @@ def first_output(outputs: Column) -> Column:
     return F.element_at(outputs, F.array_min(F.map_keys(outputs)))
 
 
-def generate_outputs(sources: DataFrame, models: list[str], answers: dict[str, str], default: str) -> DataFrame:
+def generate_outputs(sources: DataFrame, models: list[str], answers: dict[str, str] | None = None, default: str = SAMPLE_DEFAULT) -> DataFrame:
     """Fixed answers of named models; a model without one gives the default."""
+    known = SAMPLE_OUTPUTS if answers is None else answers
     names = F.array(*[F.lit(m) for m in models])
-    said = F.array(*[F.lit(answers.get(m, default)) for m in models])
+    said = F.array(*[F.lit(known.get(m, default)) for m in models])
     return sources.withColumn("llm_outputs", F.map_from_arrays(names, said))
 
 
@@ -153,9 +165,10 @@ def last_rows(log: DataFrame, n: int | None = None, position: str = "pos", defau
 
 def few_shot_prompt(rows: DataFrame, source: str, output: str, position: str = "pos") -> DataFrame:
     """One text: an example for each row in order, then the open item."""
-    example = F.concat(F.lit("Source: "), F.col("source_text"), F.lit("\nModel: "), F.coalesce(first_output(F.col("llm_outputs")), F.lit("")), F.lit("\nHuman: "), F.col("human_translation"), F.lit("\n"))
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    example = F.concat(F.lit(SOURCE_LINE), blank(F.col("source_text")), F.lit(f"\n{MODEL_LINE}"), blank(first_output(F.col("llm_outputs"))), F.lit(f"\n{HUMAN_LINE} "), blank(F.col("human_translation")), F.lit("\n"))
     held = F.transform(F.array_sort(F.collect_list(F.struct(F.col(position).alias("p"), example.alias("e")))), lambda x: x["e"])
-    return rows.agg(F.concat(F.array_join(held, "\n"), F.lit(f"\nSource: {source}\nModel: {output}\nHuman:")).alias("prompt"))
+    return rows.agg(F.concat(F.array_join(held, "\n"), F.lit(f"\n{SOURCE_LINE}{source}\n{MODEL_LINE}{output}\n{HUMAN_LINE}")).alias("prompt"))
 
 
 def cycle_trigger(n_rows: Column, last_reset: Column, now: Column, rows: int = 10_000, days: int = 7) -> Column:

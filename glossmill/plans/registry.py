@@ -420,7 +420,7 @@ def process_batch(spark, d):
     out = got.join(first, "item_id", "left")
     copy = F.coalesce(~F.col("kept"), F.lit(False))
     decision = F.when(copy, "reject").otherwise(F.col("decision"))
-    return out.select("item_id", decision.alias("decision"), F.when(copy, "duplicate human correction").otherwise(F.col("reason")).alias("reason"), (decision == "accept").alias("stored"))
+    return out.select("item_id", decision.alias("decision"), F.when(copy, curate.COPY).otherwise(F.col("reason")).alias("reason"), (decision == "accept").alias("stored"))
 
 
 _FALL = f"""fb AS (SELECT item_id, conv_id, CASE WHEN e = '' THEN 'empty human_edit' WHEN length(e) < 8 THEN 'too short' ELSE '' END AS reason FROM (SELECT item_id, conv_id, {_STRIP("substr(human_edit, 1, (item_id % 12)::INTEGER)")} AS e FROM payload))"""
@@ -462,9 +462,9 @@ def preprocess_items(spark, d):
     return curate.preprocess(R.payload(spark, d)).select("item_id", "source", "human_edit", F.col("llm_outputs")["model1"].alias("model1"), F.col("llm_outputs")["model3"].alias("model3"), "status")
 
 
-@query("SELECT conv_id, turn, nullif(concat_ws(',', CASE WHEN turn % 3 = 0 THEN 'MISSING_SOURCE' END, CASE WHEN role <> 'user' THEN 'MISSING_HUMAN_EDIT' END), '') AS error FROM conversations")
+@query("SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN printf('Missing source in item %d', turn + 1) WHEN role <> 'user' THEN printf('Missing human_edit in item %d', turn + 1) END AS error FROM conversations")
 def payload_validate(spark, d):
-    rows = table(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 3 != 0, F.col("text")).alias("source"), F.create_map(F.lit("model1"), "text").alias("llm_outputs"), F.when(F.col("role") == "user", F.col("text")).alias("human_edit"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", (F.col("turn") + 1).alias("ordinal"), F.when(F.col("turn") % 3 != 0, F.col("text")).alias("source"), F.create_map(F.lit("model1"), "text").alias("llm_outputs"), F.when(F.col("role") == "user", F.col("text")).alias("human_edit"))
     return curate.validate_payload(rows).select("conv_id", "turn", "error")
 
 
@@ -479,10 +479,10 @@ def first_model_output(spark, d):
     return R.payload(spark, d).select("item_id", curate.first_output(F.col("llm_outputs")).alias("output"))
 
 
-@query("SELECT conv_id, turn, 'first answer' AS model1, 'no answer' AS model9 FROM conversations WHERE role = 'user'")
+@query("SELECT conv_id, turn, 'صباح الخير جميعا.' AS model1, 'نص تجريبي ثابت.' AS model9 FROM conversations WHERE role = 'user'")
 def generate_outputs(spark, d):
     rows = table(spark, d, "conversations").where("role = 'user'")
-    got = curate.generate_outputs(rows, ["model1", "model9"], {"model1": "first answer"}, "no answer")
+    got = curate.generate_outputs(rows, ["model1", "model9"])
     return got.select("conv_id", "turn", F.col("llm_outputs")["model1"].alias("model1"), F.col("llm_outputs")["model9"].alias("model9"))
 
 
@@ -510,7 +510,7 @@ def few_shot_tail(spark, d):
     return curate.last_rows(_log(spark, d)).select("pos", "source_text")
 
 
-@query(f"WITH {R.PAYLOAD}, {_LOG}, z AS (SELECT * FROM lg ORDER BY pos DESC LIMIT 5) SELECT string_agg('Source: ' || source_text || chr(10) || 'Model: ' || model1 || chr(10) || 'Human: ' || human_translation || chr(10), chr(10) ORDER BY pos) || chr(10) || 'Source: s' || chr(10) || 'Model: m' || chr(10) || 'Human:' AS prompt FROM z WHERE trim(source_text) <> ''")
+@query(f"WITH {R.PAYLOAD}, {_LOG}, z AS (SELECT * FROM lg ORDER BY pos DESC LIMIT 5) SELECT string_agg('Source: ' || source_text || chr(10) || 'LLM Translation: ' || model1 || chr(10) || 'Corrected: ' || human_translation || chr(10), chr(10) ORDER BY pos) || chr(10) || 'Source: s' || chr(10) || 'LLM Translation: m' || chr(10) || 'Corrected:' AS prompt FROM z WHERE trim(source_text) <> ''")
 def few_shot_prompt(spark, d):
     return curate.few_shot_prompt(curate.last_rows(_log(spark, d), 5), "s", "m")
 
