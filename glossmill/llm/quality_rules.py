@@ -72,12 +72,14 @@ def clean_lines(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS,
     n = F.size(words)
     out = out.withColumns({
         own[2]: F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))).otherwise(F.array().cast("array<bigint>")),
-        own[3]: F.transform(every, verdict),
+        # a line goes with its verdict: a lambda over lines that looked it up in an array would have
+        # the array made again for each line where the optimizer merges the two projections
+        own[3]: F.transform(every, lambda x: F.struct(x.alias("line"), verdict(x).alias("v"))),
     })
     solid = lambda x: F.char_length(F.regexp_replace(x, SPACE_CLASS, ""))
     out = out.withColumns({
-        own[4]: F.filter(every, lambda x, i: F.get(verdicts, i) < 2),
-        "cleaned_text": F.array_join(F.filter(every, lambda x, i: F.get(verdicts, i) > 0), "\n"),
+        own[4]: F.transform(F.filter(verdicts, lambda x: x["v"] < 2), lambda x: x["line"]),
+        "cleaned_text": F.array_join(F.transform(F.filter(verdicts, lambda x: x["v"] > 0), lambda x: x["line"]), "\n"),
     })
     out = out.withColumns({
         "n_words": n.cast("long"),
