@@ -1,9 +1,15 @@
-"""Similarity scores. Scalars are Columns; n-gram scores are set-oriented over pairs."""
+"""Similarity scores: Columns, and Arrow-batched n-gram scores of pairs of texts."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from glossmill.functions.text import strip, tokens
 
@@ -38,55 +44,65 @@ def l2_normalize(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / norm)
 
 
-def with_grams(df: DataFrame, text: Column, orders: list[int]) -> DataFrame:
-    """df with an array column __g1, __g2, .. for each order up to the largest: the character
-    n-grams of the text, each made from the one a character shorter."""
-    df = df.withColumn("__c", F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))).withColumn("__g1", F.col("__c"))
-
-    def longer(n: int) -> Column:
-        shorter = F.col(f"__g{n - 1}")
-        some = F.slice(shorter, F.lit(1), F.greatest(F.size(shorter) - 1, F.lit(0)))
-        return F.transform(some, lambda x, i: F.concat(x, F.get(F.col("__c"), i + (n - 1))))
-
-    for n in range(2, max(orders) + 1):
-        df = df.withColumn(f"__g{n}", longer(n))
-    return df
-
-
-def gram_counts(pairs: DataFrame, keys: list[str], orders: list[int], drop_space: bool = True, hyp: str = "hyp", ref: str = "ref") -> DataFrame:
-    """(keys, n, gram, h, r): counts of each character n-gram in both texts of each pair. One
-    shuffle, with counts combined before it."""
-
-    def side(c: str, flag: int) -> DataFrame:
-        text = F.regexp_replace(c, r"(?U)\s+", "") if drop_space else F.col(c)
-        made = with_grams(pairs.select(*keys, text.alias("__t")), F.col("__t"), orders)
-        each = F.array(*[F.struct(F.lit(n).alias("n"), F.col(f"__g{n}").alias("g")) for n in orders])
-        return made.select(*keys, F.explode(each).alias("o")).select(*keys, "o.n", F.explode("o.g").alias("gram"), F.lit(flag).alias("side"))
-
-    both = side(hyp, 0).union(side(ref, 1))
-    return both.groupBy(*keys, "n", "gram").agg(F.count_if(F.col("side") == 0).alias("h"), F.count_if(F.col("side") == 1).alias("r"))
-
-
-def chrf(pairs: DataFrame, keys: list[str], order: int = CHRF_ORDER, beta: float = CHRF_BETA) -> DataFrame:
-    """(keys, chrf in 0..1): character n-gram F-score of ``hyp`` against ``ref``; precision and
-    recall are means over the orders for which both sides have n-grams."""
-    per = gram_counts(pairs, keys, list(range(1, order + 1))).groupBy(*keys, "n").agg(F.sum(F.least("h", "r")).alias("m"), F.sum("h").alias("h"), F.sum("r").alias("r")).where("h > 0 AND r > 0")
-    ratio = lambda by: F.array_sort(F.collect_list(F.struct("n", (F.col("m").cast("double") / F.col(by)).alias("x"))))
-    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x["x"]) / F.size(a)
-    means = per.groupBy(*keys).agg(mean(ratio("h")).alias("p"), mean(ratio("r")).alias("q"))
-    b = beta * beta
-    score = F.when(F.col("p") + F.col("q") == 0, F.lit(0.0)).otherwise((1 + b) * F.col("p") * F.col("q") / (b * F.col("p") + F.col("q")))
-    return pairs.select(*keys).join(means.select(*keys, score.alias("s")), keys, "left").select(*keys, F.coalesce("s", F.lit(0.0)).alias("chrf"))
+def shared_grams(a: str, b: str, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For n = 1 .. order, counts of each character n-gram in both texts. An n-gram is numbered by
+    the number of its first n - 1 characters and its last one, so counts are exact."""
+    points = np.frombuffer((a + b).encode("utf-32-le", "surrogatepass"), np.uint32)
+    kinds, chars = np.unique(points, return_inverse=True)
+    ids = chars
+    for n in range(1, order + 1):
+        if n > 1:
+            if len(ids) < 2:
+                ids = ids[:0]
+            else:
+                ids = np.unique(ids[:-1].astype(np.int64) * len(kinds) + chars[n - 1 :], return_inverse=True)[1]
+        top = int(ids.max()) + 1 if len(ids) else 0
+        first = ids[: max(len(a) - n + 1, 0)]
+        second = ids[len(a) :] if len(b) >= n else ids[:0]
+        yield np.bincount(first, minlength=top), np.bincount(second, minlength=top)
+
+
+def chrf_score(hyp: str, ref: str, order: int = CHRF_ORDER, beta: float = CHRF_BETA) -> float:
+    """Character n-gram F-score in 0..1 of hyp against ref, white space left out; precision and
+    recall are means over the orders for which both texts have n-grams."""
+    p = q = 0.0
+    n = 0
+    for h, r in shared_grams(re.sub(r"\s+", "", hyp), re.sub(r"\s+", "", ref), order):
+        if h.any() and r.any():
+            same = float(np.minimum(h, r).sum())
+            p, q, n = p + same / int(h.sum()), q + same / int(r.sum()), n + 1
+    if not n or p + q == 0:
+        return 0.0
+    p, q, b = p / n, q / n, beta * beta
+    return (1 + b) * p * q / (b * p + q)
+
+
+def trigram_similarity(a: str, b: str) -> float:
+    """Cosine of the counts of character trigrams; 1 for equal texts."""
+    if a == b:
+        return 1.0
+    *_, (x, y) = shared_grams(a, b, 3)
+    xx, yy = int((x * x).sum()), int((y * y).sum())
+    return float(int((x * y).sum()) / np.sqrt(float(xx) * float(yy))) if xx and yy else 0.0
+
+
+@F.pandas_udf(StructType([StructField("chrf", DoubleType()), StructField("similarity", DoubleType())]))
+def text_scores(hyp: pd.Series, ref: pd.Series) -> pd.DataFrame:
+    """Both scores of pairs of texts, 0 where one is null. Counting n-grams inside a batch keeps
+    the n-grams, six for each character, out of any shuffle."""
+    pairs = [(h, r) if h is not None and r is not None else None for h, r in zip(hyp, ref, strict=True)]
+    return pd.DataFrame({"chrf": [chrf_score(*p) if p else 0.0 for p in pairs], "similarity": [trigram_similarity(*p) if p else 0.0 for p in pairs]})
+
+
+def chrf(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, chrf) of pairs(keys, hyp, ref)."""
+    return pairs.select(*keys, text_scores("hyp", "ref")["chrf"].alias("chrf"))
 
 
 def trigram_cosine(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, similarity): the default text embedding, counts of character trigrams, compared by
     cosine. A stand-in for a sentence encoder, exact and reproducible; equal texts give 1."""
-    counts = gram_counts(pairs, keys, [3], drop_space=False)
-    sums = counts.groupBy(*keys).agg(F.sum(F.col("h") * F.col("r")).alias("d"), F.sum(F.col("h") * F.col("h")).alias("a"), F.sum(F.col("r") * F.col("r")).alias("b"))
-    got = sums.select(*keys, F.when((F.col("a") == 0) | (F.col("b") == 0), F.lit(0.0)).otherwise(F.col("d") / F.sqrt(F.col("a").cast("double") * F.col("b"))).alias("s"))
-    equal = pairs.select(*keys, (F.col("hyp") == F.col("ref")).alias("same"))
-    return equal.join(got, keys, "left").select(*keys, F.when(F.col("same"), F.lit(1.0)).otherwise(F.coalesce("s", F.lit(0.0))).alias("similarity"))
+    return pairs.select(*keys, text_scores("hyp", "ref")["similarity"].alias("similarity"))
 
 
 def improvement(length: Column, longest: Column, mean_chrf: Column) -> Column:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossmill.functions.scores import chrf, final_score, improvement, length_ratio, trigram_cosine
+from glossmill.functions.scores import final_score, improvement, length_ratio, text_scores
 from glossmill.functions.text import normalize_arabic, strip
 
 
@@ -51,9 +51,8 @@ def model_pairs(items: DataFrame, key: str) -> DataFrame:
 
 def model_scores(items: DataFrame, key: str) -> DataFrame:
     """(key, max_similarity, max_chrf, mean_chrf, max_ratio, longest, n_models) over the outputs."""
-    pairs = model_pairs(items, key)
-    both = trigram_cosine(pairs, [key, "model"]).join(chrf(pairs, [key, "model"]), [key, "model"])
-    both = both.join(pairs.select(key, "model", length_ratio(F.col("ref"), F.col("hyp")).alias("ratio"), F.length("ref").alias("n")), [key, "model"])
+    pairs = model_pairs(items, key).select(key, "model", text_scores("hyp", "ref").alias("s"), length_ratio(F.col("ref"), F.col("hyp")).alias("ratio"), F.length("ref").alias("n"))
+    both = pairs.select(key, "model", "s.*", "ratio", "n")
     held = F.array_sort(F.collect_list(F.struct("model", "chrf")))
     mean = F.aggregate(held, F.lit(0.0), lambda s, x: s + x["chrf"]) / F.size(held)
     return both.groupBy(key).agg(F.max("similarity").alias("max_similarity"), F.max("chrf").alias("max_chrf"), mean.alias("mean_chrf"), F.max("ratio").alias("max_ratio"), F.max("n").alias("longest"), F.count("*").alias("n_models"))
