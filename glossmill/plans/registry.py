@@ -102,8 +102,8 @@ def jsonl_scan_valid(spark, d):
 def accepted_count(spark, d):
     """Lines as they are, and lines that hold a row."""
     raw = _raw_lines(spark, d)
-    valid = files.parse_json_lines(raw, "event bigint, kind string").agg(F.count("*").alias("n_valid"))
-    return raw.agg(F.count("*").alias("n_lines")).join(valid)
+    valid = files.parse_json_lines(raw, "event bigint, kind string").select(F.lit(True).alias("valid"))
+    return raw.select(F.lit(False).alias("valid")).union(valid).agg(F.count_if(~F.col("valid")).alias("n_lines"), F.count_if("valid").alias("n_valid"))
 
 
 @query("""SELECT doc_id, lower(regexp_extract(path, '(\\.[^./\\\\]+)$', 1)) AS ext, lower(regexp_extract(path, '(\\.[^./\\\\]+)$', 1)) IN ('.pdf', '.docx') AS ok
