@@ -26,12 +26,14 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossmill.llm.common import Scratch, components, mix
 
-BATCH, BLOCK = 16, 512
+BATCH, BLOCK = 32, 512
+#: Band keys that a task holds at once, and those of a part.
+MERGE, PART = 3_000_000, 1_000_000
 EDGES = "a bigint, b bigint"
 #: From texts to (concatenated sorted shingle hashes, begins).
 Sets = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
@@ -79,11 +81,79 @@ def least_matches(n: int, threshold: float, miss: float) -> list[int]:
     return out
 
 
-def band_edges(items: DataFrame) -> DataFrame:
-    """From items(node, bands): a distinct tie (a, b) of each node to the least of each bucket."""
-    rows = items.select("node", F.explode("bands").alias("band"))
-    least = F.min("node").over(Window.partitionBy("band"))
-    return rows.select(F.col("node").alias("a"), least.alias("b")).where("a <> b").distinct()
+def _least_of_buckets(bands: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The buckets with the least node of each, and ties (node, least) of the others as rows."""
+    order = np.lexsort((nodes, bands))
+    bands, nodes = bands[order], nodes[order]
+    first = np.r_[True, bands[1:] != bands[:-1]] if len(bands) else np.zeros(0, bool)
+    least = nodes[np.flatnonzero(first)[np.cumsum(first) - 1]] if len(bands) else nodes
+    other = ~first & (nodes != least)
+    return bands[first], nodes[first], np.column_stack([nodes[other], least[other]])
+
+
+def band_edges(items: DataFrame, parts: int) -> DataFrame:
+    """From items(node, bands): a distinct tie (a, b) of each node to the least of each bucket.
+
+    A task ties what meets in it and sends on the least node of each of its buckets only, so a
+    bucket that a third of all items share arrives as a row from each task. Keys are dealt into
+    ``parts`` by their value and travel as packed pairs of numbers, 16 bytes each."""
+
+    def rows(part: np.ndarray, is_tie: bool, pairs: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(part, kind="stable")
+        part, pairs = part[order], np.ascontiguousarray(pairs[order])
+        cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        ends = np.append(cut, len(part)).astype(np.int32) * 16
+        return pa.RecordBatch.from_arrays([pa.array(part[cut].astype(np.int32)), pa.array(np.full(len(cut), is_tie)), pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer(ends), pa.py_buffer(pairs)])], names=["part", "tie", "pairs"])
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands, nodes, held = [], [], 0
+
+        def flush():
+            keys, least, ties = _least_of_buckets(np.concatenate(bands), np.concatenate(nodes))
+            if len(keys):
+                yield rows((keys.view(np.uint64) % np.uint64(parts)).astype(np.int64), False, np.column_stack([keys, least]))
+            if len(ties):
+                ties = np.unique(ties, axis=0)
+                yield rows((ties[:, 0].view(np.uint64) % np.uint64(parts)).astype(np.int64), True, ties)
+
+        for batch in batches:
+            column = batch.column(1)
+            at, flat = column.offsets.to_numpy(), column.values.to_numpy()
+            nodes.append(np.repeat(batch.column(0).to_numpy(), np.diff(at)))
+            bands.append(flat[at[0] : at[-1]])
+            held += len(nodes[-1])
+            if held >= MERGE:
+                yield from flush()
+                bands, nodes, held = [], [], 0
+        if held:
+            yield from flush()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def out(ties: np.ndarray):
+            return pa.RecordBatch.from_arrays([pa.array(ties[:, 0]), pa.array(ties[:, 1])], names=["a", "b"])
+
+        def closed():
+            pairs = np.concatenate(held)
+            return out(_least_of_buckets(pairs[:, 0], pairs[:, 1])[2])
+
+        for batch in batches:
+            for part, tie, pairs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                got = np.frombuffer(pairs.as_buffer(), np.int64).reshape(-1, 2)
+                if tie:
+                    yield out(got)
+                    continue
+                if part != now:
+                    if held:
+                        yield closed()
+                    now, held = part, []
+                held.append(got)
+        if held:
+            yield closed()
+
+    sent = items.select("node", "bands").mapInArrow(send, "part int, tie boolean, pairs binary")
+    return sent.repartition("part").sortWithinPartitions("part").mapInArrow(meet, EDGES).distinct()
 
 
 class Block:
@@ -95,8 +165,9 @@ class Block:
         self.sides: list[int] = []
         self.sets: list[np.ndarray] = []
         self.signs: list[np.ndarray] = []
+        self.bands: list[np.ndarray] = []
 
-    def links(self, rows: int, least: list[int], similar: Callable[[int, int, int], bool]) -> list[tuple[int, int]]:
+    def links(self, least: list[int], similar: Callable[[int, int, int], bool]) -> list[tuple[int, int]]:
         """Verified links between items not known to be connected. Items of side 1 meet those of
         side 0; where no item is of side 1, all meet."""
         n = len(self.nodes)
@@ -107,10 +178,13 @@ class Block:
             left, right = np.flatnonzero(side == 1), np.flatnonzero(side == 0)
         else:
             left = right = np.arange(n)
-        bands = band_keys(sign, rows)
+        bands = np.array(self.bands)
         share = np.zeros((len(left), len(right)), bool)
-        for b in range(bands.shape[1]):
-            share |= bands[left, b][:, None] == bands[right, b][None, :]
+        if len(left) * len(right) * bands.shape[1] < 1 << 16:
+            share = (bands[left][:, None, :] == bands[right][None, :, :]).any(2)
+        else:
+            for b in range(bands.shape[1]):
+                share |= bands[left, b][:, None] == bands[right, b][None, :]
         i, j = np.nonzero(share)
         i, j = left[i], right[j]
         labels = np.array(self.labels)
@@ -156,20 +230,22 @@ def _blocks(rows: DataFrame, keys: list[str], sets: Sets, n_hashes: int, band_ro
         for batch in batches:
             hashes, begins = sets(batch.column("text"))
             signs = signatures(hashes, begins, n_hashes)
+            bands = band_keys(signs, band_rows)
             group = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
             columns = [batch.column(c).to_pylist() for c in ("node", "label", "side")]
             for x, (key, node, label, side) in enumerate(zip(group, *columns, strict=True)):
                 if key != now:
                     if len(block.nodes) > 1:
-                        yield out(block.links(band_rows, least, similar))
+                        yield out(block.links(least, similar))
                     now, block = key, Block()
                 block.nodes.append(node)
                 block.labels.append(label)
                 block.sides.append(side)
                 block.sets.append(hashes[begins[x] : begins[x + 1]])
                 block.signs.append(signs[x])
+                block.bands.append(bands[x])
         if len(block.nodes) > 1:
-            yield out(block.links(band_rows, least, similar))
+            yield out(block.links(least, similar))
 
     return rows.select(*keys, "node", "label", "side", "text").repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(run, EDGES)
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossmill.llm.common import Scratch, chunks, components, shingles, signed, small_batches, text_bytes, word_bounds, word_hashes
-from glossmill.llm.minhash import band_edges, band_keys, families, resolve, signatures
+from glossmill.llm.minhash import PART, band_edges, band_keys, families, resolve, signatures
 
 BANDS, ROWS, MISS = 32, 4, 1e-6
 ITEMS = "doc_id bigint, n_shingles bigint, key1 bigint, key2 bigint, bands array<bigint>"
@@ -73,7 +73,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     found = scratch.save(items(docs, k))
     linkable = found.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = scratch.save(linkable.groupBy("key1", "key2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")))
-    ties = scratch.save(band_edges(classes))
+    ties = scratch.save(band_edges(classes, -(-classes.count() * BANDS // PART) or 1))
     family = scratch.save(families(scratch, ties))
     members = scratch.save(docs.join(family.withColumnRenamed("node", "doc_id"), "doc_id").groupBy("family", F.col("doc_id").alias("node")).agg(F.first("text").alias("text")))
     links = resolve(scratch, members, word_sets(k), BANDS * ROWS, ROWS, percent, miss)
