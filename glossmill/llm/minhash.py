@@ -83,12 +83,15 @@ def least_matches(n: int, threshold: float, miss: float) -> list[int]:
 
 def _least_of_buckets(bands: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The buckets with the least node of each, and ties (node, least) of the others as rows."""
-    order = np.lexsort((nodes, bands))
+    if not len(bands):
+        return bands, nodes, np.zeros((0, 2), np.int64)
+    order = np.argsort(bands)
     bands, nodes = bands[order], nodes[order]
-    first = np.r_[True, bands[1:] != bands[:-1]] if len(bands) else np.zeros(0, bool)
-    least = nodes[np.flatnonzero(first)[np.cumsum(first) - 1]] if len(bands) else nodes
-    other = ~first & (nodes != least)
-    return bands[first], nodes[first], np.column_stack([nodes[other], least[other]])
+    first = np.flatnonzero(np.r_[True, bands[1:] != bands[:-1]])
+    least = np.minimum.reduceat(nodes, first)
+    of_each = np.repeat(least, np.diff(np.append(first, len(nodes))))
+    other = nodes != of_each
+    return bands[first], least, np.column_stack([nodes[other], of_each[other]])
 
 
 def band_edges(items: DataFrame, parts: int) -> DataFrame:
