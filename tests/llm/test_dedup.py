@@ -183,6 +183,21 @@ def test_passages(spark, documents):
     assert all(left[d].text == " ".join(w) for d, w in rows if d in (1, 3, 5, 6, 7))
 
 
+def test_lines_first_seen_apart(spark):
+    """A passage whose parts were first seen in different documents finds its first whole holder."""
+    rng = random.Random(11)
+    fresh = lambda n: [f"u{rng.randrange(10**7)}" for _ in range(n)]
+    rows, want = [], {}
+    for x, (m, n) in enumerate([(25, 25), (25, 25), (30, 30), (40, 40), (48, 48), (40, 10), (48, 2), (2, 48), (25, 30)]):
+        one, two = fresh(m), fresh(n)
+        whole, base = one + two, 100 * x
+        rows += [(base + 1, [*fresh(20), *one, *fresh(20)]), (base + 2, [*fresh(9), *two, *fresh(20)]), (base + 10, [*fresh(30), *whole, *fresh(5)]), (base + 20, [*fresh(15), *whole, *fresh(30)])]
+        want[(base + 20, base + 10)] = (15, m + n, 30)
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id bigint, text string")
+    got = {(r.doc_id, r.source_doc_id): (r.begin, r.n_words, r.source_begin) for r in substring_dedup.repeated_passages(df).collect()}
+    assert got == want
+
+
 def test_exact_repeats_are_covered(spark, documents):
     texts = {d: t.encode().lower().split() for d, t in documents}
     covered = defaultdict(set)
