@@ -198,6 +198,29 @@ def test_lines_first_seen_apart(spark):
     assert got == want
 
 
+def test_longest_part():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        same = rng.random(rng.integers(1, 40)) < 0.75
+        runs = [(i, j) for i in range(len(same)) for j in range(i + 1, len(same) + 1) if same[i] and same[j - 1] and same[i:j].mean() >= 0.8 - 1e-9]
+        i, j = substring_dedup._longest(same, 0.8)
+        assert (i, j) in runs or (not runs and (i, j) == (0, 0))
+        assert j - i == max([q - p for p, q in runs], default=0)
+
+
+def test_chain_is_cut_back(spark):
+    """A passage is not lost for what follows it in the same chain."""
+    rng = random.Random(12)
+    fresh = lambda n: [f"u{rng.randrange(10**7)}" for _ in range(n)]
+    rows, want = [], set()
+    for x, (m, gap, n) in enumerate(10 * [(55, 20, 12), (60, 24, 14), (80, 26, 12), (50, 26, 50)]):
+        one, two, d = fresh(m), fresh(n), 10 * x
+        rows += [(d + 1, [*fresh(30), *one, *fresh(gap), *two, *fresh(30)]), (d + 2, [*fresh(40), *one, *fresh(gap), *two, *fresh(20)])]
+        want |= {(d + 2, 40, m, 30)} | ({(d + 2, 40 + m + gap, n, 30 + m + gap)} if n >= 50 else set())
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id bigint, text string")
+    assert {(r.doc_id, r.begin, r.n_words, r.source_begin) for r in substring_dedup.repeated_passages(df).collect()} == want
+
+
 def test_exact_repeats_are_covered(spark, documents):
     texts = {d: t.encode().lower().split() for d, t in documents}
     covered = defaultdict(set)
