@@ -88,7 +88,8 @@ def search_block(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, quer
         y = q_projected[:, j : j + 1]
         apart += np.maximum(np.maximum(low[:, j] - y, y - high[:, j]), 0) ** 2
     visits = np.argsort(apart, axis=1, kind="stable")
-    keep = k + 5  # the query's own point, and room for rounding
+    least = by_point[ends - np.bincount(inverse, minlength=len(points))]  # in the order of ids
+    keep = k + 5  # the query's own point, and room
     best, who = np.full((len(queries), keep), -np.inf), np.full((len(queries), keep), -1)
     base, ratio = (queries**2).sum(1) + top_norm**2, stop_ratio(m, miss)
     active = np.arange(len(queries))
@@ -102,10 +103,12 @@ def search_block(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, quer
             break
         for one in np.unique(here):
             who_asks = active[here == one]
-            got = queries[who_asks] @ points[leaves[one]].T
+            got = np.zeros((len(who_asks), len(leaves[one])))
+            for j in range(points.shape[1]):  # as in_order(), so that equal scores are equal
+                got += queries[who_asks, j : j + 1] * points[leaves[one], j]
             all_best = np.hstack([best[who_asks], got])
             all_who = np.hstack([who[who_asks], np.broadcast_to(leaves[one], got.shape)])
-            top = np.argpartition(all_best, -keep, axis=1)[:, -keep:]
+            top = np.lexsort((least[all_who], -all_best), axis=1)[:, :keep]
             best[who_asks], who[who_asks] = np.take_along_axis(all_best, top, 1), np.take_along_axis(all_who, top, 1)
     qs, xs = np.nonzero(who >= 0)
     found = who[qs, xs]

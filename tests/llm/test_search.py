@@ -48,3 +48,16 @@ def test_many_blocks_and_ties(spark):
             assert own == want
     assert {r.query_id for r in got} == set(range(0, 300, 20))
     assert neighbours.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_many_points_of_one_score(spark):
+    """Of more different vectors of one score than are kept, those of the smallest ids stay."""
+    x = np.zeros((200, 40))
+    order = np.random.default_rng(3).permutation(200)
+    x[order, np.arange(200) % 40] = 1 + np.arange(200) // 40
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = neighbours.nearest(df, F.col("vec_id") % 20 == 0, k=20).collect()
+    s = x @ x.T
+    for q in range(0, 200, 20):
+        want = [i for i in np.lexsort((np.arange(200), -s[q])) if i != q][:20]
+        assert [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == want
