@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed: the separators between words, space and \t \n \v \f \r.
@@ -63,7 +63,7 @@ class Scratch:
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{job}-{uuid.uuid4().hex[:12]}"
         self.n = 0
-        self.paths: dict[int, str] = {}
+        self.saved: list[DataFrame] = []
 
     def save(self, df: DataFrame, *partition_by: str) -> DataFrame:
         path = f"{self.base}/t{self.n}"
@@ -71,8 +71,8 @@ class Scratch:
         w = df.write.option("compression", "zstd")
         (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
         out._scratch_path = path
+        self.saved.append(out)
         return out
 
     def drop(self, *frames: DataFrame) -> None:
@@ -82,14 +82,64 @@ class Scratch:
         for df in frames:
             path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
             path.getFileSystem(conf).delete(path, True)
-
-
-def cores(spark: SparkSession) -> int:
-    return max(1, spark.sparkContext.defaultParallelism)
-
-
-def partitions(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        self.saved = [df for df in self.saved if not any(df is x for x in frames)]
+
+    def keep(self, *frames: DataFrame) -> None:
+        """Delete all tables but these."""
+        self.drop(*[df for df in self.saved if not any(df is x for x in frames)])
+
+
+class RowIds:
+    """Ids of which each stands for one text, for operators that tell documents apart by id.
+
+    ``docs`` has (doc_id, text) of the rows with an id. Where no id has two texts, as is usual,
+    ids stay what they are, which one aggregate of a hash a row tells. Else each distinct (id,
+    text) gets a number of its own, in the order of ids, and ``docs`` is written with these.
+    Rows that are equal in both are one document in either case; null texts are as empty ones."""
+
+    def __init__(self, scratch: Scratch, docs: DataFrame):
+        some = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
+        tag = F.xxhash64(F.coalesce("text", F.lit("")))
+        self.scratch, self.docs, self.ids = scratch, some, None
+        if some.groupBy("doc_id").agg(F.min(tag).alias("lo"), F.max(tag).alias("hi")).where("lo <> hi").isEmpty():
+            return
+        keyed = some.withColumn("tag", self.tag(F.col("text")))
+        number = F.monotonically_increasing_id()  # ascends with the sorted rows; fixed once written
+        self.ids = scratch.save(keyed.select("doc_id", "tag").distinct().orderBy("doc_id", "tag").select(F.col("doc_id").alias("id"), "tag", number.alias("row_id")))
+        self.docs = scratch.save(keyed.join(self.ids, (keyed["doc_id"] == self.ids["id"]) & (keyed["tag"] == self.ids["tag"])).select(F.col("row_id").alias("doc_id"), "text"))
+
+    @staticmethod
+    def tag(text: Column) -> Column:
+        return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+    def named(self, found: DataFrame, *columns: str) -> DataFrame:
+        """found with the ids of the input in ``columns``, which hold ids of ``docs``."""
+        if self.ids is None:
+            return found
+        for c in columns:
+            found = found.join(self.ids.select(F.col("row_id").alias(c), F.col("id").alias("__id")), c).withColumn(c, F.col("__id")).drop("__id")
+        return found
+
+    def join(self, rows: DataFrame, doc_id: str, text: str, found: DataFrame, key: str, broadcast: bool) -> DataFrame:
+        """rows, which have all columns of the input, with those of found beside the document that
+        ``key`` names, or nulls."""
+        if self.ids is None:
+            return rows.join(F.broadcast(found) if broadcast else found, F.col(doc_id).cast("bigint") == F.col(key), "left").drop(key)
+        ids = found.join(self.ids, F.col(key) == F.col("row_id")).drop(key, "row_id").withColumnsRenamed({"id": "__gm_of", "tag": "__gm_tag"})
+        return rows.join(ids, (F.col(doc_id).cast("bigint") == F.col("__gm_of")) & (self.tag(F.col(text)) == F.col("__gm_tag")), "left").drop("__gm_of", "__gm_tag")
+
+
+#: Bytes of a table that may be sent to all executors.
+SENT_BYTES = 64 << 20
+
+
+def small_enough(written: DataFrame, row_bytes: int, *variable: str) -> bool:
+    """Whether a written table has at most SENT_BYTES: ``row_bytes`` a row and what the columns
+    ``variable`` hold."""
+    size = F.count("*") * row_bytes
+    for c in variable:
+        size = size + F.coalesce(F.sum(F.octet_length(c)), F.lit(0))
+    return written.agg(size.alias("n")).first()["n"] <= SENT_BYTES
 
 
 # ---------------------------------------------------------------- words of a batch of texts
@@ -227,7 +277,7 @@ def signed(x: np.ndarray) -> np.ndarray:
 FEW_EDGES, EDGES_A_TASK = 1_000_000, 50_000
 
 
-def components(scratch: Scratch, edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """(node, root) for each node of edges(a, b): root is the smallest node that it reaches.
 
     Distributed union-find by alternating large-star and small-star steps (Kiveris et al. 2014):
@@ -258,7 +308,7 @@ def components(scratch: Scratch, edges: DataFrame, rounds: int = 60) -> DataFram
         pairs = F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))
         return narrow(e.select(F.explode(pairs).alias("s")).select("s.*").where("a <> b").distinct())
 
-    for _ in range(rounds):
+    while True:  # ends: each round but the last lowers the sum of the ends of edges
         new = scratch.save(small(large(state)))
         scratch.drop(state)
         state = new
@@ -266,6 +316,4 @@ def components(scratch: Scratch, edges: DataFrame, rounds: int = 60) -> DataFram
         if now == seen or not now[0]:
             break
         seen = now
-    else:
-        raise RuntimeError("components did not settle")
     return state.select(F.col("a").alias("node"), F.col("b").alias("root")).union(state.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -11,10 +11,14 @@ distinct sets; what equals is collapsed before. The steps:
    compared on batches of their signatures, dropped once the posterior probability of being
    similar is under ``miss``, and verified exactly on their full sets, the likeliest first; a
    pair whose items are known to be connected needs no test. Families of more than one block go
-   on: one item of each block's largest component is compared with the others' so that the bulk
-   becomes one component, and then every item outside the family's largest component meets every
-   block. So no pair of different components stays untested, and the work grows with the items
-   outside the bulk rather than with the square of a hot family.
+   on: one item of each block's largest component is compared with the others', block by block
+   again, so that the bulk of a group of copies becomes one component. Then only band buckets
+   that still hold items of two components matter, and only pairs that share one: each such
+   bucket is a group of its own, in which the items outside its largest component meet the
+   others in blocks. A pair is tested in the first bucket that it shares.
+
+So no candidate pair of different components stays untested. What is sent is at most a row for
+each band of an item, and in a bucket of more than one block its outsiders once a block.
 
 Only links that connect something new are given out.
 """
@@ -26,12 +30,12 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossmill.llm.common import Scratch, components, mix
 
-BATCH, BLOCK = 32, 512
+BATCH, BLOCK = 32, 64
 #: Band keys that a task holds at once, and those of a part.
 MERGE, PART = 3_000_000, 1_000_000
 EDGES = "a bigint, b bigint"
@@ -160,7 +164,7 @@ def band_edges(items: DataFrame, parts: int) -> DataFrame:
 
 
 class Block:
-    """Items of a family, in memory: their sets and signatures."""
+    """Items of a group, in memory: their sets and signatures."""
 
     def __init__(self) -> None:
         self.nodes: list[int] = []
@@ -170,31 +174,34 @@ class Block:
         self.signs: list[np.ndarray] = []
         self.bands: list[np.ndarray] = []
 
-    def links(self, least: list[int], similar: Callable[[int, int, int], bool]) -> list[tuple[int, int]]:
-        """Verified links between items not known to be connected. Items of side 1 meet those of
-        side 0; where no item is of side 1, all meet."""
-        n = len(self.nodes)
-        sign = np.array(self.signs)
+    def candidates(self, band: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of places that share a band, or share ``band`` as their first, and are not known
+        to be connected. Items of side 1 meet those of side 0; where no item is of side 1, all meet."""
         two = any(self.sides)
-        if two:
-            side = np.array(self.sides)
-            left, right = np.flatnonzero(side == 1), np.flatnonzero(side == 0)
-        else:
-            left = right = np.arange(n)
+        side = np.array(self.sides)
+        left, right = (np.flatnonzero(side == 1), np.flatnonzero(side == 0)) if two else (np.arange(len(side)),) * 2
         bands = np.array(self.bands)
-        share = np.zeros((len(left), len(right)), bool)
-        if len(left) * len(right) * bands.shape[1] < 1 << 16:
-            share = (bands[left][:, None, :] == bands[right][None, :, :]).any(2)
+        upto = bands.shape[1] if band < 0 else band
+        if len(left) * len(right) * upto < 1 << 16:
+            share = (bands[left, None, :upto] == bands[None, right, :upto]).any(2)
         else:
-            for b in range(bands.shape[1]):
+            share = np.zeros((len(left), len(right)), bool)
+            for b in range(upto):
                 share |= bands[left, b][:, None] == bands[right, b][None, :]
+        if band >= 0:
+            share = (bands[left, band][:, None] == bands[right, band][None, :]) & ~share
         i, j = np.nonzero(share)
         i, j = left[i], right[j]
         labels = np.array(self.labels)
         apart = labels[i] != labels[j]
         if not two:
             apart &= i < j
-        i, j = i[apart], j[apart]
+        return i[apart], j[apart]
+
+    def links(self, band: int, least: list[int], similar: Callable[[int, int, int], bool]) -> list[tuple[int, int]]:
+        """Verified links between items not known to be connected."""
+        i, j = self.candidates(band)
+        sign = np.array(self.signs)
         same = np.zeros(len(i), np.int64)
         for t in range(0, sign.shape[1], BATCH):
             same += (sign[i, t : t + BATCH] == sign[j, t : t + BATCH]).sum(1)
@@ -221,11 +228,15 @@ class Block:
         return out
 
 
-def _blocks(rows: DataFrame, keys: list[str], sets: Sets, n_hashes: int, band_rows: int, least: list[int], similar) -> DataFrame:
-    """Links within each group of rows(keys, node, label, side, text); groups are bounded."""
+GROUP = ["group", "rest", "block"]
+
+
+def _blocks(rows: DataFrame, sets: Sets, n_hashes: int, band_rows: int, least: list[int], similar) -> DataFrame:
+    """Links within each group of rows(GROUP, band, node, label, side, text); groups are bounded.
+    ``band`` is that of a bucket, or -1 for a group of any candidates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, block = None, Block()
+        now, of, block = None, -1, Block()
 
         def out(links):
             return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
@@ -234,13 +245,13 @@ def _blocks(rows: DataFrame, keys: list[str], sets: Sets, n_hashes: int, band_ro
             hashes, begins = sets(batch.column("text"))
             signs = signatures(hashes, begins, n_hashes)
             bands = band_keys(signs, band_rows)
-            group = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
-            columns = [batch.column(c).to_pylist() for c in ("node", "label", "side")]
-            for x, (key, node, label, side) in enumerate(zip(group, *columns, strict=True)):
+            group = list(zip(*(batch.column(k).to_pylist() for k in GROUP), strict=True))
+            columns = [batch.column(c).to_pylist() for c in ("band", "node", "label", "side")]
+            for x, (key, band, node, label, side) in enumerate(zip(group, *columns, strict=True)):
                 if key != now:
                     if len(block.nodes) > 1:
-                        yield out(block.links(least, similar))
-                    now, block = key, Block()
+                        yield out(block.links(of, least, similar))
+                    now, of, block = key, band, Block()
                 block.nodes.append(node)
                 block.labels.append(label)
                 block.sides.append(side)
@@ -248,9 +259,21 @@ def _blocks(rows: DataFrame, keys: list[str], sets: Sets, n_hashes: int, band_ro
                 block.signs.append(signs[x])
                 block.bands.append(bands[x])
         if len(block.nodes) > 1:
-            yield out(block.links(least, similar))
+            yield out(block.links(of, least, similar))
+
+    return rows.select(*GROUP, "band", "node", "label", "side", "text").repartition(*GROUP).sortWithinPartitions(*GROUP, "node").mapInArrow(run, EDGES)
 
-    return rows.select(*keys, "node", "label", "side", "text").repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(run, EDGES)
+
+def _buckets(items: DataFrame, sets: Sets, n_hashes: int, band_rows: int) -> DataFrame:
+    """(key, band, node, label): a row for each band of items(node, label, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = band_keys(signatures(*sets(batch.column("text")), n_hashes), band_rows)
+            n = keys.shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.tile(np.arange(n, dtype=np.int32), len(keys))), *(pa.array(np.repeat(batch.column(c).to_numpy(), n)) for c in ("node", "label"))], names=["key", "band", "node", "label"])
+
+    return items.select("node", "label", "text").mapInArrow(run, "key bigint, band int, node bigint, label bigint")
 
 
 def resolve(scratch: Scratch, members: DataFrame, sets: Sets, n_hashes: int, band_rows: int, threshold_percent: int, miss: float, block: int = BLOCK) -> DataFrame:
@@ -261,40 +284,58 @@ def resolve(scratch: Scratch, members: DataFrame, sets: Sets, n_hashes: int, ban
     def similar(common: int, a: int, b: int) -> bool:
         return 100 * common >= threshold_percent * (a + b - common)
 
-    args = (sets, n_hashes, band_rows, least, similar)
+    def verified(rows: DataFrame) -> DataFrame:
+        return scratch.save(_blocks(rows, sets, n_hashes, band_rows, least, similar))
+
+    def dealt(m: Column, seed: int = 0) -> Column:
+        return F.pmod(F.xxhash64("node", F.lit(seed)), m).cast("int")
+
+    def parts(n: Column) -> Column:
+        return F.greatest(F.lit(1), F.ceil(n / block)).cast("int")
+
+    plain = {"group": F.col("family"), "rest": F.lit(0), "band": F.lit(-1), "side": F.lit(0)}
     sizes = members.groupBy("family").agg(F.count("*").alias("n"))
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / block)).cast("int")
-    dealt = lambda m: F.pmod(F.xxhash64("node"), m).cast("int")
-    one = members.join(sizes, "family").withColumn("blocks", blocks).withColumn("block", dealt(F.col("blocks")))
-    first = scratch.save(_blocks(one.withColumns({"label": F.col("node"), "side": F.lit(0)}), ["family", "block"], *args))
-    large = scratch.save(sizes.where(F.col("n") > block).withColumn("blocks", blocks))
+    one = members.join(sizes, "family").withColumn("block", dealt(parts(F.col("n"))))
+    found = verified(one.withColumns(plain | {"label": F.col("node")}))
+    large = scratch.save(sizes.where(F.col("n") > block))
     if large.isEmpty():
-        return first
+        return found
+    own = one.join(large.select("family"), "family", "left_semi")
 
     def labelled(links: DataFrame) -> DataFrame:
-        own = one.join(large.select("family"), "family", "left_semi")
-        found = components(scratch, links).withColumnRenamed("root", "label")
-        return own.join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
-
-    # one item of each block's largest component, in groups of a block each
-    own = labelled(first)
-    per = own.groupBy("family", "block", "label").agg(F.count("*").alias("k"))
-    best = per.groupBy("family", "block").agg(F.max_by("label", "k").alias("node"))
-    hubs = own.join(best.select("family", "node"), ["family", "node"], "left_semi")
-    groups = F.ceil(F.col("blocks") / block).cast("int")
-    second = scratch.save(_blocks(hubs.withColumns({"block": dealt(groups), "side": F.lit(0)}), ["family", "block"], *args))
-    # what is outside the largest component meets all, block by block
-    own = scratch.save(labelled(first.union(second)))
-    main = own.groupBy("family", "label").agg(F.count("*").alias("k")).groupBy("family").agg(F.max_by("label", "k").alias("main"))
-    own = own.join(main, "family")
-    rest = own.where("label <> main")
-    counts = rest.groupBy("family").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block)).cast("int").alias("rests"))
-    outside = rest.join(counts, "family").withColumn("rest", F.pmod(F.xxhash64("node", F.lit(1)), F.col("rests")).cast("int"))
-    sent = outside.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(1))
-    met = own.join(counts, "family").withColumn("rest", F.explode(F.sequence(F.lit(0), F.col("rests") - 1))).withColumn("side", F.lit(0))
-    cols = ["family", "rest", "block", "node", "label", "side", "text"]
-    third = scratch.save(_blocks(sent.select(cols).union(met.select(cols)), ["family", "rest", "block"], *args))
-    return first.union(second).union(third)
+        roots = components(scratch, links).withColumnRenamed("root", "label")
+        return own.join(roots, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+    # one item of each block's largest component, in blocks again until a family's are one block
+    groups = labelled(found).groupBy("family", "block", "label").agg(F.count("*").alias("k"))
+    while True:
+        hubs = scratch.save(groups.groupBy("family", "block").agg(F.max_by("label", F.struct("k", "label")).alias("node")).select("family", "node").distinct())
+        per = hubs.groupBy("family").agg(F.count("*").alias("n"))
+        last = per.agg(F.max("n")).first()[0] <= block
+        met = hubs.join(per, "family").withColumn("block", dealt(parts(F.col("n")), 1)).join(own.select("family", "node", "text"), ["family", "node"])
+        found = scratch.save(found.union(verified(met.withColumns(plain | {"label": F.col("node")}))))
+        if last:
+            break
+        roots = components(scratch, found).withColumnRenamed("root", "label")
+        groups = met.join(roots, "node", "left").groupBy("family", "block", F.coalesce("label", "node").alias("label")).agg(F.count("*").alias("k"))
+    # buckets of more than one component
+    own = scratch.save(labelled(found).select("node", "label", "text"))
+    buckets = scratch.save(_buckets(own, sets, n_hashes, band_rows))
+    mixed = scratch.save(buckets.groupBy("key", "label").agg(F.count("*").alias("k")).groupBy("key").agg(F.sum("k").alias("n"), F.count("*").alias("labels"), F.max_by("label", F.struct("k", "label")).alias("main")).where("labels > 1").drop("labels"))
+    if mixed.isEmpty():
+        return found
+    entries = buckets.join(mixed, "key")
+    small = entries.where(F.col("n") <= block).select(F.col("key").alias("group"), F.lit(0).alias("rest"), F.lit(0).alias("block"), "band", "node", "label", F.lit(0).alias("side"))
+    hot = scratch.save(entries.where(F.col("n") > block))
+    outside = hot.where("label <> main")
+    counts = outside.groupBy("key").agg(parts(F.count("*")).alias("rests"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt_out = hot.join(counts, "key").withColumn("blocks", parts(F.col("n")))
+    sent = dealt_out.where("label <> main").withColumns({"rest": dealt(F.col("rests"), 2), "side": F.lit(1)}).withColumn("block", every("blocks"))
+    stay = dealt_out.withColumns({"block": dealt(F.col("blocks")), "side": F.lit(0)}).withColumn("rest", every("rests"))
+    columns = [F.col("key").alias("group"), "rest", "block", "band", "node", "label", "side"]
+    rows = small.union(sent.select(columns)).union(stay.select(columns))
+    return found.union(verified(rows.join(own.select("node", "text"), "node")))
 
 
 def families(scratch: Scratch, edges: DataFrame) -> DataFrame:
