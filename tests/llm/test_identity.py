@@ -114,3 +114,66 @@ def test_passages_of_shared_ids(spark):
     left = Counter((r.doc_id, " ".join(r.text.split()), r.words_removed) for r in got.collect())
     want = Counter([(1, rows[0][1], 0), (4, rows[1][1][len(a) + 1 :], 60), (4, rows[2][1], 0), (4, rows[3][1], 0), *((9, r[1][len(b) + 1 :], 70) for r in (rows[4], rows[5], rows[4]))])
     assert left == want
+
+
+def word_runs(words, n):
+    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
+
+
+@pytest.mark.parametrize("changed", [0, 6])
+def test_parts_first_seen_in_small_documents(spark, changed):
+    """A passage of 160 words whose overlapping 45-word parts stand in five earlier documents."""
+    rng = random.Random(8 + changed)
+    whole = fresh(rng, 160).split()
+    rows = [(i, f"{fresh(rng, 12)} {' '.join(whole[s : s + 45])} {fresh(rng, 12)}") for i, s in enumerate((0, 29, 58, 87, 115))]
+    theirs = list(whole)
+    for i in rng.sample(range(160), changed):
+        theirs[i] = f"other{i}"
+    rows += [(10, f"{fresh(rng, 15)} {' '.join(whole)} {fresh(rng, 7)}"), (11, f"{fresh(rng, 9)} {' '.join(theirs)} {fresh(rng, 30)}")]
+    covered = set()
+    for r in substring_dedup.repeated_passages(frame(spark, rows)).collect():
+        assert r.doc_id == 11 and r.source_doc_id == 10 and r.source_begin - 15 == r.begin - 9
+        covered.update(range(r.begin - 9, r.begin - 9 + r.n_words))
+    assert len(covered) >= (160 if not changed else 100), len(covered)
+
+
+def test_long_passages_with_few_seeds_of_one_source(spark):
+    """An extension beyond the first flank is followed to its end."""
+    rng = random.Random(10)
+    whole = fresh(rng, 900).split()
+    words = substring_dedup._words(" ".join(whole))
+    segments = [(450, 470, 10)]
+    own = np.concatenate([substring_dedup._words(fresh(rng, 20)), words])
+    (i, i1, j, j1, equal), before, after = substring_dedup.align(words, own, segments)
+    assert (i, i1, j, j1, equal) == (0, 900, 20, 920, 900) and before and after
+    linked = spark.createDataFrame([(2, 1, [450, 470, 10])], substring_dedup.CHAINS)
+    docs = frame(spark, [(1, f"{fresh(rng, 20)} {' '.join(whole)} {fresh(rng, 40)}"), (2, " ".join(whole))])
+    got = substring_dedup.aligned(common.Scratch(spark, "test"), docs, linked, 0, 50, 0.8, 64).collect()
+    assert [(r.doc_id, r.begin, r.n_words, r.source_doc_id, r.source_begin, r.matches) for r in got] == [(2, 0, 900, 1, 20, 900)]
+
+
+def test_fuzzy_passages_against_brute_force(spark, documents):
+    """Whatever two documents of the smallest table share on one diagonal, 50 words or more at an
+    identity of 0.8 around 17 equal words (which hold a seed), is found nearly whole."""
+    texts = {d: np.array([hash(x) for x in t.encode().lower().split()]) for d, t in documents}
+    places, wanted = {}, []
+    for d in sorted(texts):
+        w, met = texts[d].tolist(), set()
+        for i in range(len(w) - 16):
+            run = tuple(w[i : i + 17])
+            met.update((e, i - j) for e, j in places.get(run, ()) if e != d)
+        for i in range(len(w) - 16):
+            places.setdefault(tuple(w[i : i + 17]), []).append((d, i))
+        for e, shift in met:
+            i = max(0, shift)
+            n = min(len(w) - i, len(texts[e]) - (i - shift))
+            same = texts[d][i : i + n] == texts[e][i - shift : i - shift + n]
+            x, y = substring_dedup._longest(same, 0.8)
+            if y - x >= 50 and len(set(w[i + x : i + y])) > 10:
+                wanted.append((d, i + x, i + y))
+    covered = {}
+    for r in substring_dedup.repeated_passages(frame(spark, documents)).collect():
+        covered.setdefault(r.doc_id, set()).update(range(r.begin, r.begin + r.n_words))
+    assert len(wanted) > 20
+    for d, x, y in wanted:
+        assert len(covered.get(d, set()) & set(range(x, y))) >= 0.9 * (y - x), (d, x, y)
