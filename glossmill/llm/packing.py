@@ -3,12 +3,16 @@
 The pieces to pack are known to the plan only by the histogram of their lengths, 1,024 numbers
 whatever the size of the corpus. On it the configuration linear program (a configuration is a
 multiset of lengths that fit one sequence; use as few sequences as cover every length's count)
-is solved by multiplicative weights: each round prices lengths by how far they lag, finds the
-best configuration for these prices by knapsack dynamic programming, and raises its use. The
-fractional solution is rounded down; what it leaves over, at most one sequence's worth for each
-configuration and so bounded as well, is packed by best fit: by falling length into the fullest
-sequence that takes a piece, or by the fullest filling beside the longest piece (again dynamic
-programming), whichever needs fewer.
+is solved by multiplicative weights. A length's price is its tokens times a weight that falls
+exponentially with the share of its pieces that is covered (that is, weights that start in
+proportion to the tokens of a length, over its count). Each round prices lengths, finds the best
+filling of every capacity for these prices and some perturbed ones by knapsack dynamic
+programming, and raises the use of the best configurations that hold the lengths that lag. It
+ends when all pieces are covered; the prices are a dual solution as well, so each round gives a
+lower bound, and the gap between the use and the best bound is known (``GAP`` is aimed at, with
+smaller steps where it is missed; the smallest tables have less to choose from). The uses of
+configurations that fill a sequence are rounded down, then raised by one in the order of what was
+cut off while pieces last; the rest of the pieces goes by best fit, by falling length.
 
 Pieces are then given their place without moving texts or ids: each is numbered within its
 length (numbered within a salt, plus the counts of the salts before, so that a length that a
@@ -33,7 +37,11 @@ from pyspark.sql import functions as F
 from glossmill.llm.common import Scratch, small_batches
 from glossmill.llm.tokens import encode_json, vocabulary_path
 
-CAPACITY, END_ID, ROUNDS, ROWS_A_SALT = 1024, 2, 800, 20_000
+CAPACITY, END_ID, ROWS_A_SALT = 1024, 2, 20_000
+#: Of the linear program: how far above the bound its use may be, the shares of a length that a round
+#: covers at most, the fall of weights with the covered share, the spread of perturbed prices, how
+#: many of these a round has, and how many lagging lengths each serves.
+GAP, STEPS, FALL, SPREAD, PRICES, LAGGING, SEED = 0.01, (0.25, 0.1, 0.05), 4.0, 0.02, 8, 64, 20260104
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -64,79 +72,96 @@ def tokenize_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 # ---------------------------------------------------------------- the plan, from the histogram
 
 
-def price(worth: np.ndarray, lengths: np.ndarray, capacity: int) -> dict[int, int]:
-    """Unbounded knapsack: the configuration (index of length -> copies) of the largest worth."""
-    best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+def fillings(worth: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unbounded knapsack for each row of ``worth``: (capacity + 1, rows) the largest worth within a
+    capacity, and the length taken last, or -1 where a token is left free."""
+    rows = np.arange(len(worth))
+    best, pick = np.zeros((capacity + 1, len(worth))), np.full((capacity + 1, len(worth)), -1)
     fits = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
+    worth = np.ascontiguousarray(worth.T)
     for c in range(1, capacity + 1):
-        k = fits[c]
         best[c] = best[c - 1]
+        k = fits[c]
         if k:
             got = best[c - lengths[:k]] + worth[:k]
-            j = int(np.argmax(got))
-            if got[j] > best[c]:
-                best[c], pick[c] = got[j], j
+            j = got.argmax(0)
+            more = got[j, rows] > best[c]
+            best[c] = np.where(more, got[j, rows], best[c])
+            pick[c] = np.where(more, j, -1)
+    return best, pick
+
+
+def filling(pick: np.ndarray, lengths: list[int], capacity: int) -> dict[int, int]:
+    """The configuration (index of length -> copies) behind one row's best worth."""
     out: dict[int, int] = {}
-    c = capacity
-    while c > 0:
-        if pick[c] < 0:
-            c -= 1
+    while capacity > 0:
+        j = int(pick[capacity])
+        if j < 0:
+            capacity -= 1
         else:
-            out[int(pick[c])] = out.get(int(pick[c]), 0) + 1
-            c -= int(lengths[pick[c]])
+            out[j] = out.get(j, 0) + 1
+            capacity -= lengths[j]
     return out
 
 
-def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> dict[tuple, float]:
-    """Configurations and their fractional use, by multiplicative weights."""
-    n = counts.astype(float)
-    covered, use = np.zeros(len(n)), {}
+Uses = dict[tuple[tuple[int, int], ...], float]
+
+
+def cover(lengths: np.ndarray, counts: np.ndarray, capacity: int, step: float) -> tuple[Uses, float]:
+    """A fractional cover of all pieces, configurations (index of length, copies) with their use; and
+    a lower bound on the use of any cover."""
+    rng = np.random.default_rng(SEED)
+    n, sizes, done = counts.astype(float), [int(x) for x in lengths], 1 - 1e-6
+    covered, use, bound = np.zeros(len(n)), {}, 0.0
+    while covered.min() < done:
+        price = np.where(covered < done, lengths * np.exp(-FALL * (covered - covered.min())), 0.0)
+        worth = price * np.exp(SPREAD * rng.standard_normal((PRICES, len(n))))
+        worth[0] = price
+        best, pick = fillings(worth, lengths, capacity)
+        bound = max(bound, float(n @ price) / best[capacity, 0])  # prices over the best worth are feasible in the dual
+        grown = np.zeros(len(n))
+        lag = np.flatnonzero(covered < done)
+        for x, j in enumerate(lag[np.argsort(covered[lag] - step * rng.random(len(lag)))][: PRICES * LAGGING].tolist()):
+            config = filling(pick[:, x % PRICES], sizes, capacity - sizes[j])
+            config[j] = config.get(j, 0) + 1
+            raised = min((min(step, 1 - covered[k]) - grown[k]) * n[k] / a for k, a in config.items())
+            if raised > 0:
+                key = tuple(sorted(config.items()))
+                use[key] = use.get(key, 0.0) + raised
+                for k, a in config.items():
+                    grown[k] += a * raised / n[k]
+        covered += grown
+    least = float(covered.min())
+    return {key: x / least for key, x in use.items()}, bound
+
+
+def better_bound(lengths: np.ndarray, counts: np.ndarray, capacity: int, step: float = 0.02, rounds: int = 300) -> float:
+    """The best bound of prices that follow the best configuration alone, with no length left out."""
+    covered, bound = np.zeros(len(lengths)), 0.0
     for _ in range(rounds):
-        lag = covered - covered.min()
-        if covered.min() >= 1:
-            break
-        # a length's price: its tokens, times a weight that falls as it is covered ahead of others
-        weight = np.where(covered < 1, np.exp(-8 * lag), 0.0)
-        config = price(weight * lengths, lengths, capacity)
-        if not config:
-            break
-        step = min(n[j] * max(1 - covered[j], 0.05) / a for j, a in config.items())
-        step = max(step * 0.5, min(1.0, step))
-        key = tuple(sorted(config.items()))
-        use[key] = use.get(key, 0.0) + step
-        for j, a in config.items():
-            covered[j] += a * step / n[j]
-    return use
-
-
-def fullest(left: int, lengths: np.ndarray, counts: np.ndarray) -> dict[int, int]:
-    """A filling of ``left`` tokens as full as the counts allow: bounded subset sum, long pieces first."""
-    out: dict[int, int] = {}
-    if left <= 0:
-        return out
-    step = np.full(left + 1, -2)
-    used = np.zeros(left + 1, np.int64)
-    step[0] = -1
-    for j in range(len(lengths) - 1, -1, -1):
-        size, have = int(lengths[j]), int(counts[j])
-        if size > left or have <= 0:
-            continue
-        reached = step != -2
-        used[:] = 0
-        for _ in range(min(have, left // size)):
-            new = np.zeros(left + 1, bool)
-            new[size:] = reached[:-size] & (step[size:] == -2)
-            if not new.any():
-                break
-            step[new] = j
-            reached = new
-        if step[left] != -2:
+        price = lengths * np.exp(-FALL * (covered - covered.min()))
+        best, pick = fillings(price[None], lengths, capacity)
+        bound = max(bound, float(counts @ price) / best[capacity, 0])
+        config = filling(pick[:, 0], lengths.tolist(), capacity)
+        raised = step * min(counts[k] / a for k, a in config.items())
+        for k, a in config.items():
+            covered[k] += a * raised / counts[k]
+    return bound
+
+
+def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, gap: float = GAP) -> tuple[Uses, float]:
+    """The best cover of several step sizes, until one is within ``gap`` of the bound; and the bound."""
+    found, bound = None, 0.0
+    for step in STEPS:
+        use, least = cover(lengths, counts, capacity, step)
+        bound = max(bound, least)
+        if found is None or sum(use.values()) < sum(found.values()):
+            found = use
+        if sum(found.values()) > (1 + gap) * bound and step == STEPS[0]:
+            bound = max(bound, better_bound(lengths, counts, capacity))
+        if sum(found.values()) <= (1 + gap) * bound:
             break
-    c = int(np.flatnonzero(step != -2)[-1])
-    while c > 0:
-        out[int(step[c])] = out.get(int(step[c]), 0) + 1
-        c -= int(lengths[step[c]])
-    return out
+    return found, bound
 
 
 Plan = list[tuple[tuple[tuple[int, int], ...], int]]
@@ -173,27 +198,28 @@ def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> Plan:
     return [entry for entries in room.values() for entry in entries]
 
 
-def fullest_first(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> Plan:
-    """The longest piece left with the fullest filling of the rest of its sequence, as often as
-    the counts allow."""
+def rounded(use: Uses, lengths: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[Plan, np.ndarray]:
+    """Whole uses of the configurations that fill a sequence, and the counts they leave."""
+    full = [(key, x) for key, x in use.items() if sum(int(lengths[j]) * a for j, a in key) == capacity]
     out, left = [], counts.copy()
-    while left.any():
-        j = int(np.flatnonzero(left)[-1])
-        rest = left.copy()
-        rest[j] -= 1
-        config = fullest(capacity - int(lengths[j]), lengths, rest)
-        config[j] = config.get(j, 0) + 1
-        times = min(int(left[k] // a) for k, a in config.items())
-        out.append((tuple((int(lengths[k]), a) for k, a in sorted(config.items(), reverse=True)), times))
-        for k, a in config.items():
-            left[k] -= a * times
-    return out
 
+    def take(key: tuple, times: int) -> None:
+        times = min(times, *(int(left[j] // a) for j, a in key))
+        if times > 0:
+            out.append((tuple((int(lengths[j]), a) for j, a in reversed(key)), times))
+            for j, a in key:
+                left[j] -= a * times
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> Plan:
+    for key, x in full:
+        take(key, int(x))
+    for key, _ in sorted(full, key=lambda f: -(f[1] % 1)):
+        take(key, 1)
+    return out, left
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
     """[(configuration as (length, copies) pairs, sequences)] that hold exactly the histogram: the
-    rounded solution with the better of two best fits for what rounding leaves, or, where
-    counts are so small that rounding leaves nearly all, the best fit of everything."""
+    rounded solution of the linear program, and best fit for what rounding leaves."""
     lengths = np.array(sorted(histogram), np.int64)
     counts = np.array([histogram[int(x)] for x in lengths], np.int64)
     whole: Plan = []
@@ -202,27 +228,19 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUN
         lengths, counts = lengths[:-1], counts[:-1]
     if not len(lengths):
         return whole
-    rounded: Plan = []
-    left = counts.copy()
-    for key, x in sorted(solve(lengths, counts, capacity, rounds).items(), key=lambda kv: -kv[1]):
-        # only full configurations; a poorly filled one is left to best fit
-        if sum(int(lengths[j]) * a for j, a in key) >= capacity - 1:
-            times = min(int(x), *(int(left[j] // a) for j, a in key))
-            if times > 0:
-                rounded.append((tuple((int(lengths[j]), a) for j, a in reversed(key)), times))
-                for j, a in key:
-                    left[j] -= a * times
-    plans = [rounded + best_fit(lengths, left, capacity), rounded + fullest_first(lengths, left, capacity), best_fit(lengths, counts, capacity)]
-    return whole + min(plans, key=lambda p: sum(times for _, times in p))
-
-
-def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS, rows_a_salt: int = ROWS_A_SALT) -> DataFrame:
+    use, _ = solve(lengths, counts, capacity)
+    out, left = rounded(use, lengths, counts, capacity)
+    some = left > 0
+    return whole + out + best_fit(lengths[some], left[some], capacity)
+
+
+def pack(pieces: DataFrame, capacity: int = CAPACITY, rows_a_salt: int = ROWS_A_SALT) -> DataFrame:
     """Adds sequence_id and offset to pieces(doc_id, piece, start, length, ids_crc32), which should
     be a written table: it is read twice."""
     histogram = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``capacity`` rows
     entries: dict[int, list[tuple[int, int, int, int]]] = {}
     at, base = dict.fromkeys(histogram, 0), 0
-    for config, times in plan(histogram, capacity, rounds):
+    for config, times in plan(histogram, capacity):
         offset = 0
         for length, copies in config:
             entries.setdefault(length, []).append((at[length], copies, base, offset))

@@ -117,12 +117,53 @@ def test_pricing_is_optimal():
     rng = np.random.default_rng(2)
     for _ in range(50):
         lengths = np.unique(rng.integers(3, 20, 5))
-        worth = rng.random(len(lengths))
-        got = packing.price(worth, lengths, 40)
-        best = [0.0] * 41
-        for c in range(1, 41):
-            best[c] = max([best[c - 1], *(best[c - x] + w for x, w in zip(lengths, worth, strict=True) if x <= c)])
-        assert sum(worth[j] * a for j, a in got.items()) == pytest.approx(best[40])
+        worth = rng.random((3, len(lengths)))
+        found, pick = packing.fillings(worth, lengths, 40)
+        for x in range(3):
+            best = [0.0] * 41
+            for c in range(1, 41):
+                best[c] = max([best[c - 1], *(best[c - n] + w for n, w in zip(lengths, worth[x], strict=True) if n <= c)])
+            got = packing.filling(pick[:, x], lengths.tolist(), 40)
+            assert sum(lengths[j] * a for j, a in got.items()) <= 40
+            assert sum(worth[x, j] * a for j, a in got.items()) == pytest.approx(best[40]) == pytest.approx(found[40, x])
+
+
+def histogram_of(documents):
+    tokenizer, out = json_tokenizer(vocabulary_path("byte_bpe_50k.json")), Counter()
+    for _, t in documents:
+        n = len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1
+        out[n % 1024 or 1024] += 1
+    del out[1024]
+    return np.array(sorted(out)), np.array([out[x] for x in sorted(out)])
+
+
+@pytest.mark.parametrize("kind", ["tables", "lognormal", "halves", "few"])
+def test_linear_program(kind):
+    """The fractional use covers all pieces and is within the stated gap of a bound that holds."""
+    import duckdb
+
+    rng, gap = np.random.default_rng(9), packing.GAP
+    if kind == "tables":
+        lengths, counts = histogram_of(duckdb.sql("SELECT doc_id, text FROM '/root/testdata/sf0.01/documents.parquet'").fetchall())
+        gap = 0.02
+    elif kind == "lognormal":
+        lengths, counts = np.unique(np.clip(rng.lognormal(5, 1.2, 200_000).astype(int), 1, 1023), return_counts=True)
+    elif kind == "halves":
+        lengths, counts, gap = np.array([420, 500, 600]), np.array([500, 500, 1000]), 0.02
+    else:
+        lengths, counts, gap = np.array([300, 341, 512]), np.array([10**9, 10**9, 10**9]), 0.02
+    use, bound = packing.solve(lengths, counts, 1024)
+    covered = np.zeros(len(lengths))
+    for config, x in use.items():
+        assert x > 0 and sum(lengths[j] * a for j, a in config) <= 1024
+        for j, a in config:
+            covered[j] += a * x
+    assert (covered >= counts * (1 - 1e-9)).all()
+    assert bound * (1 - 1e-9) <= sum(use.values()) <= (1 + gap) * bound
+    assert bound <= sum(t for _, t in packing.best_fit(lengths, counts, 1024)) * (1 + 1e-9)
+    placed, left = packing.rounded(use, lengths, counts, 1024)
+    if kind in ("tables", "lognormal"):  # the plan does come from the rounded solution
+        assert sum(t for _, t in placed) > 0.2 * bound and (left >= 0).all()
 
 
 def check_packed(rows, texts):
