@@ -11,11 +11,13 @@ distinct sets; what equals is collapsed before. The steps:
    compared on batches of their signatures, dropped once the posterior probability of being
    similar is under ``miss``, and verified exactly on their full sets, the likeliest first; a
    pair whose items are known to be connected needs no test. Families of more than one block go
-   on: one item of each block's largest component is compared with the others', block by block
-   again, so that the bulk of a group of copies becomes one component. Then only band buckets
-   that still hold items of two components matter, and only pairs that share one: each such
-   bucket is a group of its own, in which the items outside its largest component meet the
-   others in blocks. A pair is tested in the first bucket that it shares.
+   on: each block names the item that is likest to the others, these hubs meet in blocks again
+   until a family's are one block, and then all items of the family, block by block, so that a
+   group of copies becomes one component. Where few are left outside a family's largest
+   component, they meet its blocks. Where many are, as in a family that mere candidates hold
+   together, only band buckets that hold items of two components matter, and pairs that share
+   one: each such bucket is a group of its own, in which the items outside its largest component
+   meet the others in blocks. A pair is tested in the first bucket that it shares.
 
 So no candidate pair of different components stays untested. What is sent is at most a row for
 each band of an item, and in a bucket of more than one block its outsiders once a block.
@@ -36,6 +38,8 @@ from pyspark.sql import functions as F
 from glossmill.llm.common import Scratch, components, mix
 
 BATCH, BLOCK = 32, 64
+#: Rows an item of a large family that its outsiders may cost when they meet all of it.
+ROWS_AN_ITEM = 8
 #: Band keys that a task holds at once, and those of a part.
 MERGE, PART = 3_000_000, 1_000_000
 EDGES = "a bigint, b bigint"
@@ -199,7 +203,8 @@ class Block:
         return i[apart], j[apart]
 
     def links(self, band: int, least: list[int], similar: Callable[[int, int, int], bool]) -> list[tuple[int, int]]:
-        """Verified links between items not known to be connected."""
+        """Verified links between items not known to be connected; and the item that agrees most
+        with its candidates, as a link to itself."""
         i, j = self.candidates(band)
         sign = np.array(self.signs)
         same = np.zeros(len(i), np.int64)
@@ -207,6 +212,7 @@ class Block:
             same += (sign[i, t : t + BATCH] == sign[j, t : t + BATCH]).sum(1)
             stay = same >= least[min(t + BATCH, sign.shape[1])]
             i, j, same = i[stay], j[stay], same[stay]
+        agreed = np.bincount(np.r_[i, j], np.r_[same, same], len(self.nodes))
         parent = {x: x for x in self.labels}
 
         def find(x: int) -> int:
@@ -225,6 +231,8 @@ class Block:
             if similar(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b)):
                 parent[max(p, q)] = min(p, q)
                 out.append((self.nodes[x], self.nodes[y]))
+        if agreed.any():
+            out.append((self.nodes[int(agreed.argmax())],) * 2)
         return out
 
 
@@ -294,48 +302,70 @@ def resolve(scratch: Scratch, members: DataFrame, sets: Sets, n_hashes: int, ban
         return F.greatest(F.lit(1), F.ceil(n / block)).cast("int")
 
     plain = {"group": F.col("family"), "rest": F.lit(0), "band": F.lit(-1), "side": F.lit(0)}
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = [*GROUP, "band", "node", "label", "side"]
     sizes = members.groupBy("family").agg(F.count("*").alias("n"))
-    one = members.join(sizes, "family").withColumn("block", dealt(parts(F.col("n"))))
+    one = members.join(sizes, "family").withColumn("blocks", parts(F.col("n"))).withColumn("block", dealt(F.col("blocks")))
     found = verified(one.withColumns(plain | {"label": F.col("node")}))
     large = scratch.save(sizes.where(F.col("n") > block))
     if large.isEmpty():
-        return found
-    own = one.join(large.select("family"), "family", "left_semi")
+        return found.where("a <> b")
+    own = scratch.save(one.join(large.select("family"), "family", "left_semi"))
 
     def labelled(links: DataFrame) -> DataFrame:
         roots = components(scratch, links).withColumnRenamed("root", "label")
         return own.join(roots, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
-    # one item of each block's largest component, in blocks again until a family's are one block
-    groups = labelled(found).groupBy("family", "block", "label").agg(F.count("*").alias("k"))
+    def hubs_of(items: DataFrame, links: DataFrame) -> DataFrame:
+        return scratch.save(items.join(links.where("a = b").select(F.col("a").alias("node")).distinct(), "node", "left_semi").select("family", "node", "blocks", "text"))
+
+    # hubs meet in blocks until a family's are one block, which then meets the whole family
+    hubs = hubs_of(own, found)
     while True:
-        hubs = scratch.save(groups.groupBy("family", "block").agg(F.max_by("label", F.struct("k", "label")).alias("node")).select("family", "node").distinct())
         per = hubs.groupBy("family").agg(F.count("*").alias("n"))
-        last = per.agg(F.max("n")).first()[0] <= block
-        met = hubs.join(per, "family").withColumn("block", dealt(parts(F.col("n")), 1)).join(own.select("family", "node", "text"), ["family", "node"])
-        found = scratch.save(found.union(verified(met.withColumns(plain | {"label": F.col("node")}))))
-        if last:
+        most = per.agg(F.max("n")).first()[0] or 0
+        if not most:
             break
-        roots = components(scratch, found).withColumnRenamed("root", "label")
-        groups = met.join(roots, "node", "left").groupBy("family", "block", F.coalesce("label", "node").alias("label")).agg(F.count("*").alias("k"))
-    # buckets of more than one component
-    own = scratch.save(labelled(found).select("node", "label", "text"))
+        met = hubs.join(per, "family").withColumn("block", dealt(parts(F.col("n")), 1))
+        more = verified(met.withColumns(plain | {"label": F.col("node")}))
+        found = found.union(more)
+        if most <= block:
+            break
+        hubs = hubs_of(met, more)
+    if most:
+        now = labelled(found)
+        roots = now.select("node", "label")
+        asked = hubs.withColumn("block", every("blocks")).withColumns(plain | {"side": F.lit(1)}).join(roots, "node")
+        found = found.union(verified(now.withColumns(plain).select(*columns, "text").union(asked.select(*columns, "text"))))
+    own = scratch.save(labelled(found).select("family", "node", "label", "text"))
+    main = own.groupBy("family", "label").agg(F.count("*").alias("k")).groupBy("family").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.sum("k").alias("n"), F.max("k").alias("k"))
+    wide = 4 * block
+    main = main.where("n > k").withColumns({"rests": F.ceil((F.col("n") - F.col("k")) / wide).cast("int"), "blocks": F.ceil(F.col("n") / wide).cast("int")})
+    main = scratch.save(main.withColumn("few", F.col("n") * F.col("rests") + (F.col("n") - F.col("k")) * F.col("blocks") <= ROWS_AN_ITEM * F.col("n")).drop("n", "k"))
+    # few outside the bulk of a family: they meet all of it
+    bulk = own.join(main.where("few"), "family").withColumns(plain)
+    sent = bulk.where("label <> main").withColumns({"rest": dealt(F.col("rests"), 2), "side": F.lit(1), "block": every("blocks")})
+    stay = bulk.withColumns({"block": dealt(F.col("blocks")), "rest": every("rests")})
+    found = found.union(verified(sent.select(*columns, "text").union(stay.select(*columns, "text"))))
+    if main.where("NOT few").isEmpty():
+        return found.where("a <> b")
+    # many: buckets of more than one component
+    own = scratch.save(own.join(main.where("NOT few").select("family"), "family", "left_semi").select("node", "label", "text"))
     buckets = scratch.save(_buckets(own, sets, n_hashes, band_rows))
     mixed = scratch.save(buckets.groupBy("key", "label").agg(F.count("*").alias("k")).groupBy("key").agg(F.sum("k").alias("n"), F.count("*").alias("labels"), F.max_by("label", F.struct("k", "label")).alias("main")).where("labels > 1").drop("labels"))
     if mixed.isEmpty():
-        return found
+        return found.where("a <> b")
     entries = buckets.join(mixed, "key")
     small = entries.where(F.col("n") <= block).select(F.col("key").alias("group"), F.lit(0).alias("rest"), F.lit(0).alias("block"), "band", "node", "label", F.lit(0).alias("side"))
     hot = scratch.save(entries.where(F.col("n") > block))
     outside = hot.where("label <> main")
     counts = outside.groupBy("key").agg(parts(F.count("*")).alias("rests"))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     dealt_out = hot.join(counts, "key").withColumn("blocks", parts(F.col("n")))
     sent = dealt_out.where("label <> main").withColumns({"rest": dealt(F.col("rests"), 2), "side": F.lit(1)}).withColumn("block", every("blocks"))
     stay = dealt_out.withColumns({"block": dealt(F.col("blocks")), "side": F.lit(0)}).withColumn("rest", every("rests"))
-    columns = [F.col("key").alias("group"), "rest", "block", "band", "node", "label", "side"]
-    rows = small.union(sent.select(columns)).union(stay.select(columns))
-    return found.union(verified(rows.join(own.select("node", "text"), "node")))
+    keyed = [F.col("key").alias("group"), *columns[1:]]
+    rows = small.union(sent.select(keyed)).union(stay.select(keyed))
+    return found.union(verified(rows.join(own.select("node", "text"), "node"))).where("a <> b")
 
 
 def families(scratch: Scratch, edges: DataFrame) -> DataFrame:
