@@ -46,9 +46,11 @@ def test_colliding_hashes_delete_nothing(spark):
     found = spark.createDataFrame([(1, 0, 5, 1), (2, 0, 5, 2), (3, 0, 5, 1)], "doc_id bigint, line int, node bigint, check bigint")
     first = found.groupBy("node", "check").agg({"doc_id": "min"}).collect()
     assert sorted(tuple(r) for r in first) == [(5, 1, 1), (5, 2, 2)]
-    raw, at = common.text_bytes(pa.array([f"a line with the number {i}" for i in range(20_000)]))
-    a, b = common.signed(common.word_hashes(raw, at[:-1], at[1:])), line_dedup.checks(raw, at[:-1], at[1:])
-    assert len(set(a.tolist())) == len(set(b.tolist())) == 20_000 and abs(np.corrcoef(a.astype(float), b.astype(float))[0, 1]) < 0.03
+    rng = random.Random(1)
+    lines = [fresh(rng, rng.randrange(1, 9)) for _ in range(3_000)]
+    raw, at = common.text_bytes(pa.array([*lines, *lines, "x", "X"]))
+    got = line_dedup.checks(raw, at[:-1], at[1:]).tolist()
+    assert got[:3_000] == got[3_000:6_000] and got[-1] == got[-2] and len(set(got)) > 2_500
 
 
 def test_near_copies_of_shared_ids(spark):
