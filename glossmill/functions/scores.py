@@ -27,6 +27,11 @@ def memory_score(query: Column, text: Column) -> Column:
     return F.when((q == "") | (t == "") | q.isNull() | t.isNull(), F.lit(0.0)).when(q == t, F.lit(1.0)).when(F.contains(t, q), inside).otherwise(overlap)
 
 
+def rounded(score: Column) -> Column:
+    """To four digits, halves to the even one."""
+    return F.rint(score * 1e4) / 1e4
+
+
 def length_ratio(a: Column, b: Column) -> Column:
     return F.least(F.length(a), F.length(b)) / F.greatest(F.length(a), F.length(b), F.lit(1))
 

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossmill.functions.scores import final_score, improvement, length_ratio, text_scores
-from glossmill.functions.text import normalize_arabic, strip
+from glossmill.functions.scores import final_score, improvement, l2_normalize, length_ratio, text_scores
+from glossmill.functions.text import normalize_arabic, sentences, strip
+from glossmill.operators.dedup import greedy_items
+from glossmill.sources.sinks import Staging
 
 
 # Reasons, notes, formats and sample outputs that users of the rules rely on.
@@ -18,6 +23,8 @@ LOW, COPY = "confidence score below threshold (%.3f < {})", "duplicate human cor
 EMPTY, SHORT, STUB_YES, STUB_NO = "empty human_edit", "too short", "stub_accept_nonempty", "stub_reject_empty"
 DATASET, NONE_ACCEPTED = "finetune_dataset.jsonl", "no correction was accepted"
 MISSING = "Missing %s in item %d"
+BAD_REQUEST, BAD_PAIR, NO_ITEMS = "bad_request", "language_pair must be a list of two names", "frontend_payload must hold an item"
+NOTHING_LEFT = "nothing left after normalisation"
 SOURCE_LINE, MODEL_LINE, HUMAN_LINE = "Source: ", "LLM Translation: ", "Corrected:"
 SAMPLE_OUTPUTS = {"model1": "صباح الخير جميعا.", "model2": "أهلا صباح الخير للجميع.", "model3": "صباح الخير يا الجميع."}
 SAMPLE_DEFAULT = "نص تجريبي ثابت."
@@ -44,6 +51,84 @@ def validate_payload(items: DataFrame, ordinal: str = "ordinal") -> DataFrame:
     return items.withColumn("error", said)
 
 
+def validate_requests(requests: DataFrame, items: DataFrame) -> DataFrame:
+    """(request_id, code, message) of requests(request_id, language_pair array, frontend_payload) with
+    items(request_id, ordinal, source, llm_outputs, human_edit): the pair must hold two names, the
+    payload an item at least, and each item all fields. The first fault stands; sound: nulls."""
+    pair, n = F.col("language_pair"), F.coalesce("n", F.lit(0))
+    two = F.coalesce((F.size(pair) == 2) & F.forall(pair, lambda x: x.isNotNull() & (F.trim(x) != "")), F.lit(False))
+    faults = validate_payload(items).groupBy("request_id").agg(F.count("*").alias("n"), F.min_by("error", F.when(F.col("error").isNotNull(), F.col("ordinal"))).alias("error"))
+    rows = requests.select("request_id", "language_pair").join(faults, "request_id", "left")
+    message = F.when(~two, BAD_PAIR).when(n == 0, NO_ITEMS).otherwise(F.col("error"))
+    return rows.select("request_id", F.when(message.isNotNull(), BAD_REQUEST).alias("code"), message.alias("message"))
+
+
+def with_judges(items: DataFrame, meaning: Column | None = None, quality: Column | None = None) -> DataFrame:
+    """Items with the columns ``meaning`` and ``quality`` from the judges given: any Column, such as
+    a pandas UDF over source and human_edit around a model. Without one an item passes."""
+    one = F.lit(1.0)
+    return items.withColumns({"meaning": F.coalesce(meaning if meaning is not None else one, one), "quality": F.coalesce(quality if quality is not None else one, one)})
+
+
+def embedded(rows: DataFrame, text: str, embed: Column | None = None, out: str = "v", dims: int = 64) -> DataFrame:
+    """rows with unit vectors of a text in ``out``: from ``embed``, any Column of arrays, such as a
+    pandas UDF around a model; by default hashed character trigrams, which need none."""
+    made = rows.withColumn(out, embed if embed is not None else hashed_trigrams(F.col(text), dims))
+    return made.withColumn(out, l2_normalize(F.col(out)))
+
+
+def hashed_trigrams(text: Column, dims: int) -> Column:
+    """Counts of a text's character trigrams by hash, in batches."""
+
+    @F.pandas_udf("array<double>")
+    def count(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            grams = [t[i : i + 3].encode() for i in range(max(len(t) - 2, 1))] if t else []
+            out.append(np.bincount([zlib.crc32(g) % dims for g in grams], minlength=dims).astype(float))
+        return pd.Series(out)
+
+    return count(text)
+
+
+@dataclass(frozen=True)
+class Batch:
+    """What a batch gives: an outcome for each item, the rows to store, and the memory's new vectors."""
+
+    outcomes: DataFrame
+    accepted: DataFrame
+    vectors: DataFrame
+
+
+def process_batch(items: DataFrame, memory: DataFrame, staging: Staging, language_pair: str = "en-ar", now: Column | None = None, t: Thresholds = Thresholds(), similar: float = 0.85, embed: Column | None = None) -> Batch:
+    """A batch through all steps: items(item_id, source, llm_outputs, human_edit, meaning, quality)
+    are checked, normalised, decided, freed of copies of the ``memory`` (id, v) and of earlier
+    accepted items, and given their outcome (item_id, decision, score, reason, message).
+
+    A faulty item is an outcome of its own, ``error`` with a message, and stops no other: fields
+    that are missing, nothing left after normalisation, or no model output to compare with. Rows
+    repeat by item_id as the caller has them unique."""
+    sound = staging.save(validate_payload(items, "item_id"))
+    ready = preprocess(sound.where("error IS NULL")).drop("error")
+    empty = ready.where("status <> 'ok'")
+    decided = staging.save(validate(ready.where("status = 'ok'"), "item_id", t))
+    new = decided.where("decision = 'accept'")
+    spoken = new.select("item_id", F.posexplode(sentences(F.col("human_edit"))).alias("pos", "text")).withColumn("id", F.xxhash64("item_id", "pos"))
+    vectors = staging.save(embedded(spoken, "text", embed))
+    kept = staging.save(greedy_items(vectors, memory, similar, staging))
+    out = decided.join(kept, "item_id", "left")
+    copy = F.coalesce(~F.col("kept"), F.lit(False))
+    message = F.when(F.col("decision") == "error", F.col("reason"))
+    outcomes = out.select("item_id", F.when(copy, "reject").otherwise(F.col("decision")).alias("decision"), F.when(~copy, F.col("score")).alias("score"), F.when(copy, COPY).when(message.isNull(), F.col("reason")).alias("reason"), message.alias("message"))
+    nothing = [F.lit("error").alias("decision"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("string").alias("reason")]
+    outcomes = outcomes.union(sound.where("error IS NOT NULL").select("item_id", *nothing, F.col("error").alias("message"))).union(empty.select("item_id", *nothing, F.lit(NOTHING_LEFT).alias("message")))
+    outcomes = staging.save(outcomes)
+    stamp = F.current_timestamp().cast("string") if now is None else now
+    rows = decided.drop("decision", "score", "reason").join(outcomes, "item_id").select("item_id", F.col("source").alias("source_text"), F.lit(language_pair).alias("language_pair"), "llm_outputs", F.col("human_edit").alias("human_translation"), "score", stamp.alias("timestamp"), "decision", "reason")
+    stored = accepted_rows(rows)
+    return Batch(outcomes, stored, vectors.join(stored.select("item_id"), "item_id", "left_semi").select("id", "item_id", "text", "v"))
+
+
 def model_pairs(items: DataFrame, key: str) -> DataFrame:
     """(key, model, hyp, ref): each human text beside each model output."""
     return items.select(key, F.col("human_edit").alias("hyp"), F.explode("llm_outputs").alias("model", "ref"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossmill.sources.sinks import Staging
@@ -13,24 +13,39 @@ BLOCK_ROWS = 8_192
 
 
 def _matrix(t: pa.Table, column: str) -> np.ndarray:
-    return np.array(t.column(column).to_pylist(), dtype=np.float64).reshape(t.num_rows, -1)
+    """Vectors as rows, from their buffers; shorter ones count as filled up with zeros."""
+    lists = pa.concat_arrays(t.column(column).chunks)
+    at, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+    sizes = np.diff(at)
+    if len(sizes) and (sizes == sizes[0]).all():
+        return flat[at[0] : at[-1]].reshape(len(sizes), sizes[0])
+    out = np.zeros((len(sizes), sizes.max(initial=0)))
+    for i, (x, y) in enumerate(zip(at[:-1], at[1:], strict=True)):
+        out[i, : y - x] = flat[x:y]
+    return out
 
 
-def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(a, b, score): ids of left(id, v) and right(id, v) whose inner product is ``threshold`` or
-    more. Both are dealt into blocks, and each pair of blocks is one matrix product, so memory
-    is bounded and only similar pairs leave a task."""
+def _same_width(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = max(p.shape[1], q.shape[1])
+    return np.pad(p, ((0, 0), (0, n - p.shape[1]))), np.pad(q, ((0, 0), (0, n - q.shape[1])))
+
+
+def _exact(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products of rows, summed from the first component to the last."""
+    score = np.zeros(len(p))
+    for d in range(p.shape[1]):
+        score += p[:, d] * q[:, d]
+    return score
+
+
+def _meet(left: DataFrame, right: DataFrame, pairs, block_rows: int) -> DataFrame:
+    """(a, b, score) that ``pairs(vectors, ids, vectors, ids)`` gives for each block of left(id, v)
+    beside each of right(id, v). Rows without a vector take no part."""
 
     def meet(x: pa.Table, y: pa.Table) -> pa.Table:
         if not x.num_rows or not y.num_rows:
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        p, q = _matrix(x, "v"), _matrix(y, "w")
-        i, j = np.nonzero(p @ q.T >= threshold - 1e-9)
-        score = np.zeros(len(i))
-        for d in range(p.shape[1]):
-            score += p[i, d] * q[j, d]
-        keep = score >= threshold
-        return pa.table({"a": x.column("id").to_numpy()[i[keep]], "b": y.column("other").to_numpy()[j[keep]], "score": score[keep]})
+        return pa.table(dict(zip(("a", "b", "score"), pairs(*_same_width(_matrix(x, "v"), _matrix(y, "w")), x.column("id").to_numpy(), y.column("other").to_numpy()), strict=True)))
 
     blocks = lambda df: max(1, -(-df.count() // block_rows))
     m, n = blocks(left), blocks(right)
@@ -42,16 +57,46 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, block_row
         return F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
 
     # own names for the right side: both may stem from one table
-    other = right.select(F.col("id").alias("other"), F.col("v").alias("w"))
-    one = left.select(dealt("id", m).alias("bl"), all_of(n).alias("br"), "id", "v")
+    sound = lambda df: df.where("id IS NOT NULL AND v IS NOT NULL AND forall(v, x -> x IS NOT NULL)")
+    other = sound(right).select(F.col("id").alias("other"), F.col("v").alias("w"))
+    one = sound(left).select(dealt("id", m).alias("bl"), all_of(n).alias("br"), "id", "v")
     two = other.select(all_of(m).alias("rl"), dealt("other", n).alias("rr"), "other", "w")
     return one.groupBy("bl", "br").cogroup(two.groupBy("rl", "rr")).applyInArrow(meet, "a bigint, b bigint, score double")
 
 
-def nearest(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(a, b, score): the nearest of right for each of left, other than itself; ties to the smaller id."""
-    best = Window.partitionBy("a").orderBy(F.col("score").desc(), "b")
-    return similar_pairs(left, right, -2.0).where("a <> b").withColumn("n", F.row_number().over(best)).where("n = 1").drop("n")
+def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(a, b, score): ids of left(id, v) and right(id, v) whose inner product is ``threshold`` or
+    more. Both are dealt into blocks, and each pair of blocks is one matrix product, so memory
+    is bounded and only similar pairs leave a task."""
+
+    def pairs(p, q, a, b):
+        i, j = np.nonzero(p @ q.T >= threshold - 1e-9)
+        score = _exact(p[i], q[j])
+        keep = score >= threshold
+        return a[i[keep]], b[j[keep]], score[keep]
+
+    return _meet(left, right, pairs, block_rows)
+
+
+def nearest(left: DataFrame, right: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(a, b, score): the nearest of right for each of left, other than itself; ties to the smaller id.
+    Of a block only the nearest leaves a task, whatever its score."""
+
+    def pairs(p, q, a, b):
+        near = p @ q.T
+        near[a[:, None] == b[None, :]] = -np.inf
+        top = near.max(1)
+        # all that rounding could have kept from being the first; the exact score decides
+        i, j = np.nonzero(near >= (top - 1e-9 * (1 + np.abs(top)))[:, None])
+        some = np.isfinite(near[i, j])
+        i, j = i[some], j[some]
+        score = _exact(p[i], q[j])
+        order = np.lexsort((b[j], -score, i))
+        first = order[np.r_[True, i[order][1:] != i[order][:-1]]] if len(order) else order
+        return a[i[first]], b[j[first]], score[first]
+
+    best = F.max_by(F.struct("b", "score"), F.struct("score", -F.col("b"))).alias("s")
+    return _meet(left, right, pairs, block_rows).groupBy("a").agg(best).select("a", "s.b", "s.score")
 
 
 def is_duplicate(items: DataFrame, memory: DataFrame, threshold: float = 0.85) -> DataFrame:
@@ -60,23 +105,60 @@ def is_duplicate(items: DataFrame, memory: DataFrame, threshold: float = 0.85) -
     return items.join(hits, "id", "left").groupBy("item_id").agg(F.coalesce(F.bool_or(F.coalesce("hit", F.lit(False))), F.lit(False)).alias("duplicate"))
 
 
-def greedy_keep(nodes: DataFrame, conflicts: DataFrame, staging: Staging, rounds: int = 1000) -> DataFrame:
+def greedy_keep(nodes: DataFrame, conflicts: DataFrame, staging: Staging) -> DataFrame:
     """(id, kept) of the sequential rule on nodes(id): an item is kept if no kept earlier one
     conflicts. conflicts(a, b) has a < b. In each round, items whose earlier neighbours are all
-    decided are: dropped beside a kept one, else kept. Written tables carry the state, so a lost
-    executor costs a round at most; only counts reach the driver."""
-    state = staging.save(nodes.select("id", F.lit(None).cast("boolean").alias("kept")))
+    decided are: kept if none is left, and dropped beside a kept one. Only the edges between
+    undecided items are carried on, in written tables, so a round costs what is open; the first
+    undecided item of each chain is decided in every round. Only counts reach the driver."""
     edges = staging.save(conflicts.select("a", "b").distinct())
-    for _ in range(rounds):
-        seen = edges.join(state.select(F.col("id").alias("a"), F.col("kept").alias("k")), "a").groupBy("b").agg(F.bool_or(F.coalesce("k", F.lit(False))).alias("beside_kept"), F.bool_or(F.col("k").isNull()).alias("waits"))
-        now = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.coalesce("beside_kept", F.lit(False)), F.lit(False)).when(~F.coalesce("waits", F.lit(False)), F.lit(True))
-        state = staging.save(state.join(seen, state["id"] == seen["b"], "left").select("id", now.alias("kept")))
-        if state.where("kept IS NULL").isEmpty():
-            return state
-    raise RuntimeError("greedy dedup did not settle")
+    dropped: list[DataFrame] = []
+    while not edges.isEmpty():
+        # open items that no open earlier one conflicts with are kept
+        later = edges.select("b").distinct()
+        keep = edges.select("a").distinct().join(later, F.col("a") == F.col("b"), "left_anti")
+        gone = staging.save(edges.join(keep, "a", "left_semi").select(F.col("b").alias("id")).distinct())
+        dropped.append(gone)
+        # what a dropped item would have kept out is free of it; edges of kept ones are settled
+        rest = edges.join(keep, "a", "left_anti").join(gone, F.col("a") == F.col("id"), "left_anti").join(gone, F.col("b") == F.col("id"), "left_anti")
+        edges = staging.save(rest)
+    if not dropped:
+        return nodes.select("id", F.lit(True).alias("kept"))
+    out = dropped[0]
+    for more in dropped[1:]:
+        out = out.union(more)
+    return nodes.select("id").join(out.withColumn("gone", F.lit(True)), "id", "left").select("id", F.col("gone").isNull().alias("kept"))
 
 
 def keep_first(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """Greedy dedup when similarity is equality: the first row of each key."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    return rows.withColumn("kept", F.row_number().over(w) == 1)
+    """Greedy dedup when similarity is equality: the first row of each key. First rows are found by
+    a minimum, which tasks aggregate before the shuffle, so a frequent key is no hot group."""
+    first = rows.groupBy(*[F.col(c).alias(f"__key_{c}") for c in key]).agg(F.min(F.struct(*order)).alias("__first"))
+    same = F.lit(True)
+    for c in key:
+        same = same & F.col(c).eqNullSafe(F.col(f"__key_{c}"))
+    names = [c for c in rows.columns if c != "kept"]
+    return rows.join(first, same).select(*names, (F.struct(*order) == F.col("__first")).alias("kept"))
+
+
+def greedy_items(items: DataFrame, existing: DataFrame, threshold: float, staging: Staging, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(item_id, kept) of items(item_id, id, v), a row for each sentence, in the order of item_id: an
+    item is kept if none of its sentences is close to one of the memory ``existing`` (id, v) or of
+    an item that was kept before, and what is kept joins the memory. Sentence ids are unique.
+
+    The order-dependent rule is found over conflicts of items, as in ``greedy_keep``; the memory
+    itself is an item before all others that is always kept."""
+    own = items.select("item_id", "id", "v")
+    beside = similar_pairs(own.select("id", "v"), existing, threshold, block_rows).select(F.col("a").alias("id")).distinct()
+    known = staging.save(own.join(beside, "id", "left_semi").select("item_id").distinct())
+    open_ = staging.save(own.join(known, "item_id", "left_anti"))
+    pairs = similar_pairs(open_.select("id", "v"), open_.select("id", "v"), threshold, block_rows)
+    of = open_.select("id", "item_id")
+    conflicts = pairs.join(of.select(F.col("id").alias("a"), F.col("item_id").alias("ia")), "a").join(of.select(F.col("id").alias("b"), F.col("item_id").alias("ib")), "b").where("ia < ib")
+    kept = greedy_keep(open_.select(F.col("item_id").alias("id")).distinct(), conflicts.select(F.col("ia").alias("a"), F.col("ib").alias("b")), staging)
+    return kept.select(F.col("id").alias("item_id"), "kept").union(known.select("item_id", F.lit(False).alias("kept")))
+
+
+def memory_growth(existing: DataFrame, items: DataFrame, kept: DataFrame) -> DataFrame:
+    """The memory (id, v) with the sentences of kept items appended."""
+    return existing.select("id", "v").union(items.join(kept.where("kept"), "item_id", "left_semi").select("id", "v"))

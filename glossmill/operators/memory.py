@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossmill.functions.scores import memory_score
+from glossmill.functions.scores import memory_score, rounded
+from glossmill.functions.text import strip, tokens
 
 LIMIT = 10
+#: Entries and queries of a block, which meet in one task.
+BLOCK_ROWS, QUERY_ROWS = 32_768, 4_096
+FOUND = "query_id bigint, ord bigint, score double"
 
 
 def add_entries(memory: DataFrame, entries: DataFrame) -> DataFrame:
@@ -16,23 +22,108 @@ def add_entries(memory: DataFrame, entries: DataFrame) -> DataFrame:
 
 def search(memory: DataFrame, query: str, language_pair: str = "en-ar", limit: int = LIMIT) -> DataFrame:
     """The ``limit`` best entries for one query: the pair's filter reaches the scan, and the rest
-    is a top-k without a full sort. Ties go to the earlier entry (``ord``)."""
+    is a top-k without a full sort. Scores are rounded to four digits before they are compared;
+    ties go to the earlier entry (``ord``)."""
     pair = language_pair.strip().lower()
-    scored = memory.where(F.col("language_pair") == pair).withColumn("score", memory_score(F.lit(query), F.col("source")))
+    scored = memory.where(F.col("language_pair") == pair).withColumn("score", rounded(memory_score(F.lit(query), F.col("source"))))
     return scored.where("score > 0").orderBy(F.col("score").desc(), "ord").limit(limit).select("source", "target", "score", "ord")
 
 
-def search_all(memory: DataFrame, queries: DataFrame, limit: int = LIMIT, checked_rows: int = 100_000) -> DataFrame:
-    """The ``limit`` best entries for each row of queries(query_id, query, language_pair): each
-    query meets the entries of its pair. The queries are sent to all executors if they are at
-    most ``checked_rows``; the memory, which grows, stays where it is, and a partial top-k runs
-    before the shuffle, so a query moves ``limit`` rows from a task and not the memory."""
-    few = queries.limit(checked_rows + 1).count() <= checked_rows
-    asked = queries.withColumnRenamed("language_pair", "__pair")
-    pairs = memory.join(F.broadcast(asked) if few else asked, F.col("language_pair") == F.col("__pair"))
-    scored = pairs.withColumn("score", memory_score(F.col("query"), F.col("source"))).where("score > 0")
+class Postings:
+    """Entries of a block by token, and all their texts in one, for queries of the same pair."""
+
+    def __init__(self, ords: np.ndarray, texts: list[str], lengths: np.ndarray, tokens: pa.ListArray):
+        order = np.argsort(ords, kind="stable")
+        self.ords, self.lengths = ords[order], lengths[order]
+        self.texts = [texts[x] for x in order.tolist()]
+        at = tokens.offsets.to_numpy()
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        entry = np.repeat(place, np.diff(at))
+        coded = tokens.values.slice(at[0], at[-1] - at[0]).dictionary_encode()
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        by = np.lexsort((entry, codes))
+        self.entry, self.begins = entry[by], np.searchsorted(codes[by], np.arange(len(coded.dictionary) + 1))
+        self.code = {t: c for c, t in enumerate(coded.dictionary.to_pylist())}
+        self.sizes = np.bincount(entry, minlength=len(order))
+        # texts parted by a character that no trimmed, lower-case text has at an end or inside
+        self.starts = np.cumsum([0, *(len(t) + 1 for t in self.texts)])
+        self.blob = "\x00".join(self.texts)
+
+    def holding(self, query: str) -> np.ndarray:
+        """The entries whose text holds the query."""
+        out, x, last = [], self.blob.find(query), len(self.texts)
+        while x >= 0:
+            e = int(np.searchsorted(self.starts, x, side="right")) - 1
+            if query in self.texts[e]:  # not across two texts
+                out.append(e)
+            if e + 1 >= last:
+                break
+            x = self.blob.find(query, int(self.starts[e + 1]) if out and out[-1] == e else x + 1)
+        return np.array(sorted(set(out)), np.int64)
+
+    def best(self, query: str, length: int, tokens: list[str], limit: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places, rounded scores) of the ``limit`` best entries. Tokens come from the rarest on, and
+        no new entries are taken up once those not seen yet can't come among the best."""
+        score = np.zeros(len(self.ords))
+        inside = self.holding(query)
+        lists = sorted((self.entry[self.begins[c] : self.begins[c + 1]] for c in map(self.code.get, tokens) if c is not None), key=len)
+        common = np.zeros(len(self.ords), np.int32)
+        n, seen = len(tokens), np.zeros(0, np.int64)
+        for x, own in enumerate(lists):
+            common[own] += 1
+            if len(own) > 1_000 or x == len(lists) - 1:
+                seen = np.flatnonzero(common)
+                now = 0.25 * common[seen] / (n + self.sizes[seen] - common[seen])
+                worst = 0.25 * (len(lists) - x - 1) / n  # of entries that share later tokens only
+                if x < len(lists) - 1 and len(now) >= limit and np.partition(now, -limit)[-limit] > worst + 1e-4:
+                    for later in lists[x + 1 :]:
+                        common[seen[np.isin(seen, later, assume_unique=True)]] += 1
+                    break
+        if len(seen):
+            score[seen] = 0.25 * common[seen] / (n + self.sizes[seen] - common[seen])
+        if len(inside):
+            score[inside] = np.minimum(0.95, 0.6 + 0.35 * length / self.lengths[inside])
+            score[inside[[self.texts[e] == query for e in inside.tolist()]]] = 1.0
+        score = np.rint(score * 1e4) / 1e4
+        some = np.flatnonzero(score > 0)
+        if len(some) > limit:
+            some = some[score[some] >= np.partition(score[some], -limit)[-limit]]
+        some = some[np.argsort(-score[some], kind="stable")][:limit]  # places are in the order of ord
+        return some, score[some]
+
+
+def search_all(memory: DataFrame, queries: DataFrame, limit: int = LIMIT, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+    """The ``limit`` best entries for each row of queries(query_id, query, language_pair), as
+    ``search`` finds them: (query_id, rank, ord, score).
+
+    Texts are trimmed, lower-cased and cut into tokens once a row. Entries of a pair are dealt into
+    blocks, so a frequent pair isn't one group; a task indexes its block by token and answers a
+    block of queries from the index, sending ``limit`` rows a query at most."""
+    clean = lambda c: F.lower(strip(F.col(c)))
+    left = memory.select(F.col("language_pair").alias("mp"), F.col("ord").cast("bigint").alias("ord"), clean("source").alias("text")).where("text <> ''")
+    right = queries.select(F.col("language_pair").alias("qp"), F.col("query_id").cast("bigint").alias("query_id"), clean("query").alias("query")).where("query <> ''")
+    left = left.withColumns({"length": F.length("text"), "words": F.array_distinct(tokens(F.col("text")))})
+    right = right.withColumns({"n": F.length("query"), "asked": F.array_distinct(tokens(F.col("query")))})
+    blocks, query_blocks = (max(1, -(-df.count() // rows)) for df, rows in ((memory, block_rows), (queries, query_rows)))
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    dealt = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
+
+    def meet(entries: pa.Table, asked: pa.Table) -> pa.Table:
+        rows = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if entries.num_rows and asked.num_rows:
+            one = lambda t, c: pa.concat_arrays(t.column(c).chunks)
+            index = Postings(entries.column("ord").to_numpy(), entries.column("text").to_pylist(), entries.column("length").to_numpy(), one(entries, "words"))
+            for q, text, n, words in zip(*(asked.column(c).to_pylist() for c in ("query_id", "query", "n", "asked")), strict=True):
+                where, score = index.best(text, n, words, limit)
+                rows.append((np.full(len(where), q), index.ords[where], score))
+        return pa.table({c: np.concatenate(x) for c, x in zip(("query_id", "ord", "score"), zip(*rows, strict=True), strict=True)})
+
+    one = left.select("mp", dealt("ord", blocks).alias("mb"), every(query_blocks).alias("mq"), "ord", "text", "length", "words")
+    two = right.select("qp", every(blocks).alias("qb"), dealt("query_id", query_blocks).alias("qq"), "query_id", "query", "n", "asked")
+    found = one.groupBy("mp", "mb", "mq").cogroup(two.groupBy("qp", "qb", "qq")).applyInArrow(meet, FOUND)
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "ord")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit).select("query_id", "rank", "ord", "score")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit).select("query_id", "rank", "ord", "score")
 
 
 def find_first(segments: DataFrame, segment_id: Column | str, order: list[str]) -> DataFrame:

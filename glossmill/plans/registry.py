@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glossmill.functions import scores, text
@@ -52,6 +52,10 @@ def _score_sql(q: str, t: str) -> str:
     )
 
 
+def _rounded_sql(x: str) -> str:
+    return f"(CASE WHEN 1e4 * ({x}) - floor(1e4 * ({x})) = 0.5 THEN 2 * round(1e4 * ({x}) / 2) ELSE round(1e4 * ({x})) END / 1e4::DOUBLE)"
+
+
 # ---------------------------------------------------------------- sources
 
 
@@ -75,11 +79,10 @@ c AS (SELECT doc_id, chunk, arg_max(cur, i) AS source FROM g GROUP BY doc_id, ch
 """
 
 
-@query(f"WITH RECURSIVE docs_ AS (SELECT doc_id, text FROM documents), {_CHUNKS.format(max=1200)} SELECT doc_id, chunk::INTEGER AS \"index\", source FROM c WHERE doc_id % 10 = 3")
+@query(f"WITH RECURSIVE docs_ AS (SELECT doc_id, text FROM documents), {_CHUNKS.format(max=1200)} SELECT doc_id, chunk::INTEGER AS \"index\", source FROM c")
 def segments_by_doc(spark, d):
-    """Segments of some documents: the predicate on the key reaches the scan."""
-    docs = table(spark, d, "documents").where("doc_id % 10 = 3")
-    return segment.segment_documents(docs).select("doc_id", "index", "source")
+    """What a scan of one document's segments gives, for each document."""
+    return segment.segment_documents(table(spark, d, "documents")).select("doc_id", "index", "source")
 
 
 _JSONL = """
@@ -251,16 +254,19 @@ def merge_fragments(spark, d):
 _QUERY = "the"
 
 
-@query(f"WITH {R.MEMORY}, s AS (SELECT ord, source, target, {_score_sql(repr(_QUERY), 'source')} AS score FROM m WHERE language_pair = 'en-ar') SELECT source, target, score, ord FROM s WHERE score > 0 ORDER BY score DESC, ord LIMIT 10")
+@query(f"WITH {R.MEMORY}, s0 AS (SELECT ord, source, target, {_score_sql(repr(_QUERY), 'source')} AS raw FROM m WHERE language_pair = 'en-ar'), s AS (SELECT ord, source, target, {_rounded_sql('raw')} AS score FROM s0) SELECT source, target, score, ord FROM s WHERE score > 0 ORDER BY score DESC, ord LIMIT 10")
 def tm_search(spark, d):
     return memory.search(R.memory(spark, d), _QUERY)
 
 
-@query(f"""WITH {R.MEMORY}, q AS (SELECT conv_id * 1000 + turn AS query_id, split_part(text, '.', 1) AS query FROM conversations WHERE role = 'user' AND turn <= 1),
-s AS (SELECT query_id, ord, {_score_sql('query', 'source')} AS score FROM q, m WHERE language_pair = 'en-ar'),
+@query(f"""WITH {R.MEMORY}, q AS (SELECT conv_id * 1000 + turn AS query_id, lower({_STRIP('text')}) AS a FROM conversations WHERE role = 'user'),
+q1 AS (SELECT *, {_TOK('a')} AS ta FROM q WHERE a <> ''), m1 AS (SELECT ord, lower({_STRIP('source')}) AS b FROM m WHERE language_pair = 'en-ar'), m2 AS (SELECT *, {_TOK('b')} AS tb FROM m1 WHERE b <> ''),
+i AS (SELECT query_id, ord, a, b, len(ta) AS na, len(tb) AS nb, len(list_intersect(ta, tb)) AS n FROM q1, m2),
+s0 AS (SELECT query_id, ord, CASE WHEN a = b THEN 1.0::DOUBLE WHEN contains(b, a) THEN least(0.95::DOUBLE, 0.6::DOUBLE + 0.35::DOUBLE * length(a) / length(b)) ELSE 0.25::DOUBLE * n / (na + nb - n) END AS raw FROM i),
+s AS (SELECT query_id, ord, {_rounded_sql('raw')} AS score FROM s0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ord) AS rank FROM s WHERE score > 0) SELECT query_id, rank::INTEGER AS rank, ord, score FROM r WHERE rank <= 10""")
 def tm_search_all(spark, d):
-    asked = table(spark, d, "conversations").where("role = 'user' AND turn <= 1").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.split_part("text", F.lit("."), F.lit(1)).alias("query"), F.lit("en-ar").alias("language_pair"))
+    asked = table(spark, d, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("query"), F.lit("en-ar").alias("language_pair"))
     return memory.search_all(R.memory(spark, d), asked)
 
 
@@ -269,9 +275,9 @@ def tm_score(spark, d):
     return R.memory(spark, d).select("ord", "source", scores.memory_score(F.lit("Of the"), F.col("source")).alias("score"))
 
 
-@query(f"WITH {R.MEMORY} SELECT ord, language_pair, source, target FROM m UNION ALL SELECT -conv_id - 1, 'en-ar', text, text FROM conversations WHERE turn = 0")
+@query(f"WITH {R.MEMORY} SELECT ord, language_pair, source, target FROM m UNION ALL SELECT -1000 * conv_id - turn - 1, 'en-ar', text, text FROM conversations")
 def tm_after_add(spark, d):
-    new = table(spark, d, "conversations").where("turn = 0").select((-F.col("conv_id") - 1).alias("ord"), F.lit("en-ar").alias("language_pair"), F.col("text").alias("source"), F.col("text").alias("target"))
+    new = table(spark, d, "conversations").select((-1000 * F.col("conv_id") - F.col("turn") - 1).alias("ord"), F.lit("en-ar").alias("language_pair"), F.col("text").alias("source"), F.col("text").alias("target"))
     return memory.add_entries(R.memory(spark, d), new)
 
 
@@ -423,28 +429,31 @@ def process_batch(spark, d):
     return out.select("item_id", decision.alias("decision"), F.when(copy, curate.COPY).otherwise(F.col("reason")).alias("reason"), (decision == "accept").alias("stored"))
 
 
-_FALL = f"""fb AS (SELECT item_id, conv_id, CASE WHEN e = '' THEN 'empty human_edit' WHEN length(e) < 8 THEN 'too short' ELSE '' END AS reason FROM (SELECT item_id, conv_id, {_STRIP("substr(human_edit, 1, (item_id % 12)::INTEGER)")} AS e FROM payload))"""
+#: Each item with its own edit and, as the tables have no blank or short ones, with three made ones.
+_EDITS = ["", " \t ", "short 7"]
+_VARIANTS = "vr AS (SELECT item_id, conv_id, 0 AS variant, human_edit AS e FROM payload UNION ALL SELECT item_id, conv_id, unnest([1, 2, 3]), unnest(['', ' ' || chr(9) || ' ', 'short 7']) FROM payload)"
+_FALL = f"""{_VARIANTS}, fb AS (SELECT item_id, conv_id, variant, CASE WHEN e = '' THEN 'empty human_edit' WHEN length(e) < 8 THEN 'too short' ELSE '' END AS reason FROM (SELECT item_id, conv_id, variant, {_STRIP("e")} AS e FROM vr))"""
 
 
-def _fallback(spark, d):
-    items = R.payload(spark, d).withColumn("human_edit", F.substr("human_edit", F.lit(1), (F.col("item_id") % 12).cast("int")))
-    return curate.fallback_rules(items)
+def _variants(spark, d):
+    made = F.array(F.col("human_edit"), *map(F.lit, _EDITS))
+    items = R.payload(spark, d).select("item_id", "conv_id", F.posexplode(made).alias("variant", "human_edit"))
+    return items
 
 
-@query(f"WITH {R.PAYLOAD}, {_FALL} SELECT item_id, CASE WHEN reason = '' THEN 'accept' ELSE 'reject' END AS decision, reason FROM fb")
+@query(f"WITH {R.PAYLOAD}, {_FALL} SELECT item_id, variant, CASE WHEN reason = '' THEN 'accept' ELSE 'reject' END AS decision, reason FROM fb")
 def fallback_rules(spark, d):
-    return _fallback(spark, d).select("item_id", "decision", "reason")
+    return curate.fallback_rules(_variants(spark, d)).select("item_id", "variant", "decision", "reason")
 
 
-@query(f"WITH {R.PAYLOAD}, {_FALL}, c AS (SELECT conv_id, count(*) FILTER (WHERE reason = '') AS n_accepted FROM fb GROUP BY conv_id) SELECT conv_id, n_accepted, CASE WHEN n_accepted >= 4 THEN 'finetune_dataset.jsonl' WHEN n_accepted = 0 THEN 'no correction was accepted' END AS dataset_path FROM c")
+@query(f"WITH {R.PAYLOAD}, {_FALL}, c AS (SELECT conv_id, variant, count(*) FILTER (WHERE reason = '') AS n_accepted FROM fb GROUP BY conv_id, variant) SELECT conv_id, variant, n_accepted, CASE WHEN n_accepted >= 4 THEN 'finetune_dataset.jsonl' WHEN n_accepted = 0 THEN 'no correction was accepted' END AS dataset_path FROM c")
 def fallback_summary(spark, d):
-    return curate.fallback_summary(_fallback(spark, d), ["conv_id"])
+    return curate.fallback_summary(curate.fallback_rules(_variants(spark, d)), ["conv_id", "variant"])
 
 
-@query(f"WITH {R.PAYLOAD}, e AS (SELECT item_id, {_STRIP('substr(human_edit, 1, (item_id % 3)::INTEGER)')} <> '' AS filled FROM payload) SELECT item_id, CASE WHEN filled THEN 'accept' ELSE 'reject' END AS decision, CASE WHEN filled THEN 'stub_accept_nonempty' ELSE 'stub_reject_empty' END AS reason FROM e")
+@query(f"WITH {R.PAYLOAD}, {_VARIANTS}, e AS (SELECT item_id, variant, {_STRIP('e')} <> '' AS filled FROM vr) SELECT item_id, variant, CASE WHEN filled THEN 'accept' ELSE 'reject' END AS decision, CASE WHEN filled THEN 'stub_accept_nonempty' ELSE 'stub_reject_empty' END AS reason FROM e")
 def stub_rules(spark, d):
-    items = R.payload(spark, d).withColumn("human_edit", F.substr("human_edit", F.lit(1), (F.col("item_id") % 3).cast("int")))
-    return curate.strategy("stub")(items).select("item_id", "decision", "reason")
+    return curate.strategy("stub")(_variants(spark, d)).select("item_id", "variant", "decision", "reason")
 
 
 @query(f"WITH {R.PAYLOAD} SELECT conv_id, count(*) AS n_items, count(*) FILTER (WHERE length(human_edit) > 500) AS n_long, coalesce(bool_or(length(human_edit) > 500), false) AS any_long FROM payload GROUP BY conv_id")
@@ -488,13 +497,13 @@ def generate_outputs(spark, d):
 
 @query(f"""WITH {R.PAYLOAD}, r AS (SELECT item_id, unnest([1, 2]) AS ordinal, unnest([CASE WHEN item_id % 3 = 0 THEN 'accept' ELSE 'error' END, CASE WHEN item_id % 5 = 0 THEN 'error' ELSE 'reject' END]) AS decision, unnest(['first', CASE WHEN item_id % 2 = 0 THEN '' ELSE 'second' END]) AS reason FROM payload),
 l AS (SELECT item_id, arg_max(decision, ordinal) AS decision, arg_max(reason, ordinal) AS reason FROM r GROUP BY item_id)
-SELECT 'seg_' || p.item_id AS segment_id, decision AS status, coalesce(nullif(reason, ''), 'message') AS reason FROM payload p JOIN l USING (item_id) WHERE p.turn % 4 = 0 AND decision IN ('accept', 'reject')""")
+SELECT 'seg_' || p.item_id AS segment_id, decision AS status, coalesce(nullif(reason, ''), 'message') AS reason FROM payload p JOIN l USING (item_id) WHERE decision IN ('accept', 'reject')""")
 def batch_status_update(spark, d):
     p = R.payload(spark, d).withColumnRenamed("item_id", "position")
     k = F.col("position")
     one = p.select(F.lit(1).alias("ordinal"), "position", F.when(k % 3 == 0, "accept").otherwise("error").alias("decision"), F.lit("first").alias("reason"), F.lit("message").alias("message"))
     two = p.select(F.lit(2).alias("ordinal"), "position", F.when(k % 5 == 0, "error").otherwise("reject").alias("decision"), F.when(k % 2 == 0, "").otherwise("second").alias("reason"), F.lit("message").alias("message"))
-    seg = F.when(F.col("turn") % 4 == 0, F.concat(F.lit("seg_"), k.cast("string")))
+    seg = F.concat(F.lit("seg_"), k.cast("string"))
     return curate.status_update(one.union(two), p.select("position", seg.alias("segment_id")))
 
 
@@ -564,10 +573,50 @@ def greedy_dedup(spark, d):
     return dedup.greedy_keep(v.select("id"), dedup.similar_pairs(v, v, _THRESHOLD).where("a < b"), sinks.Staging(spark))
 
 
-@query(r"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '[.!?؟]+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')[1] AS s FROM documents) SELECT doc_id, row_number() OVER (PARTITION BY s ORDER BY doc_id) = 1 AS kept FROM s WHERE s IS NOT NULL""")
+_SENTENCES = r"se AS (SELECT doc_id, (generate_subscripts(ss, 1) - 1)::INTEGER AS pos, unnest(ss) AS s FROM (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '[.!?؟]+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ss FROM documents))"
+
+
+@query(f"WITH {_SENTENCES} SELECT doc_id, pos, row_number() OVER (PARTITION BY s ORDER BY doc_id, pos) = 1 AS kept FROM se")
 def greedy_dedup_exact(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.get(text.sentences(F.col("text")), F.lit(0)).alias("s")).where("s IS NOT NULL")
-    return dedup.keep_first(rows, ["s"], ["doc_id"]).select("doc_id", "kept")
+    """All sentences of all documents, of which the first of each text is kept."""
+    return dedup.keep_first(R.sentence_rows(spark, d), ["sentence"], ["doc_id", "pos"]).select("doc_id", "pos", "kept")
+
+
+def _items(spark, d):
+    """Vectors as sentences of items of four, against a memory of a quarter of all."""
+    v = _vectors(spark, d)
+    return v.where("id % 4 <> 3").select(F.floor(F.col("id") / 4).cast("long").alias("item_id"), "id", "v"), v.where("id % 4 = 3")
+
+
+@query(f"""WITH RECURSIVE {_VEC}, q AS (SELECT vec_id // 4 AS item_id, vec_id, v FROM v WHERE vec_id % 4 <> 3), m AS (SELECT vec_id, v FROM v WHERE vec_id % 4 = 3),
+known AS (SELECT DISTINCT item_id FROM q JOIN m ON list_inner_product(q.v, m.v) >= 0.5),
+e AS (SELECT b.item_id AS b, list(DISTINCT a.item_id) AS earlier FROM q a JOIN q b ON a.item_id < b.item_id WHERE list_inner_product(a.v, b.v) >= 0.5 GROUP BY b.item_id),
+o AS (SELECT i.item_id, coalesce(earlier, []) AS earlier, i.item_id IN (SELECT item_id FROM known) AS known, row_number() OVER (ORDER BY i.item_id) AS n FROM (SELECT DISTINCT item_id FROM q) i LEFT JOIN e ON e.b = i.item_id),
+g AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS kept UNION ALL SELECT o.n, CASE WHEN NOT o.known AND len(list_intersect(o.earlier, g.kept)) = 0 THEN list_append(g.kept, o.item_id) ELSE g.kept END FROM g JOIN o ON o.n = g.n + 1)
+SELECT item_id, list_contains((SELECT kept FROM g ORDER BY n DESC LIMIT 1), item_id) AS kept FROM o""")
+def greedy_items(spark, d):
+    """Items of several sentences against a memory that exists and grows by what is kept."""
+    items, existing = _items(spark, d)
+    return dedup.greedy_items(items, existing, 0.5, sinks.Staging(spark))
+
+
+@query("""SELECT conv_id AS request_id, CASE WHEN conv_id % 5 IN (1, 2) OR conv_id % 7 = 0 OR bool_or(text IS NULL) THEN 'bad_request' END AS code,
+CASE WHEN conv_id % 5 = 1 THEN 'language_pair must be a list of two names' WHEN conv_id % 5 = 2 THEN 'language_pair must be a list of two names' WHEN conv_id % 7 = 0 THEN printf('Missing human_edit in item %d', max(turn) + 1) END AS message FROM conversations GROUP BY conv_id""")
+def request_validate(spark, d):
+    """Each conversation as a request: some with a bad pair, some with an item that lacks its edit."""
+    rows = table(spark, d, "conversations")
+    last = F.max("turn").over(Window.partitionBy("conv_id"))
+    k = F.col("conv_id")
+    items = rows.withColumn("last", last).select(k.alias("request_id"), (F.col("turn") + 1).alias("ordinal"), F.col("text").alias("source"), F.create_map(F.lit("model1"), "text").alias("llm_outputs"), F.when((k % 7 != 0) | (F.col("turn") < F.col("last")), F.col("text")).alias("human_edit"))
+    pair = F.when(k % 5 == 1, F.array(F.lit("en"))).when(k % 5 == 2, F.array(F.lit("en"), F.lit(" "))).otherwise(F.array(F.lit("en"), F.lit("ar")))
+    return curate.validate_requests(rows.select(k.alias("request_id"), pair.alias("language_pair")).distinct(), items)
+
+
+@query()
+def batch_outcomes(spark, d):
+    """The whole batch operator: outcomes of all items, with the vectors' part of the tables as memory."""
+    memory_ = sinks.Staging(spark).save(curate.embedded(table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text"), "text").select("id", "v"))
+    return curate.process_batch(R.judged(spark, d), memory_, sinks.Staging(spark)).outcomes
 
 
 @query(rf"WITH {R.PAYLOAD}, s AS (SELECT item_id, list_filter(list_transform(string_split_regex(human_edit, '[.!?؟]+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ss FROM payload WHERE trim(human_edit) <> '') SELECT item_id, (generate_subscripts(ss, 1) - 1)::INTEGER AS pos, unnest(ss) AS sentence FROM s")
@@ -577,6 +626,7 @@ def memory_preload(spark, d):
     return rows.select("item_id", F.posexplode(text.sentences(F.col("human_edit"))).alias("pos", "sentence"))
 
 
-@query()
+@query(r"""WITH n AS (SELECT doc_id, length(regexp_replace(text, '[^\p{Arabic}]', '', 'g')) AS a, length(regexp_replace(text, '[^\p{Latin}]', '', 'g')) AS l FROM documents)
+SELECT doc_id, CASE WHEN coalesce(a + l, 0) = 0 THEN 'unknown' WHEN a >= l THEN 'ar' ELSE 'latin' END AS detected FROM n""")
 def detect_language(spark, d):
     return table(spark, d, "documents").select("doc_id", text.language_by_script(F.col("text")).alias("detected"))

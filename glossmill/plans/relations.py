@@ -17,7 +17,7 @@ payload AS (SELECT conv_id * 1000 + turn AS item_id, conv_id, turn, text AS sour
   FROM t WHERE role = 'user' AND next_role = 'assistant')
 """
 MEMORY = """
-m AS (SELECT doc_id AS ord, lower(lang) || '-ar' AS language_pair, split_part(text, '.', 1) AS source, substr(text, 1, 40) AS target FROM documents)
+m AS (SELECT doc_id AS ord, lower(lang) || '-ar' AS language_pair, text AS source, 'ar: ' || text AS target FROM documents)
 """
 
 
@@ -35,7 +35,7 @@ def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def memory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), F.concat(F.lower("lang"), F.lit("-ar")).alias("language_pair"), F.split_part("text", F.lit("."), F.lit(1)).alias("source"), F.substr("text", F.lit(1), F.lit(40)).alias("target"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), F.concat(F.lower("lang"), F.lit("-ar")).alias("language_pair"), F.col("text").alias("source"), F.concat(F.lit("ar: "), "text").alias("target"))
 
 
 def sentence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,12 +39,29 @@ def _fs(spark: SparkSession, path: str):
 
 
 def replace_table(df: DataFrame, path: str, fmt: str = "json") -> None:
-    """All of a table at once: written beside it, then moved over it."""
-    spark, new = df.sparkSession, f"{path}.{uuid.uuid4().hex[:8]}.tmp"
+    """All of a table at once. It is written beside the old one, which steps aside under a name of
+    its own and goes only when the new one has its place; so what a crash leaves is either table
+    whole, and ``restore_table`` puts it back where the name is missing."""
+    spark, mark = df.sparkSession, uuid.uuid4().hex[:8]
+    new, old = f"{path}.{mark}.new", f"{path}.{mark}.old"
     df.write.format(fmt).save(new)
     fs, p = _fs(spark, path)
-    fs.delete(p, True)
-    fs.rename(_fs(spark, new)[1], p)
+    if fs.exists(p):
+        fs.rename(p, _fs(spark, old)[1])
+    if not fs.rename(_fs(spark, new)[1], p):
+        raise OSError(f"{new} can't take the place of {path}")
+    fs.delete(_fs(spark, old)[1], True)
+
+
+def restore_table(spark: SparkSession, path: str) -> bool:
+    """After a crash in ``replace_table``: where the table's name is missing, the new table takes it,
+    which was whole by then. Says whether the table is there."""
+    fs, p = _fs(spark, path)
+    if not fs.exists(p):
+        for found in fs.globStatus(_fs(spark, f"{path}.*.new")[1]) or []:
+            if fs.exists(_fs(spark, f"{found.getPath()}/_SUCCESS")[1]) and fs.rename(found.getPath(), p):
+                break
+    return fs.exists(p)
 
 
 def append(df: DataFrame, path: str, fmt: str = "json") -> None:
@@ -62,16 +79,35 @@ def snapshot(spark: SparkSession, source: str, target: str, fmt: str = "json") -
     return target
 
 
-def archive_and_reset(spark: SparkSession, path: str, archive_dir: str, stamp: str) -> str:
-    """Move the table to the archive under its time (``yyyyMMdd_HHmmss``) and leave an empty one."""
+def archive_and_reset(spark: SparkSession, path: str, archive_dir: str, stamp: str, vectors: str | None = None, state: str | None = None, now: Column | None = None) -> str:
+    """Move the table to the archive under its time (``yyyyMMdd_HHmmss``) and leave an empty one;
+    empty the memory of vectors and set the time of the last reset, where they are given."""
     fs, p = _fs(spark, path)
     target = f"{archive_dir.rstrip('/')}/master_{stamp}"
     fs.mkdirs(_fs(spark, archive_dir)[1])
     fs.rename(p, _fs(spark, target)[1])
     fs.mkdirs(p)
+    if vectors is not None:
+        reset_vectors(spark, vectors)
+    if state is not None:
+        write_state(spark, state, F.current_timestamp() if now is None else now)
     return target
 
 
+VECTORS = "id bigint, item_id bigint, text string, v array<double>"
+
+
+def reset_vectors(spark: SparkSession, path: str) -> None:
+    """An empty memory of vectors."""
+    replace_table(spark.createDataFrame([], VECTORS), path, "parquet")
+
+
+def load_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """The memory of vectors; an empty one where nothing is stored."""
+    fs, p = _fs(spark, path)
+    return spark.read.schema(VECTORS).parquet(path) if fs.exists(p) else spark.createDataFrame([], VECTORS)
+
+
 def write_state(spark: SparkSession, path: str, last_reset: Column) -> None:
     replace_table(spark.range(1).select(last_reset.alias("last_reset_ts")), path, "parquet")
 
@@ -92,6 +128,22 @@ def export_lines(segments: DataFrame, by: list[str]) -> DataFrame:
     return segments.select(*by, F.coalesce("index", F.lit(0)).alias("index"), export_text(F.col("human_edit"), F.col("llm_outputs")).alias("text")).where("text <> ''")
 
 
+FORMATS = ("docx",)
+
+
+def export_request(body: dict, stored: DataFrame, document: str) -> tuple[str, DataFrame]:
+    """The format and segments of an export: ``format`` is docx by default and else refused; the
+    body's own ``segments`` come before the stored ones. ``stored`` is filtered by doc_id."""
+    fmt = str(body.get("format") or FORMATS[0]).strip().lower()
+    if fmt not in FORMATS:
+        raise ValueError(f"unsupported export format {fmt!r}")
+    given = body.get("segments")
+    if not given:
+        return fmt, stored.where(F.col("doc_id") == document).select("index", "human_edit", "llm_outputs")
+    rows = [(int(x.get("index") or 0), x.get("human_edit"), dict(x.get("llm_outputs") or {})) for x in given]
+    return fmt, stored.sparkSession.createDataFrame(rows, "index int, human_edit string, llm_outputs map<string,string>")
+
+
 def export_docx(segments: DataFrame, title: str, stamp: str) -> bytes:
     """One document's export as a .docx file, on the driver: a document is a file of a few pages.
     Rows stream from the executors one partition at a time."""
