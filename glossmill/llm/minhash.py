@@ -38,8 +38,9 @@ from pyspark.sql import functions as F
 from glossmill.llm.common import Scratch, components, mix
 
 BATCH, BLOCK = 32, 64
-#: Rows an item of a large family that its outsiders may cost when they meet all of it.
-ROWS_AN_ITEM = 8
+#: Items of a group where outsiders meet a family or bucket; and the rows an item that a family's
+#: outsiders may cost when they meet all of it, about what the bands of an item cost at least.
+WIDE, ROWS_AN_ITEM = 8 * BLOCK, 32
 #: Band keys that a task holds at once, and those of a part.
 MERGE, PART = 3_000_000, 1_000_000
 EDGES = "a bigint, b bigint"
@@ -298,8 +299,10 @@ def resolve(scratch: Scratch, members: DataFrame, sets: Sets, n_hashes: int, ban
     def dealt(m: Column, seed: int = 0) -> Column:
         return F.pmod(F.xxhash64("node", F.lit(seed)), m).cast("int")
 
-    def parts(n: Column) -> Column:
-        return F.greatest(F.lit(1), F.ceil(n / block)).cast("int")
+    wide = WIDE * block // BLOCK
+
+    def parts(n: Column, size: int = block) -> Column:
+        return F.greatest(F.lit(1), F.ceil(n / size)).cast("int")
 
     plain = {"group": F.col("family"), "rest": F.lit(0), "band": F.lit(-1), "side": F.lit(0)}
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -339,8 +342,7 @@ def resolve(scratch: Scratch, members: DataFrame, sets: Sets, n_hashes: int, ban
         found = found.union(verified(now.withColumns(plain).select(*columns, "text").union(asked.select(*columns, "text"))))
     own = scratch.save(labelled(found).select("family", "node", "label", "text"))
     main = own.groupBy("family", "label").agg(F.count("*").alias("k")).groupBy("family").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.sum("k").alias("n"), F.max("k").alias("k"))
-    wide = 4 * block
-    main = main.where("n > k").withColumns({"rests": F.ceil((F.col("n") - F.col("k")) / wide).cast("int"), "blocks": F.ceil(F.col("n") / wide).cast("int")})
+    main = main.where("n > k").withColumns({"rests": parts(F.col("n") - F.col("k"), wide), "blocks": parts(F.col("n"), wide)})
     main = scratch.save(main.withColumn("few", F.col("n") * F.col("rests") + (F.col("n") - F.col("k")) * F.col("blocks") <= ROWS_AN_ITEM * F.col("n")).drop("n", "k"))
     # few outside the bulk of a family: they meet all of it
     bulk = own.join(main.where("few"), "family").withColumns(plain)
@@ -356,11 +358,11 @@ def resolve(scratch: Scratch, members: DataFrame, sets: Sets, n_hashes: int, ban
     if mixed.isEmpty():
         return found.where("a <> b")
     entries = buckets.join(mixed, "key")
-    small = entries.where(F.col("n") <= block).select(F.col("key").alias("group"), F.lit(0).alias("rest"), F.lit(0).alias("block"), "band", "node", "label", F.lit(0).alias("side"))
-    hot = scratch.save(entries.where(F.col("n") > block))
+    small = entries.where(F.col("n") <= wide).select(F.col("key").alias("group"), F.lit(0).alias("rest"), F.lit(0).alias("block"), "band", "node", "label", F.lit(0).alias("side"))
+    hot = scratch.save(entries.where(F.col("n") > wide))
     outside = hot.where("label <> main")
-    counts = outside.groupBy("key").agg(parts(F.count("*")).alias("rests"))
-    dealt_out = hot.join(counts, "key").withColumn("blocks", parts(F.col("n")))
+    counts = outside.groupBy("key").agg(parts(F.count("*"), wide).alias("rests"))
+    dealt_out = hot.join(counts, "key").withColumn("blocks", parts(F.col("n"), wide))
     sent = dealt_out.where("label <> main").withColumns({"rest": dealt(F.col("rests"), 2), "side": F.lit(1)}).withColumn("block", every("blocks"))
     stay = dealt_out.withColumns({"block": dealt(F.col("blocks")), "side": F.lit(0)}).withColumn("rest", every("rests"))
     keyed = [F.col("key").alias("group"), *columns[1:]]
