@@ -61,3 +61,61 @@ def test_many_points_of_one_score(spark):
     for q in range(0, 200, 20):
         want = [i for i in np.lexsort((np.arange(200), -s[q])) if i != q][:20]
         assert [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == want
+
+
+def recall(spark, x, **how):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest(df, F.col("vec_id") % 20 == 0, **how).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    hits = 0
+    for q in range(0, len(x), 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        own = sorted(got[q])
+        assert [r for r, _, _ in own] == list(range(1, 21)) and [v for _, v, _ in own] == [v for _, v, _ in sorted(own, key=lambda r: (-r[2], r[1]))]
+        hits += len(set(np.argpartition(-s, 20)[:20].tolist()) & {v for _, v, _ in own})
+    return hits / len(range(0, len(x), 20)) / 20
+
+
+@pytest.mark.parametrize("kind, n, block_rows", [("plain", 2_000, 16_384), ("plain", 2_000, 300), ("groups", 20_000, 1_500), ("plain", 20_000, 16_384), ("long", 4_000, 700)])
+def test_recall_of_more_vectors(spark, kind, n, block_rows):
+    """Over one unit and many, for vectors without structure, in groups, and of unlike lengths."""
+    rng = np.random.default_rng(n)
+    x = rng.standard_normal((n, 32))
+    if kind == "groups":
+        x = rng.standard_normal((200, 32))[rng.integers(0, 200, n)] + 0.25 * x
+    if kind != "long":
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+    else:
+        x *= rng.lognormal(0, 0.6, (n, 1))
+    assert recall(spark, x, block_rows=block_rows, query_rows=200) >= 0.9
+
+
+def test_far_cells_get_no_queries(spark, monkeypatch):
+    """Of vectors in groups most cells are ruled out by the test, so what is sent grows with n."""
+    sent = []
+    plain = neighbours.Scratch.save
+
+    def counted(self, df, *a):
+        out = plain(self, df, *a)
+        if "floor" in df.columns:
+            sent[-1] += out.count()
+        return out
+
+    monkeypatch.setattr(neighbours.Scratch, "save", counted)
+    rng = np.random.default_rng(8)
+    per = {}
+    for n in (2_000, 16_000):
+        x = rng.standard_normal((n // 50, 16))[rng.integers(0, n // 50, n)] + 0.02 * rng.standard_normal((n, 16))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        sent.append(0)
+        assert recall(spark, x, block_rows=250) >= 0.9
+        per[n] = sent[-1] / (n / 20)
+    assert per[16_000] < 3 * per[2_000] and per[16_000] < 0.5 * 64
+
+
+def test_shared_ids(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.1]), (2, [0.1, 1.0])], "vec_id bigint, embedding array<double>")
+    got = neighbours.nearest(df, F.col("vec_id") == 0, k=2).collect()
+    assert {(r.query_id, r.vec_id) for r in got} == {(0, 1), (0, 2)} and len(got) <= 4
