@@ -2,21 +2,29 @@
 
 P(text) = product of P(class | class before) P(word | class), ends of texts included.
 
-Classes come from exchange clustering. Words with at least 1 / ``HEAD`` of all training tokens,
-so at most HEAD words whatever the corpus, are clustered on their bigram matrix: each word in
-turn moves to the class that raises the likelihood most, until a sweep moves few. Every other
-word then takes one exchange step: from the counts of the classes left and right of all its
-occurrences it goes to the class whose contexts suit it best, in a twin of that class for rarer
-words. An emission is an absolute discount of the word's count in its class; the discounted mass
-is that of an unknown word. Transitions are smoothed towards the class unigram (Witten-Bell).
-So the probabilities of all words and the unknown word sum to one in each context. All counts
-cover all training texts.
+Classes come from exchange clustering, in three tiers by the rank of a word's count:
+
+* the ``HEAD`` most frequent words are clustered on their bigram matrix: each word in turn moves
+  to the class that raises the likelihood most, until a sweep moves few;
+* the ``MIDDLE`` most frequent words, head included, are then exchanged in ``PASSES`` distributed
+  sweeps: a pass over the corpus counts the classes before and after each of them, whatever task
+  its occurrences are in, and each word goes to the class whose contexts explain its own best, with
+  the classes of all of them as they are by then. Words move in halves, so that neighbours don't
+  change places for ever;
+* every other word takes one such step by the contexts of all its occurrences, into a twin of the
+  class for rarer words.
+
+An emission is an absolute discount of the word's count in its class; the discounted mass is that
+of an unknown word. Transitions are smoothed towards the class unigram (Witten-Bell). So the
+probabilities of all words and the unknown word sum to one in each context. All counts cover all
+training texts.
 
 The corpus is tokenised once, into blocks of BLOCK tokens with a dictionary each, a written
 table. Passes over it work on ids and send what a block or task has counted, never tokens: the
 counts of words, then of the contexts of words, then the dictionary itself, which comes back
-with counts and classes. Rows of a frequent word are as many as blocks, so no word is hot. The
-driver sees HEAD words, their matrix and the matrix of classes.
+with counts and classes. Rows of a frequent word are as many as blocks or tasks, so no word is
+hot. The driver sees MIDDLE words with the counts of their contexts, the matrix of HEAD words and
+that of classes: bounded, whatever the corpus.
 
 Words are known by a 64-bit hash (about n**2 / 2**65 of n words share one).
 
@@ -38,16 +46,17 @@ from pyspark.sql import functions as F
 
 from glossmill.llm.common import Scratch, batch_rows, chunks, signed, text_bytes, word_bounds, word_hashes
 
-HEAD, CLASSES, SWEEPS, DISCOUNT = 1024, 32, 12, 0.5
-BLOCK, MERGE, BLOCKS_A_BATCH, TEXTS_A_BATCH = 500_000, 6_000_000, 16, 256
-# classes 0..31: of head words; 32: other words while head words are clustered; 33: end of text
-OTHER, END = CLASSES, CLASSES + 1
-# in the model: 0..31 and their twins 32..63, then the end and the unknown word
+HEAD, MIDDLE, PASSES, CLASSES, SWEEPS, DISCOUNT = 2048, 8192, 3, 64, 8, 0.5
+BLOCK, MERGE, BLOCKS_A_BATCH, TEXTS_A_BATCH = 1_000_000, 6_000_000, 4, 256
+# classes from 0 on: of the head and middle words; then other words while these are clustered, then
+# the end of a text
+OTHER, END, WIDTH = CLASSES, CLASSES + 1, CLASSES + 2
+# in the model: classes and their twins, then the end and the unknown word
 M_END, M_UNKNOWN = 2 * CLASSES, 2 * CLASSES + 1
 N_MODEL = 2 * CLASSES + 2
 
 CORPUS = "block bigint, doc_ids array<bigint>, ends array<int>, words binary, ids binary"
-ENTRY = np.dtype([("code", "u1"), ("n", "<u4")])
+ENTRY = np.dtype([("code", "u1"), ("n", "<u4")])  # codes are below 2 * WIDTH
 SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, emitted double, classes binary"
 
 
@@ -230,9 +239,53 @@ def context_worth(m: np.ndarray) -> np.ndarray:
     return np.vstack([by[:, :CLASSES], by.T[:, :CLASSES]])
 
 
+def contexts_of(corpus: DataFrame, words: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """(word, 2 * WIDTH): how often each class stands before, and after, each of the sorted ``words``,
+    whose classes are ``of``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(words) * 2 * WIDTH, np.int64)
+        for batch in batches:
+            for own, ids, _, _, _, learns in Blocks(batch):
+                at = np.append(lookup(words, own, -1), -1)
+                around = np.append(np.where(at[:-1] < 0, OTHER, of[at[:-1]]), END)[ids]
+                place = at[ids]
+                mine = np.flatnonzero(learns & (place >= 0))
+                if not len(mine):
+                    continue
+                before = np.where(mine > 0, around[mine - 1], END)
+                base = place[mine] * (2 * WIDTH)
+                codes, n = np.unique(np.concatenate([base + before, base + WIDTH + around[mine + 1]]), return_counts=True)
+                total[codes] += n
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["code", "n"])
+
+    rows = corpus.mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(words) * 2 * WIDTH, np.int64)
+    out[rows.column("code").to_numpy()] = rows.column("n").to_numpy()
+    return out.reshape(len(words), 2 * WIDTH)
+
+
+def class_matrix(contexts: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Counts of class bigrams as far as one of both words is known by its contexts."""
+    m = np.zeros((WIDTH, WIDTH))
+    np.add.at(m, of, contexts[:, WIDTH:])
+    # rows of OTHER and END come from what stands before known words
+    before = np.zeros((WIDTH, WIDTH))
+    np.add.at(before, of, contexts[:, :WIDTH])
+    m[CLASSES:, :CLASSES] = before.T[CLASSES:, :CLASSES]
+    return m
+
+
+def reassigned(contexts: np.ndarray, of: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """The classes after the words ``moves`` went where their contexts are likeliest."""
+    best = (contexts @ context_worth(class_matrix(contexts, of))).argmax(1)
+    return np.where(moves, best, of)
+
+
 def rare_words(corpus: DataFrame, head: np.ndarray, head_class: np.ndarray) -> DataFrame:
-    """(word, contexts): for each word outside the head, counts of the classes around it."""
-    width = CLASSES + 2
+    """(word, contexts): for each word not in ``head``, counts of the classes around it."""
+    width = WIDTH
 
     def row(keys: np.ndarray, codes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
@@ -274,7 +327,7 @@ def rare_words(corpus: DataFrame, head: np.ndarray, head_class: np.ndarray) -> D
 
 def rare_classes(contexts: DataFrame, worth: np.ndarray) -> DataFrame:
     """(word, n, class) from all contexts of each word, which may be in many rows."""
-    width = CLASSES + 2
+    width = WIDTH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word, total, n = None, np.zeros(CLASSES), 0
@@ -411,8 +464,9 @@ def transitions(m: np.ndarray, class_words: np.ndarray) -> np.ndarray:
     return np.log10(np.maximum(p, 1e-300))
 
 
-def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row."""
+def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", learned: dict | None = None) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row. A dict given
+    as ``learned`` takes the words, a written table (word, n, class) of hashes, and the transitions."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
     docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
@@ -421,14 +475,20 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     with batch_rows(spark, BLOCKS_A_BATCH):
         counts = scratch.save(word_counts(corpus))
         total, distinct, ends_n = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.max(F.when(F.col("word").isNull(), F.col("n"))), F.lit(0))).first()
-        frequent = counts.where(F.col("word").isNotNull() & (F.col("n") * HEAD >= total)).toArrow()  # at most HEAD rows
-        head, head_n = frequent.column("word").to_numpy(), frequent.column("n").to_numpy()
-        order = np.argsort(head)
-        head, head_n = head[order], head_n[order]
+        frequent = counts.where("word IS NOT NULL").orderBy(F.col("n").desc(), "word").limit(MIDDLE).toArrow()
+        middle, middle_n = frequent.column("word").to_numpy(), frequent.column("n").to_numpy()
         scratch.drop(counts)
-        of, m = exchange(head_bigrams(corpus, head))
-        contexts = scratch.save(rare_words(corpus, head, of))
-    rows = pa.table({"word": pa.array(head, pa.int64()), "n": pa.array(head_n, pa.int64()), "class": pa.array(of.astype(np.int32), pa.int32())})
+        rank = np.argsort(middle)  # of the words in the order of their hashes
+        middle, middle_n = middle[rank], middle_n[rank]
+        top = rank < HEAD
+        of = np.full(len(middle), OTHER)
+        of[top], m = exchange(head_bigrams(corpus, middle[top]))
+        for x in range(PASSES if len(middle) else 0):
+            contexts = contexts_of(corpus, middle, of)
+            of = reassigned(contexts, of, (of == OTHER) if x == 0 and (of == OTHER).any() else rank % 2 == x % 2)
+            m = class_matrix(contexts, of)
+        contexts = scratch.save(rare_words(corpus, middle, of))
+    rows = pa.table({"word": pa.array(middle, pa.int64()), "n": pa.array(middle_n, pa.int64()), "class": pa.array(of.astype(np.int32), pa.int32())})
     words = scratch.save(rare_classes(contexts, context_worth(m)).union(spark.createDataFrame(rows, "word bigint, n bigint, class int")))
     scratch.drop(contexts)
     class_total, class_words = np.zeros(N_MODEL), np.zeros(N_MODEL)
@@ -438,11 +498,13 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     with batch_rows(spark, BLOCKS_A_BATCH):
         known = scratch.save(dictionaries(corpus).join(words, "word", "left").select("block", "word", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("class", F.lit(M_UNKNOWN)).alias("class")))
     entries = scratch.save(filled(known))
-    scratch.drop(known, words)
     with batch_rows(spark, BLOCKS_A_BATCH):
         scored = scratch.save(emissions(corpus.join(entries, "block", "left"), total, distinct, class_total, ends_n))
-    scratch.drop(corpus, entries)
-    log_p = transitions(class_bigrams(scored), class_words).reshape(-1)
+    moves_p = transitions(class_bigrams(scored), class_words)
+    if learned is not None:
+        learned.update(words=words, transitions=moves_p)
+    scratch.keep(scored, *([] if learned is None else [words]))
+    log_p = moves_p.reshape(-1)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -7,9 +7,11 @@ from collections import Counter, defaultdict
 from math import log10
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from glossmill.llm import chat, class_lm, packing, queries, sentencepieces
+from glossmill.llm.common import signed, text_bytes, word_hashes
 from glossmill.llm.tokens import PATTERN, json_tokenizer, vocabulary_path
 
 
@@ -224,6 +226,69 @@ def test_scores(spark, sf_dir, documents):
     assert len(got) == len(documents) and sums[1] > sums[0]
 
 
+def test_class_scores_by_hand(spark, documents):
+    """The score of each document, worked out token by token from the learned classes with plain
+    counting, and a distribution that sums to one after every class."""
+    learned, rows = {}, documents[:80]
+    got = class_lm.score_documents(spark.createDataFrame(rows, "doc_id bigint, text string"), learned=learned).collect()
+    end, unknown, discount = class_lm.M_END, class_lm.M_UNKNOWN, class_lm.DISCOUNT
+    table = {r["word"]: (r["n"], r["class"]) for r in learned["words"].collect()}
+    texts = {d: t.encode().lower().split() for d, t in rows}
+    vocabulary = sorted({w for ws in texts.values() for w in ws})
+    raw, at = text_bytes(pa.array([w.decode() for w in vocabulary]))
+    known = {w: table[h] for w, h in zip(vocabulary, signed(word_hashes(raw, at[:-1], at[1:])).tolist(), strict=True) if h in table}
+    train = [d for d in texts if zlib.crc32(str(d).encode()) % 5 != 1]
+    counts = Counter(w for d in train for w in texts[d])
+    assert {w: n for w, (n, _) in known.items()} == dict(counts) and len(table) == len(counts)
+    classes = {d: [known[w][1] if w in known else unknown for w in ws] + [end] for d, ws in texts.items()}
+    pairs = Counter((b, c) for d in train for b, c in zip([end, *classes[d]], classes[d]))
+    mass, kinds, words, after = Counter(), Counter(), Counter(c for _, c in known.values()), Counter()
+    for (b, c), n in pairs.items():
+        mass[c] += n
+        after[b] += n
+        kinds[b] += 1
+    words[end] = 1
+    smooth = sum(n + 0.5 for n in mass.values())
+    unigram = {c: (n + 0.5) / smooth for c, n in mass.items()}
+    to = lambda b, c: (pairs[b, c] + max(kinds[b], 1) * unigram[c]) / (after[b] + max(kinds[b], 1))
+    lost = {c: discount * words[c] / mass[c] for c in mass}  # what a class leaves to unknown words
+    new = lambda b: sum(to(b, c) * lost[c] for c in mass)
+    spare = {c: mass[c] * lost[c] for c in mass}
+    from_unknown = {c: sum(spare[b] * to(b, c) for b in mass) / sum(spare.values()) for c in mass}
+    for b in mass:
+        assert sum(to(b, c) * (1 - lost[c]) for c in mass) + new(b) == pytest.approx(1)
+    ends = len(train)
+    for r in got:
+        score, b = 0.0, end
+        for w, c in zip([*texts[r.doc_id], None], classes[r.doc_id], strict=True):
+            if c == unknown:
+                p = sum(from_unknown[x] * lost[x] for x in mass) if b == unknown else new(b)
+            else:
+                n, total = (ends, ends) if w is None else (known[w][0], mass[c])
+                p = (from_unknown[c] if b == unknown else to(b, c)) * (n - discount) / total
+            score, b = score + log10(p), c
+        assert r.score == pytest.approx(score, rel=1e-9), r.doc_id
+
+
+def test_middle_words_are_exchanged(spark, monkeypatch):
+    """Words beyond the head join those that stand in the same places."""
+    for name, value in {"HEAD": 8, "MIDDLE": 48}.items():
+        monkeypatch.setattr(class_lm, name, value)
+    rng = random.Random(3)
+    kinds = [[f"{k}{i}" for i in range(12)] for k in "abcd"]
+    weights = [1 / (i + 1) for i in range(12)]
+    rows = [(5 * i, " ".join(rng.choices(kinds[j % 4], weights)[0] for j in range(40))) for i in range(400)]
+    learned = {}
+    class_lm.score_documents(spark.createDataFrame(rows, "doc_id bigint, text string"), learned=learned).count()
+    table = {r["word"]: r["class"] for r in learned["words"].collect()}
+    classes = []
+    for kind in kinds:
+        raw, at = text_bytes(pa.array(kind))
+        classes.append([table[h] for h in signed(word_hashes(raw, at[:-1], at[1:])).tolist() if h in table])
+    alone = sum(c not in {x for other in classes if other is not own for x in other} for own in classes for c in own)
+    assert sum(map(len, classes)) > 40 and alone >= 0.9 * sum(map(len, classes))
+
+
 def test_transitions_sum_to_one():
     rng = np.random.default_rng(4)
     m = rng.integers(0, 50, (class_lm.N_MODEL, class_lm.N_MODEL))
