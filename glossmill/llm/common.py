@@ -26,7 +26,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of BATCH_ROWS rows at most, for operators that hold whole texts."""
+    """Arrow batches of BATCH_ROWS rows at most, for operators that hold whole texts and whose plan
+    runs after they return; so it holds for the session. Where an operator runs its own plans, it
+    uses ``batch_rows``, which puts the setting back."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 

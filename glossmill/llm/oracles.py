@@ -8,6 +8,7 @@ _WS = r"[\x20\x09-\x0D]+"
 _HAS = r"[^\x20\x09-\x0D]"
 _SPACES = r"chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
 _CLOSERS = Q.CLOSERS.replace("'", "''")
+_PHRASES = Q.BOILERPLATE.replace("'", "''")
 _ENDS = ", ".join(f"'{x}'" for x in Q.LINE_ENDS)
 
 
@@ -27,7 +28,7 @@ v AS (SELECT *, trim(line, {_SPACES}) AS s FROM l),
 r AS (SELECT *, len(regexp_split_to_array(s, '{_WS}')) AS n, len(regexp_split_to_array(s, '{Q.ENTRIES}')) AS e, len(regexp_split_to_array(s, '{Q.MARKS}')) - 1 AS m FROM v),
 f AS (SELECT rid, j, line, s = '' AS blank,
   right(rtrim(s, '{_CLOSERS}'), 1) IN ({_ENDS}) AND NOT (e >= 3 AND n <= 5 * e) AND m <= {Q.MAX_MARKS} * n
-  AND NOT regexp_matches(s, '{Q.BOILERPLATE}') AS good FROM r),
+  AND NOT (n <= {Q.PHRASE_WORDS} AND regexp_matches(s, '{_PHRASES}')) AS good FROM r),
 g AS (SELECT rid, string_agg(line, chr(10) ORDER BY j) FILTER (WHERE blank OR good) AS cleaned,
   count(*) FILTER (WHERE NOT blank) - count(DISTINCT line) FILTER (WHERE NOT blank) AS dups FROM f GROUP BY rid),
 x AS (SELECT doc_id, len(ws) AS n_words, length(regexp_replace(t, '{_WS}', '', 'g')) AS word_chars,

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossmill.llm.common import Scratch, small_batches
+from glossmill.llm.common import BATCH_ROWS, SENT_BYTES, Scratch, batch_rows
 from glossmill.llm.tokens import encode_json, vocabulary_path
 
 CAPACITY, END_ID, ROWS_A_SALT = 1024, 2, 20_000
@@ -48,7 +48,6 @@ PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigin
 def tokenize_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, ranks: str | None = None, end_id: int = END_ID, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids_crc32 (and ids, if asked for)."""
     path, rank_path = vocabulary or vocabulary_path("byte_bpe_50k.json"), ranks or vocabulary_path("byte_bpe_50k.tiktoken")
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,9 +233,13 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
     return whole + out + best_fit(lengths[some], left[some], capacity)
 
 
+PLACED = ["doc_id", "piece", "start", "length", "ids_crc32"]
+
+
 def pack(pieces: DataFrame, capacity: int = CAPACITY, rows_a_salt: int = ROWS_A_SALT) -> DataFrame:
-    """Adds sequence_id and offset to pieces(doc_id, piece, start, length, ids_crc32), which should
-    be a written table: it is read twice."""
+    """Adds sequence_id and offset to pieces(doc_id, piece, start, length, ids_crc32, and maybe ids),
+    which should be a written table: it is read twice."""
+    names = PLACED + ["ids"] * ("ids" in pieces.columns)
     histogram = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``capacity`` rows
     entries: dict[int, list[tuple[int, int, int, int]]] = {}
     at, base = dict.fromkeys(histogram, 0), 0
@@ -259,17 +262,25 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rows_a_salt: int = ROWS_A_
                 e = t[np.searchsorted(t[:, 0], rank[own], side="right") - 1]
                 r = rank[own] - e[:, 0]
                 seq[own], off[own] = e[:, 2] + r // e[:, 1], e[:, 3] + r % e[:, 1] * k
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(seq), pa.array(off)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+            columns = dict(zip(names, map(batch.column, names), strict=True))
+            own = columns.pop("ids", None)
+            columns |= {"sequence_id": pa.array(seq), "offset": pa.array(off)} | ({} if own is None else {"ids": own})
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     salts = max(16, -(-max(histogram.values(), default=0) // rows_a_salt))
-    salted = pieces.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
+    salted = pieces.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
     counts = salted.groupBy("length", "__salt").agg(F.count("*").alias("__n"))
     before = counts.select("length", "__salt", (F.sum("__n").over(Window.partitionBy("length").orderBy("__salt")) - F.col("__n")).alias("__before"))
     within = F.row_number().over(Window.partitionBy("length", "__salt").orderBy("doc_id", "piece", "ids_crc32", "start")) - 1
-    ranked = salted.withColumn("__within", within).join(before, ["length", "__salt"])
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("__within") + F.col("__before")).cast("bigint").alias("__rank")).mapInArrow(place, PIECES + ", sequence_id bigint, offset bigint")
+    # at most a row for each length and salt, so known in size; the pieces are shuffled once
+    small = len(histogram) * salts * 32 <= SENT_BYTES
+    ranked = salted.withColumn("__within", within).join(F.broadcast(before) if small else before, ["length", "__salt"])
+    return ranked.select(*names, (F.col("__within") + F.col("__before")).cast("bigint").alias("__rank")).mapInArrow(place, PIECES + ", sequence_id bigint, offset bigint" + ", ids array<int>" * ("ids" in names))
 
 
-def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, vocabulary: str | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, vocabulary: str | None = None, with_ids: bool = False) -> DataFrame:
+    """A place in a sequence for each piece of docs; with its ids, if asked for."""
     scratch = Scratch(docs.sparkSession, "pack")
-    return pack(scratch.save(tokenize_pieces(docs, doc_id, text, vocabulary, capacity=capacity)), capacity)
+    with batch_rows(docs.sparkSession, BATCH_ROWS):
+        pieces = scratch.save(tokenize_pieces(docs, doc_id, text, vocabulary, capacity=capacity, with_ids=with_ids))
+    return pack(pieces, capacity)

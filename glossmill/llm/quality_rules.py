@@ -5,14 +5,16 @@ Native: DataFrame functions only. Each line that holds a word is judged on its o
 * punctuation: it must end in terminal punctuation (closing quotes and brackets may follow),
   and marks such as ``#*$%&|<>`` or runs of ``!`` and ``?`` may not pepper its words;
 * navigation: a row of short entries parted by ``|``, ``»`` and the like is dropped;
-* boilerplate: cookie, login, rights and licence phrases are dropped.
+* boilerplate: a line of at most ``PHRASE_WORDS`` words with a phrase about cookies, logins, rights
+  or licences in one of four languages (``PHRASES``; a parameter) is dropped.
 
 A document is rejected if the lines that pass hold less than ``min_left`` of its word
 characters, or if a base count fails (fewer than ``min_words`` words, or too many words
 in repeated 3-word windows). All work is row by row: no shuffle, no group to be skewed.
 
 Defined results: a null or empty text has no words and is rejected. An input column with
-the name of an output column is replaced. Rows repeat as they come.
+the name of an output column is replaced. Rows repeat as they come, also with equal ids; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,10 +32,22 @@ LINE_ENDS = [".", "!", "?", "…", "。", "！", "？", "؟", ":", ";"]
 CLOSERS = "\"')]}»”’"
 SPACES = " \t\n\x0b\x0c\r"
 ENTRIES = r" [|»›>•·/] "
-BOILERPLATE = (
-    r"(?i)\b(?:all rights reserved|privacy policy|terms of (?:use|service)|cookie|javascript|click here|"
-    r"sign up|log ?in\b|subscribe|lorem ipsum|licensed under|copyright|powered by|skip to content)"
-)
+PHRASES = {
+    "en": ["all rights reserved", "privacy policy", "terms of use", "terms of service", "cookie policy", "use cookies", "uses cookies", "accept cookies", "enable javascript", "click here", "sign up now", "sign up for", "please log in", "log in to continue", "subscribe to our", "subscribe now", "lorem ipsum", "licensed under", "copyright [0-9]{4}", "powered by", "skip to content"],
+    "de": ["alle rechte vorbehalten", "datenschutzerkl[äÄ]rung", "nutzungsbedingungen", "verwendet cookies", "cookies akzeptieren", "hier klicken", "jetzt anmelden", "jetzt registrieren", "newsletter abonnieren", "lizenziert unter", "zum inhalt springen"],
+    "es": ["todos los derechos reservados", "pol[íÍ]tica de privacidad", "condiciones de uso", "utiliza cookies", "aceptar cookies", "haga clic aqu[íÍ]", "iniciar sesi[óÓ]n", "reg[íÍ]strate ahora", "suscr[íÍ]bete", "bajo licencia", "ir al contenido"],
+    "fr": ["tous droits r[éÉ]serv[éÉ]s", "politique de confidentialit[éÉ]", "conditions d['’]utilisation", "utilise des cookies", "accepter les cookies", "cliquez ici", "se connecter", "abonnez-vous", "sous licence", "aller au contenu"],
+}
+
+
+def phrase_pattern(phrases: dict[str, list[str]]) -> str:
+    """Any phrase of any language, between what isn't a letter; the same for Java and RE2."""
+    return r"(?i)(?:^|[^\p{L}])(?:" + "|".join(p for own in phrases.values() for p in own) + r")(?:$|[^\p{L}])"
+
+
+BOILERPLATE = phrase_pattern(PHRASES)
+#: Words of a line that a phrase can make boilerplate at most; longer ones are prose that names it.
+PHRASE_WORDS = 40
 
 
 def _repeat_words(words: Column, windows: Column) -> Column:
@@ -48,10 +62,11 @@ def _repeat_words(words: Column, windows: Column) -> Column:
     return F.get(F.transform(F.array(ranked), count), 0)
 
 
-def clean_lines(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS, max_repeat: int = MAX_REPEAT, min_left: float = MIN_LEFT, max_marks: float = MAX_MARKS) -> DataFrame:
+def clean_lines(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS, max_repeat: int = MAX_REPEAT, min_left: float = MIN_LEFT, max_marks: float = MAX_MARKS, phrases: dict[str, list[str]] | None = None) -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and
     cleaned_text (the lines that pass; lines without a word stay where they were)."""
     t = F.coalesce(F.col(text), F.lit(""))
+    boilerplate = phrase_pattern(PHRASES if phrases is None else phrases)
     own = [f"__gm_{x}" for x in ("words", "all", "windows", "verdicts", "lines")]
     words, every, windows, verdicts, lines = map(F.col, own)
     out = docs.withColumns({own[0]: F.array_remove(F.split(t, SPACE_CLASS), ""), own[1]: F.split(t, "\n", -1)})
@@ -65,7 +80,7 @@ def clean_lines(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS,
             F.right(F.rtrim(trimmed, F.lit(CLOSERS)), F.lit(1)).isin(LINE_ENDS)
             & ~((entries >= 3) & (n <= 5 * entries))
             & ((F.size(F.split(trimmed, MARKS, -1)) - 1) <= max_marks * n)
-            & ~trimmed.rlike(BOILERPLATE)
+            & ~((n <= PHRASE_WORDS) & trimmed.rlike(boilerplate))
         )
         return F.when(trimmed == "", 2).when(good, 1).otherwise(0)
 

@@ -13,11 +13,13 @@ answer is exact while the driver sees at most 65,536 rows at first and then as m
 the few ranges around 40 boundaries yield. Under the capacity the cuts then stay as near
 to equal sizes as they can, so that one huge group doesn't leave other shards empty.
 
-Slots number each shard's rows from 0: rows are dealt to salts by their id, counted by
-(shard, salt), and numbered within those, so that no task holds a whole shard.
+Slots number each shard's rows from 0: rows are dealt to salts by their id and text, counted by
+(shard, salt), and numbered within those, so that no task holds a whole shard, also where ids are
+null or repeat.
 
 Defined results: null text is 16 bytes with crc32 0; repeated rows get a slot each; with
-fewer groups than shards the rest of the shards stay empty; an empty table gives no rows.
+fewer groups than shards the rest of the shards stay empty; an empty table gives no rows; other
+columns take no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -140,7 +142,7 @@ def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS, doc_id: str = "do
     cuts, _, n = plan_cuts(groups, n_shards)
     scratch.drop(groups)
     salts = max(8, -(-n // (n_shards * rows_a_slot_group)))
-    placed = rows.withColumns({"shard": _shard_of(F.col("key"), cuts), "__salt": F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")})
+    placed = rows.withColumns({"shard": _shard_of(F.col("key"), cuts), "__salt": F.pmod(F.xxhash64("doc_id", "key"), F.lit(salts)).cast("int")})
     # n_shards * salts rows: a number that the plan sets, so this side is small enough to send to all
     counts = placed.groupBy("shard", "__salt").agg(F.count("*").alias("__n"))
     before = counts.select("shard", "__salt", (F.sum("__n").over(Window.partitionBy("shard").orderBy("__salt")) - F.col("__n")).alias("__before"))

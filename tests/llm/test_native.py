@@ -78,3 +78,31 @@ def test_shards_odd(spark, odd, none):
     assert len(rows) == 10
     assert len({r["shard"] for r in rows if r.doc_id in (1, 2)}) == 1
     assert sharding.shard_documents(none).count() == 0
+
+
+def test_boilerplate_of_four_languages(spark):
+    """Phrases go whole, whatever their case; words that only begin like one, and prose, stay."""
+    gone = ["All Rights Reserved.", "Diese Seite verwendet Cookies.", "© 2020. TOUS DROITS RÉSERVÉS!", "Lea la Política de privacidad.", "Copyright 1999.", "Voir les conditions d’utilisation."]
+    stay = ["The cookies were copyrighted by a baker.", "She subscribed to no opinion.", "Powered bygones are gone.", "A " + "long " * 45 + "line on terms of use goes on."]
+    row = quality_rules.clean_lines(spark.createDataFrame([(1, "\n".join(gone + stay))], "doc_id int, text string"), min_words=1).first()
+    assert row.cleaned_text.split("\n") == stay
+    row = quality_rules.clean_lines(spark.createDataFrame([(1, "Own phrase here.\nAll rights reserved.")], "doc_id int, text string"), min_words=1, phrases={"x": ["own phrase"]}).first()
+    assert row.cleaned_text == "All rights reserved."
+
+
+def test_query_shards_are_minimax(spark, sf_dir):
+    """The registered shards: no cut of the same order into as many runs has a smaller largest one."""
+    rows = queries.op6_shard(spark, sf_dir).collect()
+    groups = {}
+    for r in rows:
+        groups.setdefault((r.size, r.text_crc32), []).append(r)
+    of = {}
+    for r in rows:
+        of.setdefault(r.shard, 0)
+        of[r.shard] += r.size
+    assert set(of) <= set(range(40)) and sorted(r.slot for r in rows if r.shard == rows[0].shard) == list(range(sum(r.shard == rows[0].shard for r in rows)))
+    # equal texts stay together, and shards are runs of one order: a greedy cut at one byte less fails
+    assert all(len({r.shard for r in own}) == 1 for own in groups.values())
+    largest, total = max(of.values()), sum(of.values())
+    assert largest >= total / 40
+    assert largest <= total / 40 + max(sum(r.size for r in own) for own in groups.values())
