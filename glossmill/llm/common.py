@@ -95,19 +95,25 @@ class RowIds:
     """Ids of which each stands for one text, for operators that tell documents apart by id.
 
     ``docs`` has (doc_id, text) of the rows with an id. Where no id has two texts, as is usual,
-    ids stay what they are, which one aggregate of a hash a row tells. Else each distinct (id,
-    text) gets a number of its own, in the order of ids, and ``docs`` is written with these.
-    Rows that are equal in both are one document in either case; null texts are as empty ones."""
+    ids stay what they are, which one aggregate of a hash a row tells. Else, or where an id isn't
+    in 0 .. ``below`` - 1, each distinct (id, text) gets a number of its own, from 0 on in the
+    order of ids, and ``docs`` is written with these. Rows that are equal in both are one document
+    in either case; null texts are as empty ones."""
 
-    def __init__(self, scratch: Scratch, docs: DataFrame):
+    def __init__(self, scratch: Scratch, docs: DataFrame, below: int | None = None):
         some = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
         tag = F.xxhash64(F.coalesce("text", F.lit("")))
         self.scratch, self.docs, self.ids = scratch, some, None
-        if some.groupBy("doc_id").agg(F.min(tag).alias("lo"), F.max(tag).alias("hi")).where("lo <> hi").isEmpty():
+        outside = F.lit(False) if below is None else ~F.col("doc_id").between(0, below - 1)
+        if some.groupBy("doc_id").agg(F.min(tag).alias("lo"), F.max(tag).alias("hi")).where((F.col("lo") != F.col("hi")) | outside).isEmpty():
             return
         keyed = some.withColumn("tag", self.tag(F.col("text")))
-        number = F.monotonically_increasing_id()  # ascends with the sorted rows; fixed once written
-        self.ids = scratch.save(keyed.select("doc_id", "tag").distinct().orderBy("doc_id", "tag").select(F.col("doc_id").alias("id"), "tag", number.alias("row_id")))
+        place = F.monotonically_increasing_id()  # ascends with the sorted rows; fixed once written
+        ordered = scratch.save(keyed.select("doc_id", "tag").distinct().orderBy("doc_id", "tag").select(F.col("doc_id").alias("id"), "tag", F.shiftright(place, 33).alias("part"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("at")))
+        sizes = sorted((r["part"], r["n"]) for r in ordered.groupBy("part").agg(F.count("*").alias("n")).collect())  # a row a partition
+        starts = np.cumsum([0, *(n for _, n in sizes)]).tolist()
+        offsets = scratch.spark.createDataFrame([(p, s) for (p, _), s in zip(sizes, starts, strict=False)], "part bigint, start bigint")
+        self.ids = scratch.save(ordered.join(F.broadcast(offsets), "part").select("id", "tag", (F.col("start") + F.col("at")).alias("row_id")))
         self.docs = scratch.save(keyed.join(self.ids, (keyed["doc_id"] == self.ids["id"]) & (keyed["tag"] == self.ids["tag"])).select(F.col("row_id").alias("doc_id"), "text"))
 
     @staticmethod

@@ -179,3 +179,12 @@ def test_fuzzy_passages_against_brute_force(spark, documents):
     assert len(wanted) > 20
     for d, x, y in wanted:
         assert len(covered.get(d, set()) & set(range(x, y))) >= 0.9 * (y - x), (d, x, y)
+
+
+def test_passages_of_wide_ids(spark):
+    """Ids that don't fit a place are numbered, in their order."""
+    rng = random.Random(11)
+    a, low, high = fresh(rng, 60), -(2**62), 2**62
+    rows = [(high, f"{a} {fresh(rng, 9)}"), (low, f"{fresh(rng, 4)} {a}"), (3, fresh(rng, 70))]
+    got = substring_dedup.repeated_passages(frame(spark, rows)).collect()
+    assert [(r.doc_id, r.begin, r.n_words, r.source_doc_id, r.source_begin) for r in got] == [(high, 0, 60, low, 4)]
