@@ -206,6 +206,34 @@ def strategy(name: str):
     return STRATEGIES.get(name, fallback_rules)
 
 
+#: What an accepted row holds, as it is kept in JSON lines.
+ACCEPTED = "source_text string, language_pair string, llm_outputs map<string,string>, human_translation string, score double, timestamp string"
+
+
+def typed_rows(lines: DataFrame, value: str = "value") -> DataFrame:
+    """Accepted rows of JSON lines: those that parse, have all required fields, and have them of
+    their types; others are left out. A number where a text belongs isn't one."""
+    kinds = {"source_text": '"', "language_pair": '["\\[]', "llm_outputs": "[{]", "human_translation": '"', "score": "[-0-9]", "timestamp": '"'}
+    parsed = lines.select(F.col(value), F.from_json(value, ACCEPTED, {"mode": "PERMISSIVE"}).alias("r"))
+    sound = F.lit(True)
+    for name, begin in kinds.items():
+        sound = sound & F.col(value).rlike(f'"{name}"\\s*:\\s*{begin}')
+    return schema_valid(parsed.where("r IS NOT NULL").where(sound).select("r.*"))
+
+
+def error(code: str, message: Column | str) -> Column:
+    """The uniform error of a request: {code, message}."""
+    return F.struct(F.lit(code).alias("code"), (F.lit(message) if isinstance(message, str) else message).alias("message"))
+
+
+def by_mode(mode: str | None, real=None):
+    """The rule set that a mode names: ``real`` takes the one given, or the full rules; any other mode,
+    or none, the fallback, which needs no models."""
+    if (mode or "").strip().lower() == "real":
+        return real if real is not None else STRATEGIES["full"]
+    return fallback_rules
+
+
 def schema_valid(rows: DataFrame) -> DataFrame:
     """Rows with all required fields of the accepted table."""
     need = ["source_text", "language_pair", "llm_outputs", "human_translation", "score", "timestamp"]

@@ -139,3 +139,11 @@ def update(segments: DataFrame, changes: DataFrame, key: str, columns: list[str]
     out = segments.withColumn("__first", first).join(new, key, "left")
     hit = F.coalesce(F.col("__hit") & F.col("__first"), F.lit(False))
     return out.withColumns({c: F.when(hit, F.col(f"__new_{c}")).otherwise(F.col(c)) for c in columns}).select(segments.columns)
+
+
+def save_drafts(segments: DataFrame, drafts: DataFrame, now: Column, order: list[str], key: str = "id") -> DataFrame:
+    """segments with the edits of drafts(key, human_edit) and the time they were saved; a status stays,
+    and is pending where there was none."""
+    kept = segments if "last_saved_at" in segments.columns else segments.withColumn("last_saved_at", F.lit(None).cast("timestamp"))
+    kept = kept.withColumn("status", F.coalesce("status", F.lit("pending")))
+    return update(kept, drafts.select(key, "human_edit", now.cast("timestamp").alias("last_saved_at")), key, ["human_edit", "last_saved_at"], order)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,38 +14,66 @@ MAX_CHARS, BLOCK_CHARS, LINE_TOLERANCE = 1200, 850, 2.5
 SENTENCE_BREAK = r"(?U)(?<=[.!?])\s+"
 
 
+#: White space as Java's Unicode classes have it, which Python's differ from.
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_BREAK, _WORDS = re.compile(f"(?<=[.!?])[{_SPACE}]+"), re.compile(f"[{_SPACE}]+")
+
+
+def _pack(units: list[str], most: int) -> list[str]:
+    """Greedy packing with one space between; a longer unit stands alone. Linear in the text."""
+    out: list[str] = []
+    held: list[str] = []
+    size = 0
+    for u in units:
+        if held and size + 1 + len(u) <= most:
+            held.append(u)
+            size += 1 + len(u)
+        else:
+            if held:
+                out.append(" ".join(held))
+            held, size = [u], len(u)
+    return out + ([" ".join(held)] if held else [])
+
+
+def _split(text: str, most: int) -> list[str]:
+    if len(text) <= most:
+        return [text]
+    out: list[str] = []
+    run: list[str] = []
+    for s in filter(None, _BREAK.split(text)):
+        if len(s) <= most:
+            run.append(s)
+            continue
+        out += _pack(run, most) + _pack([w for w in _WORDS.split(s) if w], most)
+        run = []
+    return out + _pack(run, most)
+
+
 def pack_units(units: Column, max_chars: int) -> Column:
-    """Greedy packing of an array of strings with one space between; a longer unit stands alone."""
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur"))
+    """Greedy packing of an array of strings with one space between; a longer unit stands alone.
+    What fits depends on all before, so an array is folded, in one pass in batches."""
 
-    def step(s: Column, x: Column) -> Column:
-        joined = F.concat_ws(" ", s["cur"], x)
-        fits = (s["cur"] != "") & (F.length(joined) <= max_chars)
-        grown = F.when(s["cur"] == "", s["out"]).otherwise(F.concat(s["out"], F.array(s["cur"])))
-        return F.struct(F.when(fits, s["out"]).otherwise(grown).alias("out"), F.when(fits, joined).otherwise(x).alias("cur"))
+    @F.pandas_udf("array<string>")
+    def packed(arrays: pd.Series) -> pd.Series:
+        return pd.Series([None if a is None else _pack(list(a), max_chars) for a in arrays], dtype=object)
 
-    return F.aggregate(units, start, step, lambda s: F.when(s["cur"] == "", s["out"]).otherwise(F.concat(s["out"], F.array(s["cur"]))))
+    return packed(units)
 
 
-def split_by_limit(text: Column, max_chars: int = MAX_CHARS) -> Column:
-    """Chunks of at most ``max_chars``: the text as it is if it fits, else sentences packed; a
-    longer sentence is packed by words and joins neither neighbour; a longer word stands alone.
+def split_all(texts: Column, max_chars: int = MAX_CHARS) -> Column:
+    """The chunks of all texts of an array, each as ``split_by_limit`` gives them."""
+
+    @F.pandas_udf("array<string>")
+    def chunks(arrays: pd.Series) -> pd.Series:
+        return pd.Series([None if a is None else [c for t in a if t is not None for c in _split(t, max_chars)] for a in arrays], dtype=object)
 
-    Runs of short sentences and each long one are parts of their own, so every part is one call
-    of ``pack_units``: an accumulator collects short sentences and closes them at a long one."""
-    parts = F.array_remove(F.split(text, SENTENCE_BREAK), "")
-    start = F.array().cast("array<array<string>>")
+    return chunks(texts)
 
-    def step(s: Column, x: Column) -> Column:
-        last = F.get(s, F.size(s) - 1)
-        open_run = (F.size(s) > 0) & (F.length(F.get(last, 0)) <= max_chars) & (F.length(x) <= max_chars)
-        longer = F.concat(F.slice(s, 1, F.size(s) - 1), F.array(F.concat(last, F.array(x))))
-        return F.when(open_run, longer).otherwise(F.concat(s, F.array(F.array(x))))
 
-    runs = F.aggregate(parts, start, step)
-    words = lambda r: F.array_remove(F.split(F.get(r, 0), r"(?U)\s+"), "")
-    packed = F.flatten(F.transform(runs, lambda r: pack_units(F.when(F.length(F.get(r, 0)) > max_chars, words(r)).otherwise(r), max_chars)))
-    return F.when(F.length(text) <= max_chars, F.array(text)).otherwise(packed)
+def split_by_limit(text: Column, max_chars: int = MAX_CHARS) -> Column:
+    """Chunks of at most ``max_chars``: the text as it is if it fits, else sentences packed; a
+    longer sentence is packed by words and joins neither neighbour; a longer word stands alone."""
+    return split_all(F.when(text.isNotNull(), F.array(text)), max_chars)
 
 
 def segment_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_chars: int = MAX_CHARS, paragraphs: Column | None = None) -> DataFrame:
@@ -52,8 +82,9 @@ def segment_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     is one paragraph."""
     given = paragraphs if paragraphs is not None else F.array(F.col(text))
     solid = F.filter(F.transform(given, strip), lambda x: x.isNotNull() & (x != ""))
-    chunks = F.filter(F.transform(F.flatten(F.transform(solid, lambda p: split_by_limit(p, max_chars))), strip), lambda x: x != "")
-    return docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(chunks).alias("i", "source")).select(
+    cut = docs.select(F.col(doc_id).alias("doc_id"), split_all(solid, max_chars).alias("chunks"))
+    trimmed = F.filter(F.transform("chunks", strip), lambda x: x != "")
+    return cut.select("doc_id", F.posexplode(trimmed).alias("i", "source")).select(
         "doc_id", (F.col("i") + 1).alias("index"), F.lit("paragraph").alias("segment_type"), "source",
         F.create_map().cast("map<string,string>").alias("llm_outputs"), F.lit("").alias("human_edit"), F.lit("pending").alias("status"), F.lit("").alias("reason"),
     )
@@ -121,19 +152,41 @@ def lines_to_paragraphs(lines: DataFrame, page: list[str], order: str = "line")
 
 
 def merge_fragments(paragraphs: Column, short: int = 40) -> Column:
-    """Pairs a short open paragraph with a lower-case one after it, once, from the front."""
+    """Pairs a short open paragraph with a lower-case one after it, once, from the front. Who may
+    pair is known of each paragraph and the one before; of a run of such, every other pair is
+    joined, so the array is read once."""
     solid = F.filter(F.transform(paragraphs, strip), lambda x: x != "")
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("open"))
-
-    def step(s: Column, x: Column) -> Column:
-        last = F.get(s["out"], F.size(s["out"]) - 1)
-        joins = s["open"] & x.rlike(r"^\p{Ll}")
-        both = F.concat(F.slice(s["out"], 1, F.size(s["out"]) - 1), F.array(segment_whitespace(F.concat_ws(" ", last, x))))
-        return F.struct(F.when(joins, both).otherwise(F.concat(s["out"], F.array(x))).alias("out"), F.when(joins, F.lit(False)).otherwise((F.length(x) < short) & ~ends_sentence(x)).alias("open"))
-
-    return F.aggregate(solid, start, step, lambda s: s["out"])
-
-
-def page_paragraphs(words: DataFrame, page: list[str]) -> DataFrame:
-    """Words of pages to paragraphs: lines, without headers and footers, then paragraphs."""
-    return lines_to_paragraphs(drop_headers_footers(words_to_lines(words, page), page), page)
+    before = lambda i: F.get(solid, i - 1)
+    may = F.transform(solid, lambda x, i: F.coalesce((i > 0) & (F.length(before(i)) < short) & ~ends_sentence(before(i)) & x.rlike(r"^\p{Ll}"), F.lit(False)))
+    pairs = F.arrays_zip(solid.alias("text"), may.alias("may"))
+
+    @F.pandas_udf("array<boolean>")
+    def joins(flags: pd.Series) -> pd.Series:
+        out = []
+        for own in flags:
+            done: list[bool] = []
+            for x in [] if own is None else own:
+                done.append(bool(x) and not (done and done[-1]))
+            out.append(None if own is None else done)
+        return pd.Series(out, dtype=object)
+
+    joined = joins(F.transform(pairs, lambda p: p["may"]))
+    return F.struct(solid.alias("text"), joined.alias("joins"))
+
+
+def merged(parts: Column) -> Column:
+    """The paragraphs of ``merge_fragments``, which has to be a column of its own by then."""
+    text, joins = parts["text"], parts["joins"]
+    whole = F.transform(text, lambda x, i: F.when(F.coalesce(F.get(joins, i + 1), F.lit(False)), segment_whitespace(F.concat_ws(" ", x, F.get(text, i + 1)))).otherwise(x))
+    return F.filter(whole, lambda _, i: ~F.get(joins, i))
+
+
+def page_paragraphs(words: DataFrame, doc_id: str = "doc_id", page: str = "page") -> DataFrame:
+    """Words of pages to the paragraphs of each document: lines, without headers and footers, then
+    paragraphs with fragments merged page by page, spaces put right, and pages one after another."""
+    rows = lines_to_paragraphs(drop_headers_footers(words_to_lines(words, [doc_id, page]), [doc_id, page]), [doc_id, page])
+    held = F.transform(F.array_sort(F.collect_list(F.struct("paragraph", "text"))), lambda x: x["text"])
+    pages = rows.groupBy(doc_id, page).agg(held.alias("held")).select(doc_id, page, merge_fragments(F.col("held")).alias("parts"))
+    spread = pages.select(doc_id, page, F.posexplode(merged(F.col("parts"))).alias("at", "text")).withColumn("text", segment_whitespace(F.col("text"))).where("text <> ''")
+    order = Window.partitionBy(doc_id).orderBy(page, "at")
+    return spread.select(doc_id, page, (F.row_number().over(order)).alias("paragraph"), "text")

@@ -224,29 +224,50 @@ def drop_headers_footers(spark, d):
     return segment.drop_headers_footers(R.page_lines(spark, d), ["doc_id"]).select("doc_id", "line", "text")
 
 
-@query(rf"""WITH {R.LINES}, {_PREDICATES},
+_PARAGRAPHS = rf"""{R.LINES}, {_PREDICATES},
 g AS (SELECT *, top - lag(bottom) OVER w AS gap, lag(x0) OVER w AS px, lag(heading) OVER w AS ph, lag(ends_sentence) OVER w AS pe, line = min(line) OVER (PARTITION BY doc_id) AS start FROM flags WINDOW w AS (PARTITION BY doc_id ORDER BY line)),
 h AS (SELECT *, greatest(6.0::DOUBLE, 2.2::DOUBLE * coalesce(median(gap) FILTER (WHERE gap BETWEEN 0 AND 40) OVER (PARTITION BY doc_id), 3.0::DOUBLE)) AS wide FROM g),
 k AS (SELECT *, sum(CASE WHEN start OR heading OR coalesce(ph, false) OR list_item OR coalesce((gap > wide OR x0 - px > 12) AND pe, false) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line) AS paragraph FROM h),
 j AS (SELECT doc_id, paragraph, coalesce(string_agg(t, chr(10) ORDER BY line) FILTER (WHERE t <> ''), '') AS x FROM k GROUP BY doc_id, paragraph),
-o AS (SELECT doc_id, paragraph, replace(regexp_replace(x, '-\n(\p{{Ll}})', '\1', 'g'), chr(10), ' ') AS x FROM j)
-SELECT doc_id, paragraph::BIGINT AS paragraph, regexp_replace(regexp_replace({_STRIP('x')}, '[ \t]+', ' ', 'g'), '\s+([,.;:!?])', '\1', 'g') AS text FROM o WHERE x <> ''""")
+o AS (SELECT doc_id, paragraph, replace(regexp_replace(x, '-\n(\p{{Ll}})', '\1', 'g'), chr(10), ' ') AS x FROM j),
+pp AS (SELECT doc_id, paragraph::BIGINT AS paragraph, regexp_replace(regexp_replace({_STRIP('x')}, '[ \t]+', ' ', 'g'), '\s+([,.;:!?])', '\1', 'g') AS text FROM o WHERE x <> '')"""
+
+
+@query(f"WITH {_PARAGRAPHS} SELECT doc_id, paragraph, text FROM pp")
 def lines_to_paragraphs(spark, d):
     return segment.lines_to_paragraphs(R.page_lines(spark, d), ["doc_id"])
 
 
-@query()
-def words_to_lines(spark, d):
+def _words(spark, d):
+    """Page words: of each text line, some out of line by a little or a lot, so lines are anchored."""
     lines = R.page_lines(spark, d)
     words = lines.select("doc_id", F.posexplode(text.tokens(F.col("text"))).alias("k", "text"), "top", "bottom", F.col("size_med").alias("size"))
-    return segment.words_to_lines(words.select("doc_id", "text", (F.col("k") * 10.0).alias("x0"), (F.col("k") * 10.0 + 8).alias("x1"), "top", "bottom", "size"), ["doc_id"])
+    shift = (F.col("k") % 3) * 1.2
+    return words.select("doc_id", "text", (F.col("k") * 10.0).alias("x0"), (F.col("k") * 10.0 + 8).alias("x1"), (F.col("top") + shift).alias("top"), (F.col("bottom") + shift).alias("bottom"), "size")
+
+
+@query()
+def words_to_lines(spark, d):
+    return segment.words_to_lines(_words(spark, d), ["doc_id"])
 
 
 @query()
+def page_paragraphs(spark, d):
+    """All of the page driver, with pages of forty lines."""
+    words = _words(spark, d).withColumn("page", F.floor(F.col("top") / 560).cast("int"))
+    return segment.page_paragraphs(words)
+
+
+@query(rf"""WITH {_PARAGRAPHS}, f1 AS (SELECT *, row_number() OVER w AS i, coalesce(length(lag(text) OVER w) < 40 AND NOT regexp_matches(regexp_replace(lag(text) OVER w, '[\s"'')\]}}»”’]+$', ''), '(\.\.\.|…|[.!?؟])$') AND regexp_matches(text, '^\p{{Ll}}'), false) AS may FROM pp WINDOW w AS (PARTITION BY doc_id ORDER BY paragraph)),
+r1 AS (SELECT *, i - max(CASE WHEN NOT may THEN i END) OVER (PARTITION BY doc_id ORDER BY i) AS nth FROM f1),
+j1 AS (SELECT *, may AND nth % 2 = 1 AS joined FROM r1),
+m1 AS (SELECT doc_id, i, joined, CASE WHEN lead(joined) OVER w THEN {_STRIP("text || ' ' || lead(text) OVER w")} ELSE text END AS x, coalesce(lead(joined) OVER w, false) AS whole FROM j1 WINDOW w AS (PARTITION BY doc_id ORDER BY i))
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INTEGER AS i, CASE WHEN whole THEN regexp_replace(regexp_replace(x, '[ \t]+', ' ', 'g'), '\s+([,.;:!?])', '\1', 'g') ELSE x END AS text FROM m1 WHERE NOT joined""")
 def merge_fragments(spark, d):
     rows = segment.lines_to_paragraphs(R.page_lines(spark, d), ["doc_id"])
     held = F.transform(F.array_sort(F.collect_list(F.struct("paragraph", "text"))), lambda x: x["text"])
-    return rows.groupBy("doc_id").agg(held.alias("p")).select("doc_id", F.posexplode(segment.merge_fragments(F.col("p"))).alias("i", "text"))
+    parts = rows.groupBy("doc_id").agg(held.alias("p")).select("doc_id", segment.merge_fragments(F.col("p")).alias("parts"))
+    return parts.select("doc_id", F.posexplode(segment.merged(F.col("parts"))).alias("i", "text"))
 
 
 # ---------------------------------------------------------------- memory

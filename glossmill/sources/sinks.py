@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import os
 import tempfile
 import uuid
 import zipfile
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossmill.functions.text import strip
+from glossmill.sources.files import EXTENSIONS
 
 
 class Staging:
@@ -128,6 +130,32 @@ def export_lines(segments: DataFrame, by: list[str]) -> DataFrame:
     return segments.select(*by, F.coalesce("index", F.lit(0)).alias("index"), export_text(F.col("human_edit"), F.col("llm_outputs")).alias("text")).where("text <> ''")
 
 
+def write_segments(segments: DataFrame, path: str) -> None:
+    """Segments in a folder for each document, so a scan of one document reads its folder only."""
+    segments.repartition("doc_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_id").parquet(path)
+
+
+def load_segments(spark: SparkSession, path: str, doc_id) -> DataFrame | None:
+    """The segments of one document, or None if there are none: partitions prune to its folder."""
+    rows = spark.read.parquet(path).where(F.col("doc_id") == F.lit(doc_id))
+    return None if rows.isEmpty() else rows
+
+
+def store_upload(spark: SparkSession, root: str, doc_id: str, name: str, data: bytes) -> str:
+    """Keeps an upload as ``original{ext}`` in its document's folder; its own name decides the
+    extension alone, which has to be one that is read."""
+    ext = os.path.splitext(name)[1].lower()
+    if ext not in EXTENSIONS:
+        raise ValueError(f"unsupported file type {ext!r}")
+    fs, p = _fs(spark, f"{root.rstrip('/')}/documents/{doc_id}/original{ext}")
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+    return str(p)
+
+
 FORMATS = ("docx",)
 
 

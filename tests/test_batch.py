@@ -127,3 +127,31 @@ def test_export_request(spark):
     assert [r.text for r in sinks.export_lines(rows, []).collect()] == ["own"]
     with pytest.raises(ValueError):
         sinks.export_request({"format": "odt"}, stored, "d")
+
+
+def test_segments_by_document(spark, tmp_path):
+    rows = spark.createDataFrame([(d, i, "x") for d in range(4) for i in range(d)], "doc_id int, index int, source string")
+    sinks.write_segments(rows, f"{tmp_path}/s")
+    assert sinks.load_segments(spark, f"{tmp_path}/s", 3).count() == 3 and sinks.load_segments(spark, f"{tmp_path}/s", 9) is None
+    plan = sinks.load_segments(spark, f"{tmp_path}/s", 3)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(doc_id" in plan
+
+
+def test_upload_and_draft(spark, tmp_path):
+    path = sinks.store_upload(spark, f"file://{tmp_path}", "d1", "../My File.DOCX", b"\x00\xffdata")
+    assert path.endswith("/documents/d1/original.docx") and (tmp_path / "documents/d1/original.docx").read_bytes() == b"\x00\xffdata"
+    with pytest.raises(ValueError):
+        sinks.store_upload(spark, f"file://{tmp_path}", "d1", "x.exe", b"")
+    segments = spark.createDataFrame([("a", 1, "", None), ("b", 2, "", "accept")], "id string, index int, human_edit string, status string")
+    drafts = spark.createDataFrame([("b", "new")], "id string, human_edit string")
+    got = {r.id: r for r in memory.save_drafts(segments, drafts, F.lit("2024-01-01 00:00:00"), ["index"]).collect()}
+    assert got["a"].status == "pending" and got["a"].last_saved_at is None and got["b"].human_edit == "new" and got["b"].status == "accept" and got["b"].last_saved_at.year == 2024
+
+
+def test_typed_rows_modes_and_errors(spark):
+    good = '{"source_text": "a", "language_pair": "en-ar", "llm_outputs": {"m": "x"}, "human_translation": "b", "score": 0.5, "timestamp": "t"}'
+    lines = [good, good.replace('"a"', "7"), good.replace("0.5", '"high"'), good.replace('"score": 0.5, ', ""), "{", ""]
+    got = curate.typed_rows(spark.createDataFrame([(x,) for x in lines], "value string")).collect()
+    assert len(got) == 1 and got[0].llm_outputs == {"m": "x"}
+    assert curate.by_mode(None) is curate.fallback_rules and curate.by_mode("REAL ", curate.stub_rules) is curate.stub_rules
+    assert spark.range(1).select(curate.error("not_found", "no such path").alias("e")).first().e.asDict() == {"code": "not_found", "message": "no such path"}

@@ -88,7 +88,7 @@ def test_split_by_limit(spark):
 
 
 def test_merge_fragments(spark):
-    row = spark.createDataFrame([(["Ab", "cd ef", "gh", "Done.", "x"],)], "p array<string>").select(segment.merge_fragments(F.col("p"))).first()
+    row = spark.createDataFrame([(["Ab", "cd ef", "gh", "Done.", "x"],)], "p array<string>").select(segment.merge_fragments(F.col("p")).alias("m")).select(segment.merged(F.col("m"))).first()
     assert row[0] == ["Ab cd ef", "gh", "Done.", "x"]
 
 
@@ -127,3 +127,37 @@ def test_validate_identical_is_rejected(spark):
     assert got[1] == ("reject", "human edit too similar to model output (similarity=1.000)")
     assert got[2][0] == "error"
     assert got[3][0] == "reject"
+
+
+def test_words_to_lines(spark):
+    """Against a fold by hand: a line's anchor is its first word, and words are in order of x."""
+    rng = random.Random(7)
+    words = [(d, f"w{i}", rng.random() * 500, rng.random() * 60) for d in (1, 2, 3) for i in range(80)]
+    df = spark.createDataFrame([(d, w, x, x + 5, t, t + 9, 10.0 + (i % 3)) for i, (d, w, x, t) in enumerate(words)], "doc_id int, text string, x0 double, x1 double, top double, bottom double, size double")
+    got = {(r.doc_id, r.line): (r.text, r.top, r.x0) for r in segment.words_to_lines(df, ["doc_id"]).collect()}
+    want = {}
+    for d in (1, 2, 3):
+        line, anchor = -1, None
+        held = {}
+        for _, w, x, t in sorted((v for v in words if v[0] == d), key=lambda v: (round(v[3], 1), v[2])):
+            if anchor is None or abs(t - anchor) > 2.5:
+                line, anchor = line + 1, t
+            held.setdefault(line, []).append((x, w, t))
+        for n, own in held.items():
+            want[d, n] = (" ".join(w for _, w, _ in sorted(own)), min(t for _, _, t in own), min(own)[0])
+    assert got == want
+
+
+def test_pages(spark):
+    """Pages come one after another, without their numbers, fragments merged within a page."""
+    rows = []
+    for page in (1, 2):
+        lines = ["Front matter of the paper here", "goes on in lower case, and ends.", "Second line of the text stands.", "A third one follows it closely.", "The fourth has nothing to add.", str(page)]
+        for n, t in enumerate(lines):
+            top = 100.0 * page * 0 + n * 40.0
+            rows += [(1, page, w, 10.0 * k, 10.0 * k + 8, top, top + 10, 10.0) for k, w in enumerate(t.split())]
+    df = spark.createDataFrame(rows, "doc_id int, page int, text string, x0 double, x1 double, top double, bottom double, size double")
+    got = [(r.paragraph, r.page, r.text) for r in segment.page_paragraphs(df).orderBy("paragraph").collect()]
+    assert [p for p, _, _ in got] == list(range(1, len(got) + 1)) and [p for _, p, _ in got] == sorted(p for _, p, _ in got)
+    assert not any(t in ("1", "2") for _, _, t in got)
+    assert "Front matter of the paper here goes on in lower case, and ends." in [t for _, _, t in got][0]
