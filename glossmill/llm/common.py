@@ -86,6 +86,11 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
         self.saved = [df for df in self.saved if not any(df is x for x in frames)]
 
+    def free_shuffles(self) -> None:
+        """Let go of the shuffle files of what has been written. Spark deletes them once the driver's
+        collector finds their plans unused, which on a roomy heap may be after the job."""
+        self.spark._jvm.java.lang.System.gc()
+
     def keep(self, *frames: DataFrame) -> None:
         """Delete all tables but these."""
         self.drop(*[df for df in self.saved if not any(df is x for x in frames)])
