@@ -478,6 +478,7 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         frequent = counts.where("word IS NOT NULL").orderBy(F.col("n").desc(), "word").limit(MIDDLE).toArrow()
         middle, middle_n = frequent.column("word").to_numpy(), frequent.column("n").to_numpy()
         scratch.drop(counts)
+        scratch.free_shuffles()
         rank = np.argsort(middle)  # of the words in the order of their hashes
         middle, middle_n = middle[rank], middle_n[rank]
         top = rank < HEAD
@@ -491,13 +492,17 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = pa.table({"word": pa.array(middle, pa.int64()), "n": pa.array(middle_n, pa.int64()), "class": pa.array(of.astype(np.int32), pa.int32())})
     words = scratch.save(rare_classes(contexts, context_worth(m)).union(spark.createDataFrame(rows, "word bigint, n bigint, class int")))
     scratch.drop(contexts)
+    scratch.free_shuffles()
     class_total, class_words = np.zeros(N_MODEL), np.zeros(N_MODEL)
     for r in words.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("k")).collect():
         class_total[r["class"]], class_words[r["class"]] = r["n"], r["k"]
     class_total[M_END], class_words[M_END] = ends_n, int(ends_n > 0)
     with batch_rows(spark, BLOCKS_A_BATCH):
         known = scratch.save(dictionaries(corpus).join(words, "word", "left").select("block", "word", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("class", F.lit(M_UNKNOWN)).alias("class")))
+    scratch.free_shuffles()
     entries = scratch.save(filled(known))
+    scratch.drop(known)
+    scratch.free_shuffles()
     with batch_rows(spark, BLOCKS_A_BATCH):
         scored = scratch.save(emissions(corpus.join(entries, "block", "left"), total, distinct, class_total, ends_n))
     moves_p = transitions(class_bigrams(scored), class_words)
