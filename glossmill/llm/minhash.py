@@ -38,6 +38,8 @@ from pyspark.sql import functions as F
 from glossmill.llm.common import Scratch, components, mix
 
 BATCH, BLOCK = 32, 64
+#: Items from which on a group names a hub; smaller ones are families of their own nearly always.
+HUB_ITEMS = 8
 #: Items of a group where outsiders meet a family or bucket; and the rows an item that a family's
 #: outsiders may cost when they meet all of it, about what the bands of an item cost at least.
 WIDE, ROWS_AN_ITEM = 8 * BLOCK, 32
@@ -204,8 +206,8 @@ class Block:
         return i[apart], j[apart]
 
     def links(self, band: int, least: list[int], similar: Callable[[int, int, int], bool]) -> list[tuple[int, int]]:
-        """Verified links between items not known to be connected; and the item that agrees most
-        with its candidates, as a link to itself."""
+        """Verified links between items not known to be connected; and, of HUB_ITEMS or more, the
+        item that agrees most with its candidates, as a link to itself."""
         i, j = self.candidates(band)
         sign = np.array(self.signs)
         same = np.zeros(len(i), np.int64)
@@ -213,7 +215,7 @@ class Block:
             same += (sign[i, t : t + BATCH] == sign[j, t : t + BATCH]).sum(1)
             stay = same >= least[min(t + BATCH, sign.shape[1])]
             i, j, same = i[stay], j[stay], same[stay]
-        agreed = np.bincount(np.r_[i, j], np.r_[same, same], len(self.nodes))
+        agreed = np.bincount(np.r_[i, j], np.r_[same, same], len(self.nodes)) if len(self.nodes) >= HUB_ITEMS else np.zeros(1)
         parent = {x: x for x in self.labels}
 
         def find(x: int) -> int:
