@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from glossmill.llm.common import Scratch, batch_rows, chunks, signed, text_bytes, word_bounds, word_hashes
 
-HEAD, MIDDLE, PASSES, CLASSES, SWEEPS, DISCOUNT = 2048, 8192, 3, 64, 8, 0.5
+HEAD, MIDDLE, PASSES, CLASSES, SWEEPS, DISCOUNT = 1024, 8192, 3, 64, 8, 0.5
 BLOCK, MERGE, BLOCKS_A_BATCH, TEXTS_A_BATCH = 1_000_000, 6_000_000, 4, 256
 # classes from 0 on: of the head and middle words; then other words while these are clustered, then
 # the end of a text
