@@ -7,8 +7,9 @@ pieces where the vocabulary has them. (For a file of merge ranks the scores are
 ranks. The library's merge order is another rule and can give other ids for such a file.)
 
 The trellis is a window: positions before the last boundary that every surviving backpointer
-path shares are committed and forgotten, so its length is bounded by the longest piece and the
-spread of the paths, whatever the length of the text. Where no piece crosses a position, that
+path shares are committed and forgotten. It is looked for each time that the window has grown by
+the longest piece's length beyond twice that, so the window is bounded by three such lengths and
+the spread of the paths, whatever the length of the text. Where no piece crosses a position, that
 position is such a boundary at once. Runs between characters that pieces can't cross are thus
 decided alone, and their ids are kept in a bounded table, so that a frequent word costs a lookup.
 
@@ -52,7 +53,7 @@ class Viterbi:
     def segment(self, text: str) -> list[str]:
         """Pieces in order. Ties go to the longest last piece."""
         known, unknown, longest = self.known, self.unknown, self.longest
-        n, base, reach, at = len(text), 0, 0, 0
+        n, base, reach, at, look = len(text), 0, 0, 0, 2 * longest
         best: list[float] = [0.0]  # of positions base, base + 1, .. reach
         back: list[int] = [0]
         out: list[str] = []
@@ -84,7 +85,9 @@ class Viterbi:
                 if s > best[j - base]:
                     best[j - base], back[j - base] = s, at
             at += 1
-            cut = at if reach == at else self._shared(back, base, at, reach) if at - base > 4 * longest else base
+            cut = at if reach == at else base
+            if cut == base and at >= look:  # once a piece's length, so the window is looked through in linear time
+                cut, look = self._shared(back, base, at, reach), at + longest
             if cut > base:
                 path, end = [], cut
                 while end > base:
@@ -93,6 +96,7 @@ class Viterbi:
                 out += path[::-1]
                 del best[: cut - base], back[: cut - base]
                 base = cut
+                look = max(look, base + 2 * longest)
         return out
 
     @staticmethod
