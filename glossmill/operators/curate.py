@@ -70,6 +70,28 @@ def with_judges(items: DataFrame, meaning: Column | None = None, quality: Column
     return items.withColumns({"meaning": F.coalesce(meaning if meaning is not None else one, one), "quality": F.coalesce(quality if quality is not None else one, one)})
 
 
+def judge_prompts(items: DataFrame, key: str = "item_id", t: Thresholds = Thresholds()) -> DataFrame:
+    """items with what a judge is asked, for judges that are models: ``meaning_prompt`` about source
+    and edit, and ``quality_prompt`` about the outputs and the edit, which asks for more where the
+    edit is closer to an output than ``strict``. ``judge_reply`` reads the answers."""
+    near = F.coalesce("max_similarity", F.lit(0.0)) > t.strict
+    outputs = F.array_join(F.transform(F.array_sort(F.map_entries("llm_outputs")), lambda e: F.concat(e["key"], F.lit(": "), F.coalesce(e["value"], F.lit("")))), "\n")
+    said = lambda c: F.coalesce(F.col(c), F.lit(""))
+    ask = F.concat(F.lit("Source: "), said("source"), F.lit("\nTranslation: "), said("human_edit"))
+    better = F.concat(F.lit("Source: "), said("source"), F.lit("\n"), outputs, F.lit("\nHuman: "), said("human_edit"))
+    strict = F.when(near, F.lit("\nThe human text is close to an output: it has to mend a plain fault or read far better.")).otherwise("")
+    scored = items if "max_similarity" in items.columns else items.join(model_scores(items, key).select(key, "max_similarity"), key, "left")
+    return scored.withColumns({"meaning_prompt": F.concat(ask, F.lit("\nIs the whole meaning kept? 1 or 0.")), "quality_prompt": F.concat(better, strict, F.lit("\nIs the human text better than each output? 1 or 0."))})
+
+
+def warm_memory(existing: DataFrame, accepted: DataFrame, embed: Column | None = None) -> DataFrame:
+    """The memory of vectors (id, item_id, text, v) with the sentences of accepted rows (item_id,
+    human_translation) that it doesn't hold yet; blank translations have none."""
+    spoken = accepted.where(strip(F.col("human_translation")) != "").select("item_id", F.posexplode(sentences(F.col("human_translation"))).alias("pos", "text"))
+    new = spoken.select(F.xxhash64("item_id", "pos").alias("id"), "item_id", "text").join(existing.select("id"), "id", "left_anti")
+    return existing.select("id", "item_id", "text", "v").union(embedded(new, "text", embed).select("id", "item_id", "text", "v"))
+
+
 def embedded(rows: DataFrame, text: str, embed: Column | None = None, out: str = "v", dims: int = 64) -> DataFrame:
     """rows with unit vectors of a text in ``out``: from ``embed``, any Column of arrays, such as a
     pandas UDF around a model; by default hashed character trigrams, which need none."""

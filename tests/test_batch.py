@@ -155,3 +155,15 @@ def test_typed_rows_modes_and_errors(spark):
     assert len(got) == 1 and got[0].llm_outputs == {"m": "x"}
     assert curate.by_mode(None) is curate.fallback_rules and curate.by_mode("REAL ", curate.stub_rules) is curate.stub_rules
     assert spark.range(1).select(curate.error("not_found", "no such path").alias("e")).first().e.asDict() == {"code": "not_found", "message": "no such path"}
+
+
+def test_judge_prompts_and_warm_memory(spark):
+    out = {"b": "second", "a": "first"}
+    rows = items_of(spark, [(1, "src", out, "first", None, None), (2, "src", out, "wholly other words", None, None), (3, None, {}, None, None, None)])
+    by = {r.item_id: r for r in curate.judge_prompts(rows).collect()}
+    assert by[1].quality_prompt.index("a: first") < by[1].quality_prompt.index("b: second") and "mend a plain fault" in by[1].quality_prompt
+    assert "mend a plain fault" not in by[2].quality_prompt and "src" in by[2].meaning_prompt and by[3].quality_prompt is not None
+    empty = sinks.load_vectors(spark, "file:///nowhere/at/all")
+    accepted = spark.createDataFrame([(1, "One. Two!"), (2, "  "), (3, None)], "item_id bigint, human_translation string")
+    first = curate.warm_memory(empty, accepted)
+    assert sorted(r.text for r in first.collect()) == ["One", "Two"] and curate.warm_memory(first, accepted).count() == 2
