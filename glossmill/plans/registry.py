@@ -184,13 +184,18 @@ def segment_document(spark, d):
     return segment.segment_documents(table(spark, d, "documents")).select("doc_id", "index", "segment_type", "source", "status")
 
 
-@query(r"""WITH t AS (SELECT doc_id, regexp_replace(replace(text, chr(10), chr(13) || chr(10) || ' ' || chr(10)), '[ \t]+', ' ', 'g') AS t FROM documents),
+@query(rf"""WITH RECURSIVE t AS (SELECT doc_id, regexp_replace(replace(text, chr(10), chr(13) || chr(10) || ' ' || chr(10)), '[ \t]+', ' ', 'g') AS t FROM documents),
 u AS (SELECT doc_id, replace(replace(t, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM t),
-p AS (SELECT doc_id, list_filter(list_transform(string_split_regex(t, '\n\s*\n+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ps FROM u WHERE regexp_matches(t, '\n\s*\n'))
-SELECT doc_id, (generate_subscripts(ps, 1) - 1)::INTEGER AS i, unnest(ps) AS paragraph FROM p""")
+p AS (SELECT doc_id, list_filter(list_transform(string_split_regex(t, '\n\s*\n+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ps FROM u WHERE regexp_matches(t, '\n\s*\n')),
+z AS (SELECT doc_id, list_filter(string_split(regexp_replace({_STRIP('t')}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS ss FROM u WHERE NOT regexp_matches(t, '\n\s*\n') AND {_STRIP('t')} <> ''),
+e AS (SELECT doc_id, unnest(ss) AS x, generate_subscripts(ss, 1) AS i FROM z),
+g AS (SELECT doc_id, i, x AS cur, 0::BIGINT AS chunk FROM e WHERE i = 1 UNION ALL
+  SELECT e.doc_id, e.i, CASE WHEN length(g.cur) + 1 + length(e.x) <= 850 THEN g.cur || ' ' || e.x ELSE e.x END, CASE WHEN length(g.cur) + 1 + length(e.x) <= 850 THEN g.chunk ELSE g.chunk + 1 END
+  FROM g JOIN e ON e.doc_id = g.doc_id AND e.i = g.i + 1)
+SELECT doc_id, (generate_subscripts(ps, 1) - 1)::INTEGER AS i, unnest(ps) AS paragraph FROM p UNION ALL SELECT doc_id, chunk::INTEGER, arg_max(cur, g.i) FROM g GROUP BY doc_id, chunk""")
 def paragraph_split(spark, d):
-    """The branch of blank lines: each line end is made one."""
-    docs = table(spark, d, "documents").withColumn("t", F.replace("text", F.lit("\n"), F.lit("\r\n \n"))).where(F.contains("text", F.lit("\n")))
+    """Each line end is made a blank line; texts without one are packed by sentences."""
+    docs = table(spark, d, "documents").withColumn("t", F.replace("text", F.lit("\n"), F.lit("\r\n \n")))
     return docs.select("doc_id", F.posexplode(segment.split_paragraphs(F.col("t"))).alias("i", "paragraph"))
 
 
