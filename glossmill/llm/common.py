@@ -290,18 +290,50 @@ def signed(x: np.ndarray) -> np.ndarray:
 FEW_EDGES, EDGES_A_TASK = 1_000_000, 50_000
 
 
+def contracted(edges: DataFrame, held: int = 1_000_000) -> DataFrame:
+    """Edges (a, b) of the same components, with those of each task as a star around the smallest
+    node: what can be united without a shuffle is, and paths are short from then on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        def star():
+            rows = [(x, find(x)) for x in list(parent)]
+            rows = [(x, r) for x, r in rows if x != r]
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.int64()), pa.array([r for _, r in rows], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                p, q = find(a), find(b)
+                if p != q:
+                    parent[max(p, q)] = min(p, q)
+            if len(parent) > held:
+                yield star()
+                parent.clear()
+        if parent:
+            yield star()
+
+    return edges.select("a", "b").mapInArrow(run, "a bigint, b bigint")
+
+
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """(node, root) for each node of edges(a, b): root is the smallest node that it reaches.
 
     Distributed union-find by alternating large-star and small-star steps (Kiveris et al. 2014):
     each step is a grouping over the edges, whose number doesn't grow, and the rounds grow with
     the logarithm of the longest path. The minimum of a hot node is pre-aggregated; its edges
-    aren't gathered. No step sends nodes to the driver, only a count and a checksum. Up to
-    FEW_EDGES edges the minima are broadcast and tasks are few; beyond that they are joined by a
-    shuffle over all partitions.
+    aren't gathered; each task first unites what it holds. No step sends nodes to the driver, only
+    a count and a checksum. Up to FEW_EDGES edges the minima are broadcast and tasks are few; beyond
+    that they are joined by a shuffle over all partitions.
     """
     state = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    n, seen = state.count(), None
+    n = state.count()
     few = n <= FEW_EDGES
     tasks = -(-n // EDGES_A_TASK) or 1
 
@@ -321,11 +353,17 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
         pairs = F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))
         return narrow(e.select(F.explode(pairs).alias("s")).select("s.*").where("a <> b").distinct())
 
+    def print_of(e: DataFrame):
+        return e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+
+    first = scratch.save(contracted(narrow(state)))
+    scratch.drop(state)
+    state, seen = first, print_of(first)
     while True:  # ends: each round but the last lowers the sum of the ends of edges
         new = scratch.save(small(large(state)))
         scratch.drop(state)
         state = new
-        now = state.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        now = print_of(state)
         if now == seen or not now[0]:
             break
         seen = now

@@ -40,6 +40,8 @@ from glossmill.llm.common import Scratch, components, mix
 BATCH, BLOCK = 32, 64
 #: Items from which on a group names a hub; smaller ones are families of their own nearly always.
 HUB_ITEMS = 8
+#: Items that are held before their groups are compared, and pairs compared at once.
+HELD, PAIRS = 1024, 1 << 15
 #: Items of a group where outsiders meet a family or bucket; and the rows an item that a family's
 #: outsiders may cost when they meet all of it, about what the bands of an item cost at least.
 WIDE, ROWS_AN_ITEM = 8 * BLOCK, 32
@@ -127,7 +129,8 @@ def band_edges(items: DataFrame, parts: int) -> DataFrame:
             if len(keys):
                 yield rows((keys.view(np.uint64) % np.uint64(parts)).astype(np.int64), False, np.column_stack([keys, least]))
             if len(ties):
-                ties = np.unique(ties, axis=0)
+                ties = ties[np.lexsort((ties[:, 1], ties[:, 0]))]
+                ties = ties[np.r_[True, (ties[1:] != ties[:-1]).any(1)]]
                 yield rows((ties[:, 0].view(np.uint64) % np.uint64(parts)).astype(np.int64), True, ties)
 
         for batch in batches:
@@ -171,7 +174,7 @@ def band_edges(items: DataFrame, parts: int) -> DataFrame:
 
 
 class Block:
-    """Items of a group, in memory: their sets and signatures."""
+    """Items in memory, group after group: their sets and signatures."""
 
     def __init__(self) -> None:
         self.nodes: list[int] = []
@@ -180,34 +183,42 @@ class Block:
         self.sets: list[np.ndarray] = []
         self.signs: list[np.ndarray] = []
         self.bands: list[np.ndarray] = []
+        self.begins: list[int] = []
+
+    def pairs(self, band: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of places in one group, some at a time. Items of side 1 meet those of side 0; where no
+        item of a group is of side 1, all meet. Groups of a size are paired in one step."""
+        begins, side = np.array(self.begins), np.array(self.sides)
+        sizes = np.diff(np.append(begins, len(side)))
+        two = np.add.reduceat(side, begins) > 0
+        for b, n in zip(begins[two].tolist(), sizes[two].tolist(), strict=True):
+            own = side[b : b + n]
+            left, right = b + np.flatnonzero(own == 1), b + np.flatnonzero(own == 0)
+            yield np.repeat(left, len(right)), np.tile(right, len(left))
+        for n in np.unique(sizes[~two & (sizes > 1)]).tolist():
+            i, j = np.triu_indices(n, 1)
+            of = begins[~two & (sizes == n)]
+            step = max(1, PAIRS // len(i))
+            for x in range(0, len(of), step):
+                yield (of[x : x + step, None] + i).reshape(-1), (of[x : x + step, None] + j).reshape(-1)
 
     def candidates(self, band: int) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of places that share a band, or share ``band`` as their first, and are not known
-        to be connected. Items of side 1 meet those of side 0; where no item is of side 1, all meet."""
-        two = any(self.sides)
-        side = np.array(self.sides)
-        left, right = (np.flatnonzero(side == 1), np.flatnonzero(side == 0)) if two else (np.arange(len(side)),) * 2
-        bands = np.array(self.bands)
-        upto = bands.shape[1] if band < 0 else band
-        if len(left) * len(right) * upto < 1 << 16:
-            share = (bands[left, None, :upto] == bands[None, right, :upto]).any(2)
-        else:
-            share = np.zeros((len(left), len(right)), bool)
-            for b in range(upto):
-                share |= bands[left, b][:, None] == bands[right, b][None, :]
-        if band >= 0:
-            share = (bands[left, band][:, None] == bands[right, band][None, :]) & ~share
-        i, j = np.nonzero(share)
-        i, j = left[i], right[j]
-        labels = np.array(self.labels)
-        apart = labels[i] != labels[j]
-        if not two:
-            apart &= i < j
-        return i[apart], j[apart]
+        """Those that share a band, or share ``band`` as their first, and aren't known to be connected."""
+        bands, labels = np.array(self.bands), np.array(self.labels)
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for i, j in self.pairs(band):
+            apart = labels[i] != labels[j]
+            i, j = i[apart], j[apart]
+            if band < 0:
+                stay = (bands[i] == bands[j]).any(1)
+            else:
+                stay = (bands[i, band] == bands[j, band]) & ~(bands[i, :band] == bands[j, :band]).any(1)
+            out.append((i[stay], j[stay]))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
     def links(self, band: int, least: list[int], similar: Callable[[int, int, int], bool]) -> list[tuple[int, int]]:
-        """Verified links between items not known to be connected; and, of HUB_ITEMS or more, the
-        item that agrees most with its candidates, as a link to itself."""
+        """Verified links between items not known to be connected; and, of a group of HUB_ITEMS or
+        more, the item that agrees most with its candidates, as a link to itself."""
         i, j = self.candidates(band)
         sign = np.array(self.signs)
         same = np.zeros(len(i), np.int64)
@@ -215,11 +226,11 @@ class Block:
             same += (sign[i, t : t + BATCH] == sign[j, t : t + BATCH]).sum(1)
             stay = same >= least[min(t + BATCH, sign.shape[1])]
             i, j, same = i[stay], j[stay], same[stay]
-        agreed = np.bincount(np.r_[i, j], np.r_[same, same], len(self.nodes)) if len(self.nodes) >= HUB_ITEMS else np.zeros(1)
-        parent = {x: x for x in self.labels}
+        agreed = np.bincount(np.r_[i, j], np.r_[same, same], len(self.nodes))
+        parent: dict[int, int] = {}
 
         def find(x: int) -> int:
-            while parent[x] != x:
+            while parent.setdefault(x, x) != x:
                 parent[x] = parent[parent[x]]
                 x = parent[x]
             return x
@@ -234,8 +245,9 @@ class Block:
             if similar(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b)):
                 parent[max(p, q)] = min(p, q)
                 out.append((self.nodes[x], self.nodes[y]))
-        if agreed.any():
-            out.append((self.nodes[int(agreed.argmax())],) * 2)
+        for b, e in zip(self.begins, [*self.begins[1:], len(self.nodes)], strict=True):
+            if e - b >= HUB_ITEMS and agreed[b:e].any():
+                out.append((self.nodes[b + int(agreed[b:e].argmax())],) * 2)
         return out
 
 
@@ -247,7 +259,7 @@ def _blocks(rows: DataFrame, sets: Sets, n_hashes: int, band_rows: int, least: l
     ``band`` is that of a bucket, or -1 for a group of any candidates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, of, block = None, -1, Block()
+        now, of, block = None, -1, Block()  # groups of one band, or of none, are taken together
 
         def out(links):
             return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
@@ -260,16 +272,18 @@ def _blocks(rows: DataFrame, sets: Sets, n_hashes: int, band_rows: int, least: l
             columns = [batch.column(c).to_pylist() for c in ("band", "node", "label", "side")]
             for x, (key, band, node, label, side) in enumerate(zip(group, *columns, strict=True)):
                 if key != now:
-                    if len(block.nodes) > 1:
+                    if len(block.nodes) >= HELD or band != of and block.nodes:
                         yield out(block.links(of, least, similar))
-                    now, of, block = key, band, Block()
+                        block = Block()
+                    now, of = key, band
+                    block.begins.append(len(block.nodes))
                 block.nodes.append(node)
                 block.labels.append(label)
                 block.sides.append(side)
                 block.sets.append(hashes[begins[x] : begins[x + 1]])
                 block.signs.append(signs[x])
                 block.bands.append(bands[x])
-        if len(block.nodes) > 1:
+        if block.nodes:
             yield out(block.links(of, least, similar))
 
     return rows.select(*GROUP, "band", "node", "label", "side", "text").repartition(*GROUP).sortWithinPartitions(*GROUP, "node").mapInArrow(run, EDGES)
