@@ -290,34 +290,45 @@ def signed(x: np.ndarray) -> np.ndarray:
 FEW_EDGES, EDGES_A_TASK = 1_000_000, 50_000
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) of the nodes of edges that aren't the smallest of their component: roots are
+    hooked to smaller ones and paths halved until no edge joins two roots."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, parent = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while True:
+        p, q = parent[x], parent[y]
+        apart = p != q
+        if not apart.any():
+            break
+        np.minimum.at(parent, np.maximum(p, q)[apart], np.minimum(p, q)[apart])
+        while True:
+            up = parent[parent]
+            if (up == parent).all():
+                break
+            parent = up
+    own = parent != np.arange(len(nodes))
+    return nodes[own], nodes[parent[own]]
+
+
 def contracted(edges: DataFrame, held: int = 1_000_000) -> DataFrame:
-    """Edges (a, b) of the same components, with those of each task as a star around the smallest
-    node: what can be united without a shuffle is, and paths are short from then on."""
+    """Edges (a, b) of the same components, with those of each task, or of each ``held`` that it has,
+    as stars around smallest nodes: what can be united without a shuffle is, and paths are short."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parent: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while parent.setdefault(x, x) != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
+        parts, n = [], 0
 
-        def star():
-            rows = [(x, find(x)) for x in list(parent)]
-            rows = [(x, r) for x, r in rows if x != r]
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.int64()), pa.array([r for _, r in rows], pa.int64())], names=["a", "b"])
+        def out():
+            found = stars(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["a", "b"])
 
         for batch in batches:
-            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                p, q = find(a), find(b)
-                if p != q:
-                    parent[max(p, q)] = min(p, q)
-            if len(parent) > held:
-                yield star()
-                parent.clear()
-        if parent:
-            yield star()
+            parts.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            n += len(batch)
+            if n >= held:
+                yield out()
+                parts, n = [], 0
+        if n:
+            yield out()
 
     return edges.select("a", "b").mapInArrow(run, "a bigint, b bigint")
 
@@ -329,8 +340,8 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     each step is a grouping over the edges, whose number doesn't grow, and the rounds grow with
     the logarithm of the longest path. The minimum of a hot node is pre-aggregated; its edges
     aren't gathered; each task first unites what it holds. No step sends nodes to the driver, only
-    a count and a checksum. Up to FEW_EDGES edges the minima are broadcast and tasks are few; beyond
-    that they are joined by a shuffle over all partitions.
+    a count and a checksum. Up to FEW_EDGES edges one task unites them all, which a round confirms;
+    beyond that minima are joined by a shuffle over all partitions.
     """
     state = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     n = state.count()
@@ -356,7 +367,7 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     def print_of(e: DataFrame):
         return e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
 
-    first = scratch.save(contracted(narrow(state)))
+    first = scratch.save(contracted(state.coalesce(1) if few else state))  # FEW_EDGES fit a task
     scratch.drop(state)
     state, seen = first, print_of(first)
     while True:  # ends: each round but the last lowers the sum of the ends of edges

@@ -58,6 +58,16 @@ def test_union_find(spark, monkeypatch):
         assert {r.node: r.root for r in got.collect()} == want
 
 
+def test_stars():
+    rng = np.random.default_rng(2)
+    for _ in range(100):
+        a, b = rng.integers(-9, 30, (2, rng.integers(1, 40)))
+        node, root = common.stars(a, b)
+        pairs = set(zip(a.tolist(), b.tolist()))
+        want = components(sorted({*a.tolist(), *b.tolist()}), lambda x, y: (x, y) in pairs or (y, x) in pairs)
+        assert dict(zip(node.tolist(), root.tolist())) == {x: r for x, r in want.items() if x != r}
+
+
 def test_posterior_bounds():
     least = minhash.least_matches(128, 0.8, 1e-6)
     assert least[128] == max(least) and 75 <= least[128] <= 90 and least[7] == 0
