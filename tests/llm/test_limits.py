@@ -1,8 +1,8 @@
-"""What is sent through the driver."""
+"""What is sent through the driver, and steps that take many pairs at once."""
 
 import numpy as np
 
-from glossmill.llm import common
+from glossmill.llm import common, minhash
 
 
 def test_components_send_nothing_through_the_driver(spark, monkeypatch):
@@ -33,3 +33,15 @@ def test_components_send_nothing_through_the_driver(spark, monkeypatch):
 def test_tables_of_many_mb_are_not_sent(spark):
     assert common.small_enough(spark.range(100_000), 64)
     assert not common.small_enough(spark.range(400_000), 64)
+
+
+def test_pairs_are_verified_as_one_by_one():
+    rng = np.random.default_rng(5)
+    block = minhash.Block()
+    for n in [1, 3, 40, 40, 40, 200, 0, 90]:
+        block.sets.append(np.unique(rng.integers(0, 120, n).astype(np.uint64)))
+    i, j = np.triu_indices(len(block.sets), 1)
+    for percent in (1, 20, 80):
+        want = [100 * len(a) >= percent * len(b) for a, b in ((np.intersect1d(block.sets[x], block.sets[y]), np.union1d(block.sets[x], block.sets[y])) for x, y in zip(i, j))]
+        got = block.verified(i, j, lambda c, a, b: 100 * c >= percent * (a + b - c))
+        assert got.tolist() == want
