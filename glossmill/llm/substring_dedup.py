@@ -240,12 +240,14 @@ def loose(pos: np.ndarray, source: np.ndarray, spans: list[tuple[int, int]], k:
 
 def before(scratch: Scratch, seeds: DataFrame) -> DataFrame:
     """(place, source) from seeds(place, source), where the source names a seed: each with its place in
-    the document before that has it. Of a seed with many holders this is one before in a part of them."""
+    a document before that has it: the last one, or of a seed with many holders the last one in a
+    part of them, and the first of all for the first of a part, so that each but the first has one."""
     held = scratch.save(seeds.groupBy("source", document("place").alias("doc")).agg(F.min("place").alias("place")).drop("doc"))
-    many = held.groupBy("source").agg(F.count("*").alias("n")).where("n > 1")
+    many = held.groupBy("source").agg(F.count("*").alias("n"), F.min("place").alias("least")).where("n > 1")
     salted = held.join(many, "source").withColumn("salt", F.pmod(F.xxhash64(document("place")), F.ceil(F.col("n") / HOLDERS)))
     last = F.lag("place").over(Window.partitionBy("source", "salt").orderBy("place"))
-    return salted.withColumn("b", last).where(document("b") != document("source")).select("place", F.col("b").alias("source"))
+    with_one = salted.withColumn("b", F.coalesce(last, "least")).where(document("b") < document("place"))
+    return with_one.where(document("b") != document("source")).select("place", F.col("b").alias("source"))
 
 
 def chains(found: DataFrame, k: int = K, w: int = W, size: int = 0, max_gap: int = MAX_GAP, cost: float = GAP_COST, least: int = LEAST_SEED_WORDS) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from glossmill.llm import common, minhash
+from glossmill.llm import common, minhash, substring_dedup
 
 
 def test_components_send_nothing_through_the_driver(spark, monkeypatch):
@@ -45,3 +45,12 @@ def test_pairs_are_verified_as_one_by_one():
         want = [100 * len(a) >= percent * len(b) for a, b in ((np.intersect1d(block.sets[x], block.sets[y]), np.union1d(block.sets[x], block.sets[y])) for x, y in zip(i, j))]
         got = block.verified(i, j, lambda c, a, b: 100 * c >= percent * (a + b - c))
         assert got.tolist() == want
+
+
+def test_each_holder_of_a_seed_has_a_partner_before(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HOLDERS", 3)
+    at = substring_dedup.POS_BITS
+    rows = [(doc << at | 5, 7) for doc in range(10, 50)] + [(60 << at, 8)]
+    got = substring_dedup.before(common.Scratch(spark, "test"), spark.createDataFrame(rows, "place bigint, source bigint")).collect()
+    assert sorted(r["place"] >> at for r in got) == list(range(11, 50))
+    assert all(10 <= r["source"] >> at < r["place"] >> at for r in got)
