@@ -1,8 +1,10 @@
 """What is sent through the driver, and steps that take many pairs at once."""
 
+import hashlib
+
 import numpy as np
 
-from glossmill.llm import common, minhash, substring_dedup
+from glossmill.llm import common, line_dedup, minhash, substring_dedup
 
 
 def test_components_send_nothing_through_the_driver(spark, monkeypatch):
@@ -54,3 +56,23 @@ def test_each_holder_of_a_seed_has_a_partner_before(spark, monkeypatch):
     got = substring_dedup.before(common.Scratch(spark, "test"), spark.createDataFrame(rows, "place bigint, source bigint")).collect()
     assert sorted(r["place"] >> at for r in got) == list(range(11, 50))
     assert all(10 <= r["source"] >> at < r["place"] >> at for r in got)
+
+
+def test_marks_of_lines_are_sent_for_neighbouring_ids_together(spark, monkeypatch):
+    """2,000 documents lose a line: with 64 bytes for each the texts would be shuffled."""
+    rows = [(i, f"{hashlib.md5(str(i).encode()).hexdigest()}\nA line that all of them have." + "\nNo line of theirs." * (i % 3 == 0)) for i in [*range(-900, 1_100), 1 << 40, -(1 << 62)]]
+    rows += [(None, "A line that all of them have."), (5_000, None), (5_001, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    first = min(r[0] for r in rows if r[0] is not None)
+    marked = {i: [x == 1 and i != first or x == 2 and i != -900 for x in range(t.count("\n") + 1)] for i, t in rows if i is not None and t}
+    want = {(i, t, 0) if i not in marked else (i, "\n".join(x for x, gone in zip(t.split("\n"), marked[i], strict=True) if not gone), sum(marked[i])) for i, t in rows}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for most, sent in ((80_000, True), (0, False)):
+            monkeypatch.setattr(common, "SENT_BYTES", most)
+            out = line_dedup.dedup_lines(docs)
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert ("BroadcastHashJoin" in plan, "SortMergeJoin" in plan) == (sent, not sent)
+            assert {(r.doc_id, r.text, r.lines_removed) for r in out.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
