@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -18,6 +19,26 @@ DASHES = "–—−_‑"
 LATIN_DASHES = "–—−‒_‑"
 EMOJI = r"[\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}]"
 REPEATED = r"([?.!,;:])\1+"
+#: Rows of an Arrow batch of texts; values of it that are Python objects at once.
+BATCH_ROWS, SLICE_ROWS = 256, 64
+
+
+def small_batches() -> None:
+    """Arrow batches of BATCH_ROWS rows at most for texts that go through Python, so that what a
+    worker holds doesn't grow with the table. Plans run later, so it holds for the session."""
+    spark, key = SparkSession.getActiveSession(), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark is not None and not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def by_slices(column: pa.Array, f: Callable, kind: pa.DataType) -> pa.Array:
+    """f of each value, null for null. Some values at a time become Python objects, so that a batch
+    costs little more than its bytes, whatever its texts hold."""
+    out = []
+    for x in range(0, len(column), SLICE_ROWS):
+        values = column.slice(x, SLICE_ROWS).to_pylist()
+        out.append(pa.array([None if v is None else f(v) for v in values], kind))
+    return pa.concat_arrays(out) if out else pa.array([], kind)
 
 
 def strip(c: Column) -> Column:
@@ -39,10 +60,15 @@ def normalize_arabic(c: Column) -> Column:
     return collapse(F.regexp_replace(F.regexp_replace(out, EMOJI, ""), "-+", "-"))
 
 
-@F.pandas_udf(StringType())
-def nfc(s: pd.Series) -> pd.Series:
+@F.arrow_udf(StringType())
+def _nfc(s: pa.Array) -> pa.Array:
+    return by_slices(s, lambda x: unicodedata.normalize("NFC", x), pa.string())
+
+
+def nfc(c: Column) -> Column:
     """Unicode composition, which has no built-in."""
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+    small_batches()
+    return _nfc(c)
 
 
 def latin_steps(c: Column) -> Column:
