@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossmill.functions.text import ends_sentence, is_heading, join_lines, looks_like_list_item, segment_whitespace, strip
+from glossmill.functions.text import by_slices, ends_sentence, is_heading, join_lines, looks_like_list_item, segment_whitespace, small_batches, strip
 
 MAX_CHARS, BLOCK_CHARS, LINE_TOLERANCE = 1200, 850, 2.5
 SENTENCE_BREAK = r"(?U)(?<=[.!?])\s+"
@@ -63,10 +64,11 @@ def pack_units(units: Column, max_chars: int) -> Column:
 def split_all(texts: Column, max_chars: int = MAX_CHARS) -> Column:
     """The chunks of all texts of an array, each as ``split_by_limit`` gives them."""
 
-    @F.pandas_udf("array<string>")
-    def chunks(arrays: pd.Series) -> pd.Series:
-        return pd.Series([None if a is None else [c for t in a if t is not None for c in _split(t, max_chars)] for a in arrays], dtype=object)
+    @F.arrow_udf("array<string>")
+    def chunks(arrays: pa.Array) -> pa.Array:
+        return by_slices(arrays, lambda a: [c for t in a if t is not None for c in _split(t, max_chars)], pa.list_(pa.string()))
 
+    small_batches()
     return chunks(texts)
 
 
