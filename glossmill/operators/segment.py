@@ -54,10 +54,11 @@ def pack_units(units: Column, max_chars: int) -> Column:
     """Greedy packing of an array of strings with one space between; a longer unit stands alone.
     What fits depends on all before, so an array is folded, in one pass in batches."""
 
-    @F.pandas_udf("array<string>")
-    def packed(arrays: pd.Series) -> pd.Series:
-        return pd.Series([None if a is None else _pack(list(a), max_chars) for a in arrays], dtype=object)
+    @F.arrow_udf("array<string>")
+    def packed(arrays: pa.Array) -> pa.Array:
+        return by_slices(arrays, lambda a: _pack(a, max_chars), pa.list_(pa.string()))
 
+    small_batches()
     return packed(units)
 
 

@@ -31,7 +31,7 @@ def test_white_space_at_the_ends(spark, odd_docs, name):
     assert sorted(tuple(r[c] for c in names) for r in got.collect()) == sorted(want.fetchall())
 
 
-@pytest.mark.parametrize("made", ["split_by_limit", "nfc"])
+@pytest.mark.parametrize("made", ["split_by_limit", "split_paragraphs", "nfc"])
 def test_python_gets_few_texts_at_once(spark, made):
     @F.pandas_udf("long")
     def batch(x: pd.Series) -> pd.Series:
