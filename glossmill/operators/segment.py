@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,27 +105,82 @@ def split_paragraphs(text: Column, block_chars: int = BLOCK_CHARS) -> Column:
     return F.when(text.isNull() | (strip(text) == ""), F.array().cast("array<string>")).when(t.rlike(r"\n\s*\n"), by_blank).otherwise(packed)
 
 
+#: Words that a task folds at once; it goes on with the last line, which may not be whole yet.
+HELD_WORDS = 32_768
+_BOX = ["x0", "x1", "top", "bottom", "size"]
+
+
+def _new_keys(table: pa.Table, names: list[str]) -> np.ndarray:
+    """Which rows have other keys than the row before; the first has."""
+    new = np.ones(table.num_rows, bool)
+    if len(new):
+        codes = [table.column(k).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy() for k in names]
+        new[1:] = np.any([c[1:] != c[:-1] for c in codes], axis=0)
+    return new
+
+
+def _fold(table: pa.Table, names: list[str], first: int, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    """Where the lines of sorted words begin, and their numbers; the first line's is given."""
+    tops, pages = table.column("top").to_numpy().tolist(), _new_keys(table, names).tolist()
+    begins, numbers, line, anchor = [], [], first - 1, None
+    for at, (top, page) in enumerate(zip(tops, pages, strict=True)):
+        if page or abs(top - anchor) > tolerance:
+            line, anchor = (0 if page and at else line + 1), top
+            begins.append(at)
+            numbers.append(line)
+    return np.array(begins, np.int64), np.array(numbers, np.int64)
+
+
+def _lines(table: pa.Table, names: list[str], begins: np.ndarray, numbers: np.ndarray) -> pa.RecordBatch:
+    """A row for each line: its words from left to right, its box and its usual size."""
+    box = {c: table.column(c).to_numpy() for c in _BOX}
+    line = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, table.num_rows)))
+    texts = pc.fill_null(table.column("text").combine_chunks(), "").take(pa.array(np.lexsort((box["x0"], line))))
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(begins, len(line)), pa.int32()), texts), " ")
+    size = box["size"][np.lexsort((box["size"], line))]  # unknown ones last in a line
+    known = np.add.reduceat(~np.isnan(size), begins, dtype=np.int64)
+    low, high = (size[begins + np.maximum(x, 0)] for x in ((known - 1) // 2, known // 2))
+    found = {"line": numbers, "text": joined, "top": np.fmin.reduceat(box["top"], begins), "bottom": np.fmax.reduceat(box["bottom"], begins), "x0": np.fmin.reduceat(box["x0"], begins), "x1": np.fmax.reduceat(box["x1"], begins), "size_med": (low + high) / 2}
+    keys = [table.column(k).combine_chunks().take(pa.array(begins)) for k in names]
+    return pa.RecordBatch.from_arrays([*keys, *(x if isinstance(x, pa.Array) else pa.array(x, from_pandas=True) for x in found.values())], names=[*names, *found])
+
+
 def words_to_lines(words: DataFrame, keys: list[str], tolerance: float = LINE_TOLERANCE) -> DataFrame:
     """Page words(keys, text, x0, x1, top, bottom, size) as lines (keys, line, text, top, bottom,
     x0, x1, size_med). A line takes words until one stands more than ``tolerance`` below the
-    line's first, an anchor that moves by what came before, so a page is folded in order."""
+    line's first, an anchor that moves by what came before, so a page is folded in order: words
+    are sorted in Spark and stream through a task, which holds a line's words or HELD_WORDS."""
     names = [f.name for f in words.schema if f.name in keys]
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in words.schema if f.name in keys)
 
-    def fold(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.assign(row=page["top"].round(1)).sort_values(["row", "x0"], kind="stable")
-        line, anchor, numbers = -1, None, []
-        for top in page["top"]:
-            if anchor is None or abs(top - anchor) > tolerance:
-                line, anchor = line + 1, top
-            numbers.append(line)
-        page = page.assign(line=numbers).sort_values(["line", "x0"], kind="stable")
-        out = page.groupby("line").agg(text=("text", " ".join), top=("top", "min"), bottom=("bottom", "max"), x0=("x0", "min"), x1=("x1", "max"), size_med=("size", "median")).reset_index()
-        for k in names[::-1]:
-            out.insert(0, k, page[k].iloc[0])
-        return out
-
-    return words.groupBy(*names).applyInPandas(fold, f"{kinds}, line bigint, text string, top double, bottom double, x0 double, x1 double, size_med double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n, most, first = 0, HELD_WORDS, 0
+
+        def closed(last: bool):
+            nonlocal held, n, most, first
+            table = pa.Table.from_batches(held).combine_chunks()
+            begins, numbers = _fold(table, names, first, tolerance)
+            whole = len(begins) if last else len(begins) - 1
+            end = table.num_rows if last else int(begins[-1])
+            if whole:
+                yield _lines(table.slice(0, end), names, begins[:whole], numbers[:whole])
+            held, n, first = table.slice(end).to_batches(), table.num_rows - end, int(numbers[-1])
+            most = max(HELD_WORDS, 2 * n)
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                n += batch.num_rows
+                if n >= most:
+                    yield from closed(False)
+        if n:
+            yield from closed(True)
+
+    row = F.rint(F.col("top") * 10) / 10
+    order = [*names, row.asc_nulls_last(), F.col("x0").asc_nulls_last(), "x1", "text"]
+    own = words.select(*names, "text", *[F.col(c).cast("double").alias(c) for c in _BOX])
+    return own.repartition(*names).sortWithinPartitions(*order).mapInArrow(run, f"{kinds}, line bigint, text string, top double, bottom double, x0 double, x1 double, size_med double")
 
 
 def drop_headers_footers(lines: DataFrame, page: list[str]) -> DataFrame:
